@@ -110,7 +110,7 @@ def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _flyer(last: bool, level: int, seed: int, columns: list[str]):
     def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "row_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["size", "key", "row_id"], ascending=[False, True, True], kind="stable")  # the last to be decided are small
         size = pdf["size"].to_numpy(float)
         pi = flight(pdf["pi"].to_numpy(float), size, (seed + 1_000_003 * int(key[0]) + 7919 * int(key[1]) + level) % (1 << 63))
         return pdf.assign(pi=landing(pi, size) if last else pi)[columns]

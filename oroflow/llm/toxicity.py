@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
 Words get log-odds of the toxic against the other labelled texts under an informative Dirichlet prior (pseudo-counts in
-proportion to the word's share of all labelled texts). Words that the labels mark clearly (z at least min_z) keep their
+proportion to the word's share of all labelled texts, prior_share of their words in all). Words that the labels mark clearly (z at least min_z) keep their
 log-odds as score; every other word scores `-drift`, so segments have a negative expectation and the linear-time scan
 of Ruzzo and Tompa gives all maximal ones. Scores are calibrated as extreme values: lambda solves the Karlin-Altschul
 equation on the words of texts that are not toxic, a segment's bits are lambda S - ln(n), and one is significant where
@@ -120,7 +120,7 @@ def karlin_lambda(scores: np.ndarray, p: np.ndarray) -> float:
     return min(hi, 4.0)
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 12_000, max_words: int = 20_000, min_z: float = 3.0, prior: float = 500.0, drift: float = 0.5) -> ToxicModel:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 12_000, max_words: int = 20_000, min_z: float = 3.0, prior_share: float = 0.05, drift: float = 0.5) -> ToxicModel:
     """labels: id, label 0/1, only rows that may be learned from. Word counts are made by the executors; the driver gets
     max_words words and max_labelled rows of features at most."""
     spark = docs.sparkSession
@@ -144,6 +144,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     n1, n0 = (int(x or 0) for x in counts.agg(F.sum("c1"), F.sum("c0")).first())
     if not n1 or not n0:
         return ToxicModel()
+    prior = prior_share * (n1 + n0)
     a = F.col("c1") + F.col("c0") + F.lit(0.0)
     alpha = F.lit(prior / (n1 + n0)) * a
     odds = lambda c, n: F.log((F.col(c) + alpha) / (F.lit(n + prior) - F.col(c) - alpha))
