@@ -94,8 +94,9 @@ def flight(pi: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
         active = [k for k in active if 0 < out[k] < 1]
 
 
-def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the last fractions (two at most) to the choice whose words, then rows, come nearest to the wanted ones."""
+def landing(pi: np.ndarray, size: np.ndarray, wanted: np.ndarray, flips: int = 8) -> np.ndarray:
+    """Round the last fractions (two at most) to the choice whose words, then rows, come nearest to the wanted ones; then
+    turn over a few rows that had a fraction at first, as long as that brings the words nearer still."""
     left = np.flatnonzero((pi > 0) & (pi < 1))
     best = None
     for choice in range(1 << len(left)):
@@ -105,6 +106,14 @@ def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
             best = (off, take)
     out = pi.copy()
     out[left] = best[1]
+    free = np.flatnonzero((wanted > 1e-9) & (wanted < 1 - 1e-9))
+    for _ in range(flips if len(free) else 0):
+        off = float(np.dot(out - wanted, size))
+        after = np.abs(off + size[free] * (1 - 2 * out[free]))
+        k = int(after.argmin())
+        if after[k] >= abs(off) - 0.5:
+            break
+        out[free[k]] = 1 - out[free[k]]
     return out
 
 
@@ -112,8 +121,9 @@ def _flyer(last: bool, level: int, seed: int, columns: list[str]):
     def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key", "row_id"], ascending=[False, True, True], kind="stable")  # the last to be decided are small
         size = pdf["size"].to_numpy(float)
-        pi = flight(pdf["pi"].to_numpy(float), size, (seed + 1_000_003 * int(key[0]) + 7919 * int(key[1]) + level) % (1 << 63))
-        return pdf.assign(pi=landing(pi, size) if last else pi)[columns]
+        wanted = pdf["pi"].to_numpy(float)
+        pi = flight(wanted, size, (seed + 1_000_003 * int(key[0]) + 7919 * int(key[1]) + level) % (1 << 63))
+        return pdf.assign(pi=landing(pi, size, wanted) if last else pi)[columns]
 
     return fly
 

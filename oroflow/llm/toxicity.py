@@ -69,7 +69,8 @@ class ToxicModel:
     weights: tuple[float, ...] = (-50.0, 0.0, 0.0, 0.0)
 
     def features(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """For each text: bits of the best segment, summed bits of the significant ones, ln of the words; and those."""
+        """For each text: the best segment's bits and the summed bits of the significant ones, on a log scale (a text made
+        of insults must not set the scale), ln of its words; and the significant segments."""
         codes, lens, words = encode_words(texts)
         value = np.fromiter((self.words.get(w, 0.0) for w in normalise(words)), float, len(words))
         hits = np.flatnonzero(value[codes] > 0) if len(words) else np.zeros(0, int)
@@ -84,8 +85,8 @@ class ToxicModel:
             segments = maximal_segments(list(zip((at - first).tolist(), value[codes[at]].tolist(), strict=True)), self.drift)
             bits = [self.lam * s - out[d, 2] for _, _, s in segments]
             found[d] = [(a, b, s) for (a, b, s), e in zip(segments, bits, strict=True) if np.exp(-e) < self.max_e]
-            out[d, 0] = max(self.lam * s for _, _, s in segments)
-            out[d, 1] = sum(max(0.0, e) for e in bits)
+            out[d, 0] = np.log1p(max(self.lam * s for _, _, s in segments))
+            out[d, 1] = np.log1p(sum(max(0.0, e) for e in bits))
         return out, found
 
     def score(self, features: np.ndarray) -> np.ndarray:
