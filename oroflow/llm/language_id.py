@@ -134,11 +134,13 @@ class ContextTrees:
         return out
 
 
-def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_grams: int = 250_000) -> ContextTrees | None:
+def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_grams: int = 250_000, max_langs: int = 512) -> ContextTrees | None:
     """labelled: texts with their language. The sample of a language is the texts whose hashed id is under
-    docs_per_lang / (its texts); the driver gets max_grams counted contexts at most, the most frequent."""
+    docs_per_lang / (its texts). The driver gets the sizes of the max_langs most frequent languages, which go to the texts
+    as a broadcast, so no text is shuffled; and max_grams counted contexts at most, the most frequent."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), lang_col).limit(max_langs).collect()
+    sizes = F.broadcast(labelled.sparkSession.createDataFrame(sizes, f"`{lang_col}` string, __n long"))
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) * F.col("__n") < docs_per_lang * (1 << 20)
     sample = rows.join(sizes, lang_col).filter(part)
     grams = gram_counts(sample, text_col, lang_col).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
