@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from .plans import hydro_queries, terrain_queries
+
+
+@lru_cache(1)
+def _all() -> dict[str, tuple]:
+    found: dict[str, tuple] = {}
+    for module in (terrain_queries, hydro_queries):
+        found |= module.build()
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
