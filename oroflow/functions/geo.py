@@ -101,7 +101,7 @@ def quake_depth_class(km: str) -> str:
 
 def solar_declination(day: str) -> str:
     """Degrees, by the day of the year."""
-    return f"(-23.44 * cos(radians(360.0 / 365 * ({day} + 10))))"
+    return f"(-23.44 * cos(radians(360e0 / 365 * ({day} + 10))))"
 
 
 def orbit_class(km: str) -> str:

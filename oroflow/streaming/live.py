@@ -65,8 +65,8 @@ def live_positions(events: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run a stream over all that is there now and give the sink's table: Parquet for append, a memory table for small
-    complete results."""
+    """Run a stream over all that is there now and give the sink's table: for append and update, every row it sent; for
+    complete, the last result."""
     spark = stream.sparkSession
     at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if mode == "append":
@@ -75,7 +75,7 @@ def drained(stream: DataFrame, mode: str = "append", name: str = "stream") -> Da
     table = f"{name}_{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/{table}")
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/{table}")
 
     stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/{table}")
