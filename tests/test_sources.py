@@ -59,3 +59,19 @@ def test_registry():
 
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q) and e.FLAGSHIP in q and len(q) > 100
+
+
+def test_chunk_files(spark, tmp_path):
+    from oroflow.sources import chunks
+
+    rng = np.random.default_rng(4)
+    parts = {(r, c): rng.integers(-50, 4000, (256, 256)).astype(np.int16) for r in range(2) for c in range(2)}
+    parts[0, 0][5, 5] = chunks.NODATA
+    for version, name in ((1, "a.chunks"), (2, "b.chunks")):
+        data = chunks.pack_chunks(parts, b"TESTMAGI", version)
+        (tmp_path / name).write_bytes(data)
+        assert all(np.array_equal(chunks.unpack_chunk(data, *k, b"TESTMAGI"), z) for k, z in parts.items())
+    out = chunks.read_chunks(spark, str(tmp_path / "a.chunks"), spark.createDataFrame([(0, 0)], "chunk_row int, chunk_col int"))
+    assert out.count() == 256 * 256 - 1 and out.filter("r = 7 and c = 9").first()["z"] == parts[0, 0][7, 9]
+    with pytest.raises(ValueError):
+        chunks.unpack_chunk(data, 5, 0)
