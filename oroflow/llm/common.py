@@ -61,6 +61,19 @@ def id_remainder(id_col: str, m: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(m))
 
 
+def most_frequent(counts: DataFrame, column: str, k: int) -> DataFrame:
+    """The rows of the largest counts (1 or more), k at most: those from a bound upwards that a small histogram of the
+    counts' sizes (a thousand bins) gives. A sorted limit would send k rows of every partition to the driver."""
+    size = F.floor(F.log2(F.col(column)) * 16)
+    left, bound = k, None
+    for r in sorted(counts.groupBy(size.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["b"]):
+        left -= r["n"]
+        if left < 0:
+            break
+        bound = r["b"]
+    return counts.filter(size >= bound) if bound is not None else counts.limit(0)
+
+
 def with_columns_schema(df: DataFrame, **extra: T.DataType) -> T.StructType:
     """Schema of df plus columns; a column of the input that has such a name gives way."""
     return T.StructType([f for f in df.schema if f.name not in extra] + [T.StructField(k, v) for k, v in extra.items()])

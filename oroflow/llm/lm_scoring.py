@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, encode_words, hash_words, materialise, mix64
+from .common import byte_slices, encode_words, hash_words, materialise, mix64, most_frequent
 
 HEAD_CLASSES, MEMBERS, TAIL = 16, 16, 32
 HEAD = HEAD_CLASSES * MEMBERS
@@ -56,7 +56,7 @@ def _slots(*parts: np.ndarray, salt: int) -> np.ndarray:
     for p in parts:
         h = (h ^ p) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return (h % np.uint64(SLOTS)).astype(np.int64)
+    return (h % np.uint64(SLOTS)).astype(np.int16)  # short: sorts by radix
 
 
 @dataclass
@@ -91,20 +91,29 @@ class Weights:
         self.grad2 = {k: np.full(s, 1e-2, np.float32) for k, s in self.SHAPES.items()}
 
     def class_logits(self, x: dict[str, np.ndarray]) -> np.ndarray:
-        return self.w["bias"][0] + self.w["prev"][x["prev"]] + self.w["pair"][x["pair"]] + self.w["skip"][x["skip"]]
+        z = self.w["prev"].take(x["prev"], 0)
+        z += self.w["pair"].take(x["pair"], 0)
+        z += self.w["skip"].take(x["skip"], 0)
+        z += self.w["bias"][0]
+        return z
 
     def member_logits(self, x: dict[str, np.ndarray]) -> np.ndarray:
-        return self.w["m_bias"][x["cls"]] + self.w["m_prev"][x["m_prev"]] + self.w["m_skip"][x["m_skip"]]
+        z = self.w["m_bias"].take(x["cls"], 0)
+        z += self.w["m_prev"].take(x["m_prev"], 0)
+        z += self.w["m_skip"].take(x["m_skip"], 0)
+        return z
 
     def _descend(self, name: str, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
         order = np.argsort(rows, kind="stable")
         ordered = rows[order]
         cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         at = ordered[cuts]
-        total = np.add.reduceat(g[order], cuts, axis=0)
+        total = np.add.reduceat(g.take(order, 0), cuts, axis=0)
         self.used[name][at] += np.diff(np.append(cuts, len(rows)))
-        self.grad2[name][at] += total * total
-        self.w[name][at] -= rate * total / np.sqrt(self.grad2[name][at])
+        squares = self.grad2[name].take(at, 0)
+        squares += total * total
+        self.grad2[name][at] = squares
+        self.w[name][at] -= rate * total / np.sqrt(squares)
 
     def step(self, x: dict[str, np.ndarray], rate: float = 0.3) -> None:
         n = len(x["class"])
@@ -131,8 +140,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = z.max(1)
-    return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    """Overwrites z."""
+    z -= z.max(1, keepdims=True)
+    picked = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return picked - np.log(z.sum(1))
 
 
 def examples(codes: np.ndarray, lens: np.ndarray, words: list[bytes], head: np.ndarray, count: np.ndarray, h: np.ndarray) -> Iterator[tuple[slice, dict[str, np.ndarray]]]:
@@ -174,7 +186,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """counts: materialised. The driver gets LOCAL rows and one for each tail class."""
-    top = counts.orderBy(F.desc("n"), "h").limit(LOCAL).toPandas()
+    top = most_frequent(counts, "n", LOCAL).toPandas().sort_values(["n", "h"], ascending=[False, True]).reset_index(drop=True)
     sums = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
     room = np.ones(TAIL)
     room[sums["cls"]] += sums["n"] + sums["v"]
