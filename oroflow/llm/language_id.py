@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, byte_slices, with_columns_schema
+from .common import append_columns, byte_slices, materialise, most_frequent, with_columns_schema
 
 ORDER = 3
 PAD = b"\n" * ORDER
@@ -143,7 +143,7 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = F.broadcast(labelled.sparkSession.createDataFrame(sizes, f"`{lang_col}` string, __n long"))
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) * F.col("__n") < docs_per_lang * (1 << 20)
     sample = rows.join(sizes, lang_col).filter(part)
-    grams = gram_counts(sample, text_col, lang_col).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
+    grams = most_frequent(materialise(gram_counts(sample, text_col, lang_col), "lang-grams"), "n", max_grams).toPandas().sort_values(["lang", "gram"])
     if not len(grams):
         return None
     langs = sorted(grams["lang"].unique(), key=lambda x: x.encode())
