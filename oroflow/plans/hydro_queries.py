@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, hydro, terrain
 from .scratch import written
-from .terrain_queries import AROUND, DEM, dem
+from .terrain_queries import AROUND, DEM, HOLES, _around, dem
 
 CELL = hydro.CELL
 _made: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
@@ -83,7 +83,7 @@ def build() -> dict[str, tuple]:
         q[name] = (lambda s, d, x=name: hydro.index(dem(s, d), base(s, d)[1], x), f"WITH RECURSIVE {FLOW}, {slope} SELECT r, c, round({hydro.INDICES[name]}, 4) AS {name} FROM ix")
     q["hack_integral"] = (lambda s, d: hydro.hack(*base(s, d), THRESHOLD), f"WITH RECURSIVE {FLOW}, xy AS (SELECT ln(accumulation) AS x, ln(down * {CELL!r} + 1) AS y FROM acc JOIN fin USING (r, c) WHERE accumulation > {THRESHOLD}) SELECT round(regr_slope(y, x), 4) AS hack_exponent, round(exp(regr_intercept(y, x)), 2) AS k_coefficient, count(*) AS n_cells FROM xy")
     q["flow_accumulation_max"] = (lambda s, d: graph.accumulate(hydro.flow_edges(base(s, d)[0]).join(base(s, d)[1].select(hydro.cell_id().alias("id"), F.col("accumulation").cast("double").alias("w")), "id"), combine="max").select(*[v.alias(k) for k, v in hydro.place().items()], F.col("acc").cast("long").alias("top")), f"WITH RECURSIVE {FLOW} SELECT w.r, w.c, max(acc.accumulation) AS top FROM walk w JOIN acc ON acc.r = w.sr AND acc.c = w.sc GROUP BY w.r, w.c")
-    q["drainage_density"] = (lambda s, d: hydro.drainage_density(base(s, d)[1]), None)
+    q["drainage_density"] = (lambda s, d: hydro.drainage_density(base(s, d)[1]), f"WITH RECURSIVE {FLOW}, fl AS (SELECT r, c, CASE WHEN accumulation >= (SELECT sqrt(count(*)) FROM acc) THEN 1.0 ELSE 0.0 END AS z FROM acc), {_around(11).replace('dem', 'fl')} SELECT r, c, round(CAST(sum(v) AS DOUBLE) / 121 / {CELL * CELL / 1e6!r}, 4) AS drainage_density FROM win GROUP BY r, c")
     border = "(SELECT max(r) FROM dem) AS rm, (SELECT max(c) FROM dem) AS cm"
     fill = f"""{DEM}, ext AS (SELECT {border}), nb AS (SELECT a.r, a.c, b.r AS br, b.c AS bc, b.z AS bz FROM dem a CROSS JOIN (SELECT x AS dr, y AS dc FROM range(-1, 2) t(x), range(-1, 2) u(y) WHERE x <> 0 OR y <> 0) JOIN dem b ON b.r = a.r + dr AND b.c = a.c + dc),
 f(r, c, z) USING KEY (r, c) AS (SELECT r, c, z FROM dem, ext WHERE r = 0 OR c = 0 OR r = rm OR c = cm
@@ -92,14 +92,28 @@ f(r, c, z) USING KEY (r, c) AS (SELECT r, c, z FROM dem, ext WHERE r = 0 OR c =
     q["depth_in_sink"] = (lambda s, d: dem(s, d).join(_filled(s, d).withColumnRenamed("z", "filled"), ["r", "c"]).select("r", "c", F.round(F.col("filled") - F.col("z"), 6).alias("depth")), f"WITH RECURSIVE {fill} SELECT r, c, round(f.z - dem.z, 6) AS depth FROM f JOIN dem USING (r, c)")
     q["inundation_depth"] = (lambda s, d: _filled(s, d).select("r", "c", (F.col("z") < 520).cast("int").alias("flooded"), F.greatest(F.lit(520.0) - F.col("z"), F.lit(0.0)).alias("depth")), f"WITH RECURSIVE {fill} SELECT r, c, CASE WHEN z < 520 THEN 1 ELSE 0 END AS flooded, greatest(520.0 - z, 0.0) AS depth FROM f")
     q["depression_depth_stats"] = (lambda s, d: hydro.depression_stats(dem(s, d)), None)
-    q["clump"] = (lambda s, d: hydro.clump(dem(s, d, True)).groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")).select(*[v.alias(f"label_{x}") for x, v in hydro.place("comp").items()], "n", "k"), None)
+    q["clump"] = (lambda s, d: hydro.clump(dem(s, d, True)).groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")).select(*[v.alias(f"label_{x}") for x, v in hydro.place("comp").items()], "n", "k"), _clump_sql())
     q["sieve"] = (lambda s, d: hydro.sieve(dem(s, d, True)), None)
     outlets = lambda s: s.createDataFrame([(0, 0), (250, 31), (499, 63)], "r int, c int")
-    q["cost_distance"] = (lambda s, d: hydro.cost_distance(dem(s, d), outlets(s)), None)
+    q["cost_distance"] = (lambda s, d: hydro.cost_distance(dem(s, d), outlets(s)), _cost_sql())
     q["cross_section_area"] = (lambda s, d: hydro.cross_section_area(dem(s, d).select(F.col("r").alias("line"), F.col("c").alias("i"), (F.col("c") * CELL).alias("x"), "z")), f"WITH {DEM}, g AS (SELECT r AS line, abs(z - lag(z) OVER o) * abs(c * {CELL!r} - lag(c * {CELL!r}) OVER o) AS part FROM dem WINDOW o AS (PARTITION BY r ORDER BY c)) SELECT line, round(sum(part), 4) AS area FROM g GROUP BY line")
     return q
 
 
+def _cost_sql() -> str:
+    return f"""WITH RECURSIVE {DEM}, nb AS (SELECT a.r, a.c, b.r AS br, b.c AS bc, abs(a.z - b.z) * sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) AS w FROM dem a CROSS JOIN (SELECT x AS dr, y AS dc FROM range(-1, 2) t(x), range(-1, 2) u(y) WHERE x <> 0 OR y <> 0) JOIN dem b ON b.r = a.r + dr AND b.c = a.c + dc),
+f(r, c, d) USING KEY (r, c) AS (SELECT r, c, CAST(0 AS DOUBLE) FROM dem WHERE (r = 0 AND c = 0) OR (r = 250 AND c = 31) OR (r = 499 AND c = 63)
+  UNION SELECT nb.br, nb.bc, min(f.d + nb.w) FROM f JOIN nb ON nb.r = f.r AND nb.c = f.c LEFT JOIN recurring.f AS o ON o.r = nb.br AND o.c = nb.bc WHERE o.d IS NULL OR f.d + nb.w < o.d - 1e-9 GROUP BY nb.br, nb.bc)
+SELECT r, c, round(d, 4) AS cost FROM f"""
+
+
+def _clump_sql() -> str:
+    return f"""WITH RECURSIVE {HOLES}, k AS (SELECT r, c, CAST(floor(z / 100) AS BIGINT) AS k, CAST(r AS BIGINT) * 4294967296 + c AS id FROM dem WHERE z IS NOT NULL),
+nb AS (SELECT a.id, b.id AS bid FROM k a JOIN k b ON b.k = a.k AND ((b.r = a.r AND b.c IN (a.c - 1, a.c + 1)) OR (b.c = a.c AND b.r IN (a.r - 1, a.r + 1))) WHERE b.r BETWEEN a.r - 1 AND a.r + 1),
+f(id, comp) USING KEY (id) AS (SELECT id, id FROM k UNION SELECT nb.bid, min(f.comp) FROM f JOIN nb ON nb.id = f.id JOIN recurring.f AS o ON o.id = nb.bid WHERE f.comp < o.comp GROUP BY nb.bid)
+SELECT CAST(comp // 4294967296 AS INT) AS label_r, CAST(comp % 4294967296 AS INT) AS label_c, count(*) AS n, min(k.k) AS k FROM f JOIN k USING (id) GROUP BY comp"""
+
+
 _filled_made: dict[tuple[str, str], DataFrame] = {}
 
 

@@ -122,7 +122,7 @@ def build() -> dict[str, tuple]:
     q["profile"] = (lambda s, d: terrain.profile(dem(s, d), s.range(0, 40).select((F.col("id") % 4).alias("line"), F.floor(F.col("id") / 4).alias("i"), (F.col("id") * 3).cast("int").alias("r"), (F.col("id") % 7 * 5).cast("int").alias("c"))), f"WITH {DEM}, p AS (SELECT i % 4 AS line, i // 4 AS i, CAST(i * 3 AS INT) AS r, CAST(i % 7 * 5 AS INT) AS c FROM range(0, 40) t(i)), g AS (SELECT *, coalesce(sqrt(power(r - lag(r) OVER o, 2) + power(c - lag(c) OVER o, 2)), 0) * {terrain.CELL!r} AS leg FROM p WINDOW o AS (PARTITION BY line ORDER BY i)) SELECT line, i, g.r, g.c, z, round(sum(leg) OVER (PARTITION BY line ORDER BY i), 1) AS distance_m FROM g LEFT JOIN dem USING (r, c)")
 
     q["zonal_stats"] = (lambda s, d: vector.zonal_stats(dem(s, d, True), zone_edges(s)), f"WITH {HOLES}, {EDGES}, ins AS (SELECT zone, r, c, z FROM dem JOIN edges ON (y1 > r) <> (y2 > r) AND c < (x2 - x1) * (r - y1) / (y2 - y1) + x1 WHERE z IS NOT NULL GROUP BY zone, r, c, z HAVING count(*) % 2 = 1) SELECT zone, round(avg(z), 2) AS mean, round(min(z), 2) AS min, round(max(z), 2) AS max, round(sum(z), 2) AS sum, round(stddev_pop(z), 2) AS std, count(*) AS count FROM ins GROUP BY zone")
-    q["contour_segments"] = (lambda s, d: vector.contour_segments(dem(s, d), 50.0), None)
+    q["contour_segments"] = (lambda s, d: vector.contour_segments(dem(s, d), 50.0), _contour_sql(50.0))
     q["grid_to_geojson"] = (lambda s, d: vector.grid_to_geojson(dem(s, d, True)).select("r", "c", F.get_json_object("feature", "$.properties.value").cast("double").alias("value"), F.get_json_object("feature", "$.geometry.coordinates[0]").cast("double").alias("lon")), f"WITH {HOLES} SELECT r, c, round(z, 2) AS value, round(c * 0.001, 6) AS lon FROM dem WHERE z IS NOT NULL")
     q["terrain_mesh"] = (lambda s, d: vector.mesh(dem(s, d, True)), f"WITH {HOLES}, {AROUND} SELECT r, c, half, CASE half WHEN 0 THEN z ELSE e END AS z1, s AS z2, CASE half WHEN 0 THEN e ELSE se END AS z3 FROM h, (VALUES (0), (1)) t(half) WHERE z + e + s + se IS NOT NULL")
     q["compute_rmse"] = (lambda s, d: _smoothing_error(s, d), f"WITH {HOLES}, {_around(3)}, m AS (SELECT z AS a, round(avg(v), 6) - z AS e FROM win WHERE z IS NOT NULL GROUP BY r, c, z) SELECT count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(max(abs(e)), 6) AS max_error, round(avg(e), 6) AS bias, round(stddev_pop(e), 6) AS std, round(quantile_cont(abs(e), 0.5), 6) AS p50, round(quantile_cont(abs(e), 0.95), 6) AS p95 FROM m")
@@ -151,6 +151,15 @@ lin AS (SELECT o, r, c, max(sl) FILTER (i < steps) AS bef, max(sl) FILTER (i = s
 seen AS (SELECT o, r, c, tgt >= bef - 1e-10 AS visible FROM lin UNION ALL SELECT o, orow, ocol, true FROM eye)"""
 
 
+def _contour_sql(interval: float) -> str:
+    at = lambda p, q, y, x: f"CASE WHEN ({p} >= level) <> ({q} >= level) THEN {{'y': round(CAST({y.replace('F', f'(level - {p}) / ({q} - {p})')} AS DOUBLE), 6), 'x': round(CAST({x.replace('F', f'(level - {p}) / ({q} - {p})')} AS DOUBLE), 6)}} END"
+    return f"""WITH {DEM}, {AROUND}, sq AS (SELECT r, c, z AS a, e AS b, se AS d, s AS g FROM h WHERE z + e + se + s IS NOT NULL),
+lv AS (SELECT *, unnest(range(CAST(floor(least(a, b, d, g) / {interval}) AS BIGINT) + 1, CAST(floor(greatest(a, b, d, g) / {interval}) AS BIGINT) + 1)) * CAST({interval} AS DOUBLE) AS level FROM sq),
+p AS (SELECT level, r, c, (a >= level) = ((a + b + d + g) / 4 >= level) AS turned, {at('a', 'b', 'r', 'c + F')} AS t, {at('b', 'd', 'r + F', 'c + 1')} AS i, {at('g', 'd', 'r + 1', 'c + F')} AS o, {at('a', 'g', 'r + F', 'c')} AS l FROM lv),
+s AS (SELECT level, r, c, unnest(CASE WHEN t IS NOT NULL AND i IS NOT NULL AND o IS NOT NULL AND l IS NOT NULL THEN CASE WHEN turned THEN [[t, i], [o, l]] ELSE [[t, l], [i, o]] END ELSE [list_filter([t, i, o, l], lambda q: q IS NOT NULL)] END) AS sg FROM p)
+SELECT level, r, c, sg[1].y AS y1, sg[1].x AS x1, sg[2].y AS y2, sg[2].x AS x2 FROM s"""
+
+
 def _smoothing_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import feeds
 
