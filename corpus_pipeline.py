@@ -18,8 +18,9 @@ from oroflow.llm.toxicity import learn_toxicity, score_toxicity
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is one of ids.row_id; null matches null."""
-    return docs.join(ids.select(F.col("row_id").alias("__row_id")), F.col("doc_id").eqNullSafe(F.col("__row_id")), "left_semi")
+    """Rows of docs whose id is one of ids.row_id; null matches null. The ids grow with the corpus, so they are merged at
+    every size, not broadcast at small ones."""
+    return docs.join(ids.select(F.col("row_id").alias("__row_id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("__row_id")), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not, once or more often."""
     sized = docs.select(F.col("doc_id").alias("row_id"), F.size(split_words("text")).cast("long").alias("size"), "source")
     taken = balanced_mix(sized).groupBy("row_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0").withColumnRenamed("row_id", "__row_id")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__row_id"))).withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    out = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__row_id"))).withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return out.select(*docs.columns)
 
 
