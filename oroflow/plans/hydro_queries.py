@@ -37,6 +37,10 @@ nin AS (SELECT pr AS r, pc AS c, count(*) AS n_in FROM net WHERE pr IS NOT NULL
 cut AS (SELECT net.r, net.c, CASE WHEN coalesce(n_in, 0) <= 1 THEN net.pr END AS pr, CASE WHEN coalesce(n_in, 0) <= 1 THEN net.pc END AS pc FROM net LEFT JOIN nin ON nin.r = net.pr AND nin.c = net.pc),
 lw AS (SELECT r AS sr, c AS sc, r, c, pr, pc FROM cut UNION ALL SELECT sr, sc, cut.r, cut.c, cut.pr, cut.pc FROM lw JOIN cut ON cut.r = lw.pr AND cut.c = lw.pc),
 lnk AS (SELECT sr AS r, sc AS c, r AS link_r, c AS link_c FROM lw WHERE pr IS NULL)"""
+#: Terrain dem filled by relaxation: f(r, c, z).
+FILL = """ext AS (SELECT (SELECT max(r) FROM dem) AS rm, (SELECT max(c) FROM dem) AS cm), nb AS (SELECT a.r, a.c, b.r AS br, b.c AS bc, b.z AS bz FROM dem a CROSS JOIN (SELECT x AS dr, y AS dc FROM range(-1, 2) t(x), range(-1, 2) u(y) WHERE x <> 0 OR y <> 0) JOIN dem b ON b.r = a.r + dr AND b.c = a.c + dc),
+f(r, c, z) USING KEY (r, c) AS (SELECT r, c, z FROM dem, ext WHERE r = 0 OR c = 0 OR r = rm OR c = cm
+  UNION SELECT nb.br, nb.bc, min(greatest(f.z, nb.bz)) FROM f JOIN nb ON nb.r = f.r AND nb.c = f.c LEFT JOIN recurring.f AS o ON o.r = nb.br AND o.c = nb.bc WHERE o.z IS NULL OR greatest(f.z, nb.bz) < o.z GROUP BY nb.br, nb.bc)"""
 _ID = "CAST({r} AS BIGINT) * 4294967296 + {c}"
 
 
@@ -84,10 +88,7 @@ def build() -> dict[str, tuple]:
     q["hack_integral"] = (lambda s, d: hydro.hack(*base(s, d), THRESHOLD), f"WITH RECURSIVE {FLOW}, xy AS (SELECT ln(accumulation) AS x, ln(down * {CELL!r} + 1) AS y FROM acc JOIN fin USING (r, c) WHERE accumulation > {THRESHOLD}) SELECT round(regr_slope(y, x), 4) AS hack_exponent, round(exp(regr_intercept(y, x)), 2) AS k_coefficient, count(*) AS n_cells FROM xy")
     q["flow_accumulation_max"] = (lambda s, d: graph.accumulate(hydro.flow_edges(base(s, d)[0]).join(base(s, d)[1].select(hydro.cell_id().alias("id"), F.col("accumulation").cast("double").alias("w")), "id"), combine="max").select(*[v.alias(k) for k, v in hydro.place().items()], F.col("acc").cast("long").alias("top")), f"WITH RECURSIVE {FLOW} SELECT w.r, w.c, max(acc.accumulation) AS top FROM walk w JOIN acc ON acc.r = w.sr AND acc.c = w.sc GROUP BY w.r, w.c")
     q["drainage_density"] = (lambda s, d: hydro.drainage_density(base(s, d)[1]), f"WITH RECURSIVE {FLOW}, fl AS (SELECT r, c, CASE WHEN accumulation >= (SELECT sqrt(count(*)) FROM acc) THEN 1.0 ELSE 0.0 END AS z FROM acc), {_around(11).replace('dem', 'fl')} SELECT r, c, round(CAST(sum(v) AS DOUBLE) / 121 / {CELL * CELL / 1e6!r}, 4) AS drainage_density FROM win GROUP BY r, c")
-    border = "(SELECT max(r) FROM dem) AS rm, (SELECT max(c) FROM dem) AS cm"
-    fill = f"""{DEM}, ext AS (SELECT {border}), nb AS (SELECT a.r, a.c, b.r AS br, b.c AS bc, b.z AS bz FROM dem a CROSS JOIN (SELECT x AS dr, y AS dc FROM range(-1, 2) t(x), range(-1, 2) u(y) WHERE x <> 0 OR y <> 0) JOIN dem b ON b.r = a.r + dr AND b.c = a.c + dc),
-f(r, c, z) USING KEY (r, c) AS (SELECT r, c, z FROM dem, ext WHERE r = 0 OR c = 0 OR r = rm OR c = cm
-  UNION SELECT nb.br, nb.bc, min(greatest(f.z, nb.bz)) FROM f JOIN nb ON nb.r = f.r AND nb.c = f.c LEFT JOIN recurring.f AS o ON o.r = nb.br AND o.c = nb.bc WHERE o.z IS NULL OR greatest(f.z, nb.bz) < o.z GROUP BY nb.br, nb.bc)"""
+    fill = f"{DEM}, {FILL}"
     q["fill_depressions"] = (lambda s, d: _filled(s, d), f"WITH RECURSIVE {fill} SELECT r, c, z FROM f")
     q["depth_in_sink"] = (lambda s, d: dem(s, d).join(_filled(s, d).withColumnRenamed("z", "filled"), ["r", "c"]).select("r", "c", F.round(F.col("filled") - F.col("z"), 6).alias("depth")), f"WITH RECURSIVE {fill} SELECT r, c, round(f.z - dem.z, 6) AS depth FROM f JOIN dem USING (r, c)")
     q["inundation_depth"] = (lambda s, d: _filled(s, d).select("r", "c", (F.col("z") < 520).cast("int").alias("flooded"), F.greatest(F.lit(520.0) - F.col("z"), F.lit(0.0)).alias("depth")), f"WITH RECURSIVE {fill} SELECT r, c, CASE WHEN z < 520 THEN 1 ELSE 0 END AS flooded, greatest(520.0 - z, 0.0) AS depth FROM f")

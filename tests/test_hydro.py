@@ -5,7 +5,7 @@ import heapq
 import numpy as np
 from test_terrain import cells, grid_of
 
-from oroflow.operators import graph, grid, hydro
+from oroflow.operators import channels, graph, grid, hydro
 
 
 def flood(z):
@@ -70,3 +70,19 @@ def test_cost_and_sinks(spark):
     z[2, 2] = 4
     sinks = hydro.depression_stats(cells(spark, z)).collect()
     assert [(r["sink_r"], r["sink_c"], r["n_cells"], r["max_depth"], r["spill"]) for r in sinks] == [(2, 2, 1, 6.0, 10.0)]
+
+
+def test_breached_terrain_drains_and_is_carved_only(spark):
+    z = np.random.default_rng(5).integers(0, 9, (8, 9)).astype(float)
+    got = grid_of(channels.breach_depressions(cells(spark, z), max_depth=100.0), "z", z.shape)
+    assert (got <= z).all() and np.array_equal(flood(got), got)
+
+
+def test_section_and_burnt_stream(spark):
+    z = np.array([[9.0, 5.0, 1.0, 4.0, 9.0]] * 5) + np.arange(5)[:, None] * -0.1
+    directed = hydro.d8(cells(spark, z))
+    row = channels.cross_sections(cells(spark, z), directed, spark.createDataFrame([(1, 2, 2)], "p int, r int, c int"), 2).first()
+    assert (row["left"], row["right"], round(row["bank_z"], 6)) in {(-1, 1, 3.8)} and row["max_depth"] > 2.9
+    streams = channels.stream_cells(cells(spark, z), hydro.flow_accumulation(directed), 5)
+    burnt = grid_of(channels.burn_streams(cells(spark, z), streams), "z", z.shape)
+    assert burnt[:, 2].min() == z[:, 2].min() and (burnt <= z).all()
