@@ -367,6 +367,34 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_finds_whole_passages(spark):
+    """Passages of 50 to 60 words in few units between unlike neighbours, against the definition by brute force."""
+    rng = random.Random(21)
+    sentence = lambda n: prose(rng, n, 50_000) + rng.choice((". ", ".\n"))
+    passages = [[sentence(55)], *([sentence(w) for w in sizes] for sizes in ((26, 25), (17, 17, 18), (11, 10, 10, 11, 10), (3, 2, 3), (30, 2, 2, 2, 15)))]
+    texts = {}
+    for i in range(60):
+        around = [[sentence(rng.randrange(1, 20)) for _ in range(rng.randrange(1, 4))] for _ in range(2)]
+        texts[i] = [*around[0], *passages[i % len(passages)], *(["\n"] if i % 5 == 0 else []), *around[1]]
+    short = sentence(7)  # alone under the limits: stays everywhere
+    texts |= {100 + i: [sentence(9), short, sentence(9)] for i in range(3)}
+    n = lambda x: len(x.split())
+    first = {}
+    places = [(i, a, b) for i, u in texts.items() for a in range(len(u)) for b in range(a, len(u)) if n(u[a]) and n(u[b])]
+    run = lambda i, a, b: "".join(texts[i][a : b + 1]).rstrip()
+    fits = lambda u: sum(map(n, u)) >= (8 if sum(n(x) > 0 for x in u) > 1 else 50)
+    gone = collections.defaultdict(set)
+    for i, a, b in places:
+        if fits(texts[i][a : b + 1]) and first.setdefault(run(i, a, b), (i, a)) != (i, a):
+            gone[i] |= set(range(a, b + 1))
+    docs = spark.createDataFrame(rows([(i, "".join(u)) for i, u in texts.items()]), SCHEMA)
+    got = {r["row_id"]: r for r in line_dedup.line_dedup(docs).collect()}
+    for i, u in texts.items():
+        assert got[i]["text"] == "".join(x for k, x in enumerate(u) if k not in gone[i])
+        assert got[i]["n_removed"] == sum(k - 1 not in gone[i] for k in gone[i])
+    assert all(len(gone[i]) >= len(passages[i % len(passages)]) for i in range(len(passages), 60))
+
+
 # ---------------------------------------------------------------- 9 toxicity
 
 def test_segments_are_maximal():
