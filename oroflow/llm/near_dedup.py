@@ -38,15 +38,18 @@ from .common import byte_slices, encode_words, hash_words, materialise, mix64, m
 
 SHINGLE = 5
 POOL_BITS = 11
-LEVELS = 40  # quarter octaves of weight, from 2^0
+LEVELS = 40  # quarter octaves of weight, from 2^0, whose picks are tabulated
+MOST = 255  # the highest level: 2^63 is more than any text can reach
 _KEYS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 @dataclass
 class Sampler:
-    """Frozen variates: picks[h, level, p] are the ordered bits of ln a for weight level and pool place p."""
+    """Frozen variates: picks[h, level, p] are the ordered bits of ln a for weight level and pool place p; those of levels
+    from LEVELS on are made from variates[:, h, p] when a text has them."""
 
     picks: np.ndarray
+    variates: np.ndarray
     factors: np.ndarray
     bands: int
     rows: int
@@ -56,21 +59,23 @@ class Sampler:
         rng = np.random.Generator(np.random.PCG64(seed))
         n, pool = bands * rows, 1 << POOL_BITS
         r, c, beta = rng.gamma(2, 1, (n, 1, pool)), rng.gamma(2, 1, (n, 1, pool)), rng.random((n, 1, pool))
-        t = np.floor(np.log(level_weight(np.arange(LEVELS)))[None, :, None] / r + beta)
-        ln_a = np.log(c) - r * (t - beta + 1)
-        picks = (ln_a + 4096.0).astype(np.float32).view(np.uint32)  # positive floats order like their bits
-        return cls(picks.reshape(n, LEVELS * pool), rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), bands, rows)
+        picks = ordered_picks(r, c, beta, np.arange(LEVELS)[None, :, None])
+        return cls(picks.reshape(n, LEVELS * pool), np.stack([r[:, 0], c[:, 0], beta[:, 0]]), rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), bands, rows)
 
     def band_keys(self, shingles: np.ndarray, levels: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """For each text with a shingle, bands 64-bit keys. shingles: distinct in each text."""
         starts = np.cumsum(lens) - lens
-        place = levels.astype(np.int64) << POOL_BITS
+        place = np.minimum(levels, LEVELS - 1).astype(np.int64) << POOL_BITS
+        heavy = np.flatnonzero(levels >= LEVELS)
         out = np.empty((len(lens), self.bands), np.uint64)
         for band in range(self.bands):
             key = np.full(len(lens), band + 1, np.uint64)
             for i in range(band * self.rows, (band + 1) * self.rows):
                 x = shingles * self.factors[i]
-                pick = self.picks[i][place + (x >> np.uint64(64 - POOL_BITS)).astype(np.int64)].astype(np.uint64)
+                at = (x >> np.uint64(64 - POOL_BITS)).astype(np.int64)
+                pick = self.picks[i][place + at].astype(np.uint64)
+                if len(heavy):
+                    pick[heavy] = ordered_picks(*self.variates[:, i, at[heavy]], levels[heavy])
                 pick <<= np.uint64(32)
                 pick |= x & np.uint64(0xFFFFFFFF)
                 key = mix64(key ^ np.minimum.reduceat(pick, starts)) * np.uint64(0x9E3779B97F4A7C15)
@@ -82,6 +87,12 @@ def level_weight(level: np.ndarray) -> np.ndarray:
     return np.exp2(np.asarray(level, float) / 4)
 
 
+def ordered_picks(r: np.ndarray, c: np.ndarray, beta: np.ndarray, level: np.ndarray) -> np.ndarray:
+    t = np.floor(np.log(level_weight(level)) / r + beta)
+    ln_a = np.log(c) - r * (t - beta + 1)
+    return (ln_a + 4096.0).astype(np.float32).view(np.uint32)  # positive floats order like their bits
+
+
 @dataclass
 class Idf:
     hashes: np.ndarray  # ascending
@@ -121,7 +132,7 @@ def weighted_shingles(texts: list[bytes], idf: Idf) -> tuple[np.ndarray, np.ndar
     _, first, count = np.unique(both, return_index=True, return_counts=True)
     order = np.argsort(first)
     first, count = first[order], count[order]
-    level = np.clip(np.rint(4 * np.log2(np.maximum(w[first] * count, 1.0))), 0, LEVELS - 1).astype(np.uint8)
+    level = np.clip(np.rint(4 * np.log2(np.maximum(w[first] * count, 1.0))), 0, MOST).astype(np.uint8)
     return s[first], level, np.bincount(doc[first], minlength=len(texts))
 
 

@@ -495,6 +495,17 @@ def test_picks_follow_weighted_similarity():
         assert abs((ka == kb).mean() - exact) < 0.09
 
 
+def test_repetitive_texts_keep_their_counts():
+    """One passage repeated a different number of times: true similarities are the ratios of the counts."""
+    passage = " ".join(f"p{i}" for i in range(40)).encode()
+    for idf, few, many in ((10.0, 100, 300), (5.0, 200, 2000), (2.0, 500, 6000)):
+        s, level, lens = near_dedup.weighted_shingles([b" ".join([passage] * k) for k in (few, many)], near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0), idf))
+        a, b = (near_dedup.pack_vector(s[lo:hi], level[lo:hi]) for lo, hi in ((0, lens[0]), (lens[0], lens.sum())))
+        assert near_dedup.weighted_jaccard(a, b) == pytest.approx(few / many, rel=0.2)
+        keys = near_dedup.Sampler.draw(60, 1).band_keys(s, level, lens)
+        assert (keys[0] == keys[1]).mean() == pytest.approx(few / many, abs=0.2)
+
+
 def test_components(spark):
     rng = random.Random(16)
     links = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(20)]
