@@ -495,6 +495,43 @@ def test_picks_follow_weighted_similarity():
         assert abs((ka == kb).mean() - exact) < 0.09
 
 
+def test_near_dedup_in_a_template_family(spark):
+    """Texts that share much of one template, most under the threshold to each other and to the centre, with true near
+    copies among them: every pair at the threshold that shares a band is a link, against brute force."""
+    rng = random.Random(22)
+    template = prose(rng, 200, 5000).split()
+    pairs = []
+    for i in range(150):
+        own = list(template)
+        for at in rng.sample(range(200), 3):
+            own[at] = f"z{i}x{at}"
+        pairs.append((len(pairs), " ".join(own)))
+        if i % 5 == 0:
+            for at in rng.sample(range(200), 3):
+                own[at] = f"y{i}x{at}"
+            pairs.append((len(pairs), " ".join(own)))
+    docs = spark.createDataFrame(rows(pairs), SCHEMA)
+    idf = near_dedup.learn_idf(docs.select("text"))
+    s, level, lens = near_dedup.weighted_shingles([t.encode() for _, t in pairs], idf)
+    keys = near_dedup.Sampler.draw(4, 2).band_keys(s, level, lens)
+    ends = np.cumsum(lens)
+    vec = [near_dedup.pack_vector(s[e - n : e], level[e - n : e]) for e, n in zip(ends, lens, strict=True)]
+    parent = list(range(len(pairs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    alike = [(a, b) for a, b in itertools.combinations(range(len(pairs)), 2) if near_dedup.weighted_jaccard(vec[a], vec[b]) >= 0.8 and (keys[a] == keys[b]).any()]
+    for a, b in alike:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert 20 <= len(alike) and len({root(i) for i in range(len(pairs))}) > 50
+    got = {r["row_id"]: r["class_id"] for r in near_dedup.near_dedup(docs, bands=4, rows=2, all_pairs=6).collect()}
+    assert got == {i: root(i) for i in range(len(pairs))}
+
+
 def test_repetitive_texts_keep_their_counts():
     """One passage repeated a different number of times: true similarities are the ratios of the counts."""
     passage = " ".join(f"p{i}" for i in range(40)).encode()
