@@ -11,7 +11,7 @@ EARTH_NM = 3440.065
 
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str, radius: float = EARTH_M) -> str:
     a = f"(power(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * power(sin(radians({lon2} - {lon1}) / 2), 2))"
-    return f"(2 * {radius!r} * atan2(sqrt({a}), sqrt(greatest(1 - {a}, 0.0))))"
+    return f"(2 * {radius!r}e0 * atan2(sqrt({a}), sqrt(greatest(1 - {a}, 0e0))))"
 
 
 def bearing(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
@@ -21,21 +21,21 @@ def bearing(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 
 
 def tile_x(lon: str, zoom: int) -> str:
-    return f"CAST(floor(({lon} + 180.0) / 360.0 * {1 << zoom}) AS INT)"
+    return f"CAST(floor(({lon} + 180e0) / 360e0 * {1 << zoom}) AS INT)"
 
 
 def tile_y(lat: str, zoom: int) -> str:
-    return f"CAST(floor((1.0 - ln(tan(radians({lat})) + 1.0 / cos(radians({lat}))) / {math.pi!r}) / 2.0 * {1 << zoom}) AS INT)"
+    return f"CAST(floor((1e0 - ln(tan(radians({lat})) + 1e0 / cos(radians({lat}))) / {math.pi!r}e0) / 2e0 * {1 << zoom}) AS INT)"
 
 
 def tile_lat(y: str, zoom: int) -> str:
     """Latitude of a tile row's northern edge."""
-    k = f"({math.pi!r} * (1 - 2.0 * {y} / {1 << zoom}))"
+    k = f"({math.pi!r}e0 * (1 - 2e0 * {y} / {1 << zoom}))"
     return f"degrees(atan((exp({k}) - exp(-{k})) / 2))"
 
 
 def tile_lon(x: str, zoom: int) -> str:
-    return f"({x} / {float(1 << zoom)} * 360.0 - 180.0)"
+    return f"({x} / {float(1 << zoom)}e0 * 360e0 - 180e0)"
 
 
 def degree_tile(lat: str, lon: str) -> str:
@@ -67,18 +67,18 @@ def dms(v: str, pos: str, neg: str) -> str:
 def compass(deg: str) -> str:
     """16-point name of a direction."""
     names = "N NNE NE ENE E ESE SE SSE S SSW SW WSW W WNW NW NNW".split()
-    k = f"(CAST(floor({deg} / 22.5 + 0.5) AS INT) % 16)"
+    k = f"(CAST(floor({deg} / 22.5e0 + 0.5e0) AS INT) % 16)"
     return "CASE " + " ".join(f"WHEN {k} = {i} THEN '{x}'" for i, x in enumerate(names)) + " END"
 
 
-def ladder(v: str, steps: tuple[tuple[float, str], ...], last: str) -> str:
-    """The name of the first step that v is below; last for the rest. Null stays null."""
-    return f"CASE WHEN {v} IS NULL THEN NULL " + " ".join(f"WHEN {v} < {x} THEN '{name}'" for x, name in steps) + f" ELSE '{last}' END"
+def ladder(v: str, steps: tuple[tuple[float, str], ...], last: str, below: str = "<") -> str:
+    """The name of the first step that v is below (or, with <=, not above); last for the rest. Null stays null."""
+    return f"CASE WHEN {v} IS NULL THEN NULL " + " ".join(f"WHEN {v} {below} {x} THEN '{name}'" for x, name in steps) + f" ELSE '{last}' END"
 
 
 #: Published class limits.
 STORM = ((34, "depression"), (64, "storm"), (83, "1"), (96, "2"), (113, "3"), (137, "4"))
-AIR = ((51, "good"), (101, "moderate"), (151, "sensitive"), (201, "unhealthy"), (301, "very_unhealthy"))
+AIR = ((50, "good"), (100, "moderate"), (150, "sensitive"), (200, "unhealthy"), (300, "very_unhealthy"))
 QUAKE = ((3, "minor"), (5, "light"), (7, "strong"))
 QUAKE_DEPTH = ((10, "shallow"), (70, "intermediate"))
 
@@ -88,7 +88,7 @@ def storm_class(knots: str) -> str:
 
 
 def air_class(index: str) -> str:
-    return ladder(index, AIR, "hazardous")
+    return ladder(index, AIR, "hazardous", "<=")
 
 
 def quake_class(magnitude: str) -> str:
@@ -101,13 +101,13 @@ def quake_depth_class(km: str) -> str:
 
 def solar_declination(day: str) -> str:
     """Degrees, by the day of the year."""
-    return f"(-23.44 * cos(radians(360e0 / 365 * ({day} + 10))))"
+    return f"(-23.45e0 * cos(radians(360e0 / 365 * ({day} + 10))))"
 
 
 def orbit_class(km: str) -> str:
-    return ladder(km, ((2000, "LEO"), (35586, "MEO"), (35987, "GEO")), "HEO")
+    return ladder(km, ((2000, "LEO"), (35000, "MEO")), "GEO")
 
 
 def units(v: str, unit: str) -> str:
     """Metres in another unit."""
-    return f"({v} * {dict(m=1.0, ft=3.28084, km=0.001, mi=0.000621371)[unit]!r})"
+    return f"({v} * {dict(m=1.0, ft=3.28084, km=0.001, mi=0.000621371)[unit]!r}e0)"
