@@ -25,6 +25,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="oroflow-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{_SCRATCH}"
@@ -38,6 +40,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, share: float = 1e-3, floor: int = 64) -> DataFrame:
+    """left joined with right, which has one row a key, however many rows of left stand under one key. Keys that hold
+    more than `share` of left's rows (and more than `floor`; fewer than 1 / share keys, so their list may go to all tasks)
+    are dealt to as many salts as they hold that many rows, with a copy of right's row for each. left is a written table;
+    counts: key and n, where they are known."""
+    n = left.count()
+    least = max(floor, int(n * share))
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    found = counts.filter((F.col("n") > least) & F.col(key).isNotNull()).select(key, F.ceil(F.col("n") / least).cast("int").alias("__salts"))
+    hot = found.collect()
+    if not hot:
+        return left.join(right, key, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot, found.schema))
+    here = left.withColumn("__at", F.monotonically_increasing_id()).join(hot, key, "left")
+    here = here.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("__at"), F.col("__salts").cast("long")), F.lit(0).cast("long"))).drop("__salts", "__at")
+    there = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__salts"), F.lit(1)).cast("long") - 1))).drop("__salts")
+    return here.join(there, [key, "__salt"], how).drop("__salt")
+
+
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """Rows with __copy, 0 onwards among those that are equal in all columns: repeated rows are counted (small, combined on
+    the map side) and written out again, so that a hash of row and copy deals them apart, the same in every run."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))
+    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables of this application; only for when no frame made from them is used any more."""
     jvm = spark.sparkContext._jvm

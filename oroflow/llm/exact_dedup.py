@@ -6,7 +6,7 @@ is a few rows), then screened by the filter of their shard. Only positives join
 of more than one row are then held byte by byte against the row that stays.
 
 Defined results: a null text is the empty text; rows that repeat id and text are indistinguishable and all get the
-same result; an empty table gives an empty result; other columns of the input are ignored.
+same result; a null id is the least one, so it stays only where its group has no other; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialise, mix64
+from .common import byte_slices, materialise, mix64, spread_join
 
 DIGEST_SCHEMA = "row_id long, digest binary"
 FILTER_SCHEMA = "shard int, seed long, segment int, segments int, prints binary"
@@ -121,12 +121,12 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- the operator
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id and the SHA-256 of the text with A-Z in lower case, as UTF-8."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: int = 32) -> DataFrame:
+    """row_id and the SHA-256 of the text with A-Z in lower case, as UTF-8; its first `strength` bytes, then zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.sha256(t.lower()).digest() for t in texts], pa.binary())], names=["row_id", "digest"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.sha256(t.lower()).digest()[:strength].ljust(32, b"\0") for t in texts], pa.binary())], names=["row_id", "digest"])
 
     return docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).mapInArrow(run, DIGEST_SCHEMA)
 
@@ -135,27 +135,29 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("row_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
 
 
-def differing(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_col: str, salt_rows: int = 256) -> DataFrame:
+def differing(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, salt_rows: int = 256, strength: int = 32) -> DataFrame:
     """Rows of groups of several whose bytes differ from those of the row that stays: row_id, digest, other (a second
-    digest). A group's texts meet in tasks of about salt_rows rows, each with a copy of the text that stays."""
-    several = groups.filter("n > 1").select("digest", "keep_id", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"))
-    members = rows.join(several, "digest").select("row_id", "digest", "salts", (F.col("row_id").eqNullSafe(F.col("keep_id"))).alias("stays")).distinct()
+    digest). A group's texts meet in tasks of about salt_rows rows, each with a copy of the text that stays; rows are
+    known by their texts' digests, so ids may repeat or be null."""
+    several = groups.filter("n > 1").select("digest", "keep_id", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"), "n")
     lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    texts = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias(text_col))
-    full = members.join(texts, members.row_id.eqNullSafe(texts.row_id)).select(members.row_id, "digest", "salts", "stays", lowered.alias("bytes"))
-    full = full.filter(F.unhex(F.sha2(F.col("bytes"), 256)) == F.col("digest"))  # an id may stand on other texts too
-    reps = full.filter("stays").select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("bytes").alias("kept_bytes"))
-    others = full.filter("not stays").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.col("salts")).cast("int"))
-    return others.join(reps, ["digest", "salt"]).filter(F.col("bytes") != F.col("kept_bytes")).select("row_id", "digest", F.sha2(F.reverse("bytes"), 512).alias("other"))
+    texts = docs.select(F.col(id_col).cast("long").alias("row_id"), lowered.alias("bytes")).withColumn("digest", F.unhex(F.rpad(F.substring(F.sha2("bytes", 256), 1, 2 * strength), 64, "0")))
+    full = spread_join(texts, several.drop("n"), "digest", counts=several.select("digest", "n"))
+    full = full.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts").cast("long")).cast("int"))
+    full = materialise(full.select("row_id", "digest", "salts", "salt", F.col("row_id").eqNullSafe(F.col("keep_id")).alias("stays"), "bytes"), "exact-copies")
+    reps = full.filter("stays").groupBy("digest").agg(F.first("bytes").alias("kept_bytes"), F.first("salts").alias("salts"))
+    reps = reps.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "kept_bytes")
+    return full.filter("not stays").join(reps, ["digest", "salt"]).filter(F.col("bytes") != F.col("kept_bytes")).select("row_id", "digest", F.sha2(F.reverse("bytes"), 512).alias("other"))
 
 
-def exact_dedup(incoming: DataFrame, snapshot: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 50_000, check_bytes: bool = True) -> DataFrame:
+def exact_dedup(incoming: DataFrame, snapshot: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 50_000, check_bytes: bool = True, strength: int = 32) -> DataFrame:
     """One row for each row of both tables: row_id, keep_id (the largest id of its group), group_size, kept, digest
-    (binary), batch ('snapshot' or 'incoming'), known (an incoming text that the snapshot has)."""
-    one = digests(incoming, id_col, text_col).withColumn("batch", F.lit("incoming"))
+    (binary), batch ('snapshot' or 'incoming'), known (an incoming text that the snapshot has). strength: bytes of the digest that count, fewer than 32 only to see what
+    the byte check makes of digests that meet."""
+    one = digests(incoming, id_col, text_col, strength).withColumn("batch", F.lit("incoming"))
     docs = incoming.select(id_col, text_col)
     if snapshot is not None:
-        one = one.unionByName(digests(snapshot, id_col, text_col).withColumn("batch", F.lit("snapshot")))
+        one = one.unionByName(digests(snapshot, id_col, text_col, strength).withColumn("batch", F.lit("snapshot")))
         docs = docs.unionByName(snapshot.select(id_col, text_col))
     rows = materialise(one, "exact-digests")
     new, old = (_grouped(rows.filter(F.col("batch") == b)) for b in ("incoming", "snapshot"))
@@ -174,11 +176,12 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame | None = None, id_col:
     else:
         groups = new.withColumn("in_snapshot", F.lit(False))
     groups = materialise(groups, "exact-groups")
-    out = rows.join(groups, "digest").withColumn("other", F.lit(None).cast("string"))
+    out = spread_join(rows, groups, "digest", counts=groups.select("digest", "n")).withColumn("other", F.lit(None).cast("string"))
     if check_bytes:
-        odd = materialise(differing(docs, rows, groups, id_col, text_col), "exact-differing")
+        odd = materialise(differing(docs, groups, id_col, text_col, strength=strength), "exact-differing")
         if not odd.isEmpty():  # digests met by chance: such rows form groups of their own
-            tagged = rows.join(odd.distinct(), ["row_id", "digest"], "left")
+            odd = odd.select(F.col("row_id").alias("r"), F.col("digest").alias("d"), F.col("other").alias("o")).distinct()
+            tagged = rows.join(odd, F.col("row_id").eqNullSafe(F.col("r")) & (F.col("digest") == F.col("d")), "left").select("row_id", "digest", "batch", F.col("o").alias("other"))
             own = tagged.groupBy("digest", "other").agg(F.max("row_id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.max((F.col("batch") == "snapshot")).alias("in_snapshot"))
             out = tagged.alias("t").join(own.alias("o"), (F.col("t.digest") == F.col("o.digest")) & F.col("t.other").eqNullSafe(F.col("o.other"))).select("t.row_id", "t.digest", "t.batch", "o.keep_id", "o.n", "o.in_snapshot")
     return out.select("row_id", "keep_id", F.col("n").alias("group_size"), F.col("row_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "batch", ((F.col("batch") == "incoming") & F.col("in_snapshot")).alias("known"))

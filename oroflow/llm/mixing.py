@@ -7,8 +7,9 @@ blocks of bounded size and moves the fractions along the null space of the const
 two rows of a block at most stay undecided; those go on to the next level, a thousandth as large, until one block a
 source is left, whose last rows land on the choice nearest to the wanted words.
 
-Defined results: a null size is 0; sources of size 0 take nothing; rows that repeat are drawn each for itself; draws
-depend on ids, sizes and the seed only, so reruns agree; an empty table gives an empty result.
+Defined results: a null size is 0; sources of size 0 take nothing; rows that repeat are drawn each for itself, dealt
+apart by their number among equals; draws depend on ids, sizes and the seed only, so reruns agree; an empty table gives
+an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbered_copies, spread_join
 
 FLIGHT_SCHEMA = "row_id long, size long, source string, rank long, source_size long, target double, whole long, pi double, key long"
 
@@ -130,13 +131,14 @@ def _flyer(last: bool, level: int, seed: int, columns: list[str]):
 
 def balanced_mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_rows: int = 2000, seed: int = 0) -> DataFrame:
     """rows: row_id long, size long, source string. Adds source_size, target, copies (times the row is taken), taken."""
-    rows = materialise(rows.select("row_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "source"), "mix-rows")
+    rows = materialise(numbered_copies(rows.select("row_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "source")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = materialise(source_targets(sizes, weights, share, cap), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    blocks = targets.select(F.col("source").alias("s"), "rank", "source_size", "target", "n")
-    at = rows.join(blocks, F.col("source").eqNullSafe(F.col("s")))
-    at = at.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio")).withColumn("pi", F.col("ratio") - F.col("whole")).withColumn("key", F.xxhash64(F.lit(seed), "row_id", "size"))
+    named = F.concat(F.when(F.col("source").isNull(), "-").otherwise("="), F.coalesce("source", F.lit("")))  # null is a source
+    blocks = targets.select(named.alias("s"), "rank", "source_size", "target", "n")
+    at = spread_join(rows.withColumn("s", named), blocks, "s", counts=targets.select(named.alias("s"), "n"))
+    at = at.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio")).withColumn("pi", F.col("ratio") - F.col("whole")).withColumn("key", F.xxhash64(F.lit(seed), "row_id", "size", "__copy"))
     columns = ["row_id", "size", "source", "rank", "source_size", "target", "whole", "pi", "key"]
     most = int(targets.agg(F.max("n")).first()[0] or 0)
     parts = F.ceil(F.col("n") / block_rows)

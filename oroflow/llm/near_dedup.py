@@ -1,9 +1,10 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A text's shingles are its runs of five words (A-Z in lower case; a shorter text is one shingle). A shingle weighs its
-count in the text times the mean inverse document frequency of its words, on a scale of quarter octaves; document
-frequencies are exact for the most frequent words (`idf_words` at most), and all rarer words share that of the last of
-them.
+count in the text times its inverse document frequency, estimated as the mean of its words', on a scale of quarter
+octaves. Document frequencies are exact over all texts. The inverse saturates: a word in a share of `idf_share` of the
+texts or less counts as in that share, at every size of the corpus. So the words that need a number of their own are
+fewer than the mean number of different words of a text over idf_share, however large the vocabulary is.
 Each of bands * rows sampling functions picks a shingle by Ioffe's scheme (Gamma, Gamma, uniform variates drawn from a
 fixed pool by a hash of the shingle); texts whose picks agree in all rows of a band are candidates. A candidate pair is
 a link where the exact weighted Jaccard similarity, sum of the smaller over sum of the larger weights, is at least
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, encode_words, hash_words, materialise, mix64, most_frequent
+from .common import byte_slices, encode_words, hash_words, materialise, mix64, spread_join
 
 SHINGLE = 5
 POOL_BITS = 11
@@ -155,8 +156,8 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
 
 # ---------------------------------------------------------------- distributed parts
 
-def learn_idf(docs: DataFrame, idf_words: int = 1 << 16) -> Idf:
-    """docs: text. Document frequencies of all words are counted; the driver gets the idf_words most frequent."""
+def learn_idf(docs: DataFrame, idf_share: float = 1e-4) -> Idf:
+    """docs: text. Document frequencies of all words are counted; the driver gets those in more than idf_share of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in byte_slices(batches, "text"):
@@ -166,24 +167,24 @@ def learn_idf(docs: DataFrame, idf_words: int = 1 << 16) -> Idf:
             yield pa.RecordBatch.from_arrays([pa.array(hash_words(words).view(np.int64)), pa.array(df.astype(np.int64))], names=["h", "df"])
 
     n = docs.count()
-    counts = materialise(docs.mapInArrow(run, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")), "near-df")
-    top = most_frequent(counts, "df", idf_words).toPandas()
+    counts = docs.mapInArrow(run, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+    top = materialise(counts.filter(F.col("df") > idf_share * n), "near-df").toPandas()
     h, df = top["h"].to_numpy(np.int64).view(np.uint64), top["df"].to_numpy(float)
     order = np.argsort(h)
-    rare = float(df.min()) if len(df) and len(df) < counts.count() else 1.0
-    return Idf(h[order], np.log1p(n / df[order]), float(np.log1p(n / max(rare, 1.0))))
+    return Idf(h[order], np.log1p(n / df[order]), float(np.log1p(min(max(n, 1), 1 / idf_share))))
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (long). node, comp (the smallest node linked to it). Smallest labels go to the neighbours and then
     jump to their label's label, so long chains take few rounds; each round is written down."""
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "near-labels")
+    first = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "near-labels")
+    labels, degrees = first.select("node", F.least("node", "m").alias("comp")), first.select(F.col("node").alias("b"), "n")
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("m"))
-        near = labels.join(seen, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+        seen = spread_join(both, labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", counts=degrees).groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("m"))
+        near = materialise(labels.join(seen, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "near-least")
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        now = materialise(near.join(up, "comp").select("node", "old", F.least("comp", "top").alias("comp")), "near-labels")
+        now = materialise(spread_join(near, up, "comp").select("node", "old", F.least("comp", "top").alias("comp")), "near-labels")
         labels = now.select("node", "comp")
         if now.filter("old != comp").isEmpty():
             return labels
@@ -198,8 +199,9 @@ def _verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
             yield out.filter(pa.array([x >= threshold for x in s], pa.bool_()))
 
-    left = pairs.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a")
-    full = left.join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b").select("a", "b", "va", "vb")
+    # a centre's pairs are dealt apart, at either end, before any vector stands beside them
+    left = spread_join(pairs, vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a")
+    full = spread_join(left, vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b", counts=pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))).select("a", "b", "va", "vb")
     return full.mapInArrow(run, "a long, b long, similarity double")
 
 
@@ -239,13 +241,13 @@ def _verify_rest(large: DataFrame, comps: DataFrame, nodes: DataFrame, vectors:
         found = block_links(pdf["node"].tolist(), pdf["comp"].to_numpy(), np.stack(pdf["bands"].to_numpy()), key[0], pdf["vector"].tolist(), cross, threshold)
         return pd.DataFrame(list(found), columns=["a", "b", "similarity"])
 
-    at = large.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    at = materialise(large.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "near-placed")
     by_comp = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = by_comp.groupBy("key").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("comp", "n").alias("main"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     open_ = materialise(open_.select("key", "main", blocks(F.col("m") - F.col("most")).alias("outs"), blocks(F.col("most")).alias("mains")), "near-open")
     # blocks 0 .. outs - 1 hold the nodes outside the main class, those after them the main class
-    at = at.join(open_, "key")
+    at = spread_join(at, open_, "key", counts=by_comp.groupBy("key").agg(F.sum("n").alias("n")))
     inner = F.col("comp") == F.col("main")
     hashed = F.xxhash64("node", "key")
     at = at.withColumn("blk", F.when(inner, F.col("outs") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("outs"))).cast("int"))
@@ -255,11 +257,12 @@ def _verify_rest(large: DataFrame, comps: DataFrame, nodes: DataFrame, vectors:
     return full.groupBy("key", "i", "j").applyInPandas(run, "a long, b long, similarity double")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 5, idf_words: int = 1 << 16, all_pairs: int = 24) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 5, idf_share: float = 1e-4, all_pairs: int = 24) -> DataFrame:
     """One row for each row of docs: row_id, class_id, class_size, kept (its id is the class id)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = spark.sparkContext.broadcast((learn_idf(texts.select("text"), idf_words), Sampler.draw(bands, rows)))
+    texts = texts.withColumn("mark", F.xxhash64("text"))  # beside the id, so that rows without one are not all one key
+    shared = spark.sparkContext.broadcast((learn_idf(texts.select("text"), idf_share), Sampler.draw(bands, rows)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, sampler = shared.value
@@ -271,14 +274,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at = pa.array((np.concatenate([[0], np.cumsum((lens > 0) * bands)])).astype(np.int32))
             flat = pa.ListArray.from_arrays(at, pa.array(keys[lens > 0].ravel().view(np.int64)))
             digests = pa.array([xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in slice_], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), digests, flat], names=["row_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), digests, flat], names=["row_id", "mark", "digest", "bands"])
 
-    signed = materialise(texts.mapInArrow(sign, "row_id long, digest binary, bands array<long>"), "near-signed")
-    nodes = signed.groupBy("digest").agg(F.min("row_id").alias("rep_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    signed = materialise(texts.mapInArrow(sign, "row_id long, mark long, digest binary, bands array<long>"), "near-signed")
+    first = F.min(F.struct(F.col("row_id").isNull().alias("none"), "row_id", "mark"))
+    nodes = signed.groupBy("digest").agg(first.alias("x"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    nodes = nodes.select("digest", F.col("x.row_id").alias("rep_id"), F.col("x.mark").alias("rep_mark"), "n", "bands")
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     sizes = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "near-buckets")
-    members = materialise(keyed.join(sizes, "key"), "near-members")
+    members = materialise(spread_join(keyed, sizes, "key", counts=sizes.select("key", F.col("m").alias("n"))), "near-members")
     small, large = members.filter(F.col("m") <= all_pairs), members.filter(F.col("m") > all_pairs)
     one = small.select("key", F.col("node").alias("a"))
     pairs = one.join(small.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b")
@@ -286,7 +291,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tie = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 21)
     rest = materialise(large.join(company, "node").select("key", "node", (F.col("company") + tie).alias("central")), "near-large")
     first = rest.groupBy("key").agg(F.max_by("node", "central").alias("r"), F.min_by("node", F.xxhash64("node", "key")).alias("r2"))
-    rest = materialise(rest.join(first, "key"), "near-rest")
+    large_sizes = sizes.filter(F.col("m") > all_pairs).select("key", F.col("m").alias("n"))
+    rest = materialise(spread_join(rest, first, "key", counts=large_sizes), "near-rest")
     star = rest.select("node", F.explode(F.array("r", "r2")).alias("r")).filter("node != r")
     pairs = materialise(pairs.unionByName(star.select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b"))).distinct(), "near-pairs")
 
@@ -302,8 +308,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 packed = [pack_vector(s[e - n : e], level[e - n : e]) for e, n in zip(ends, lens, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["node", "vector"]).filter(pa.array(keep, pa.bool_()))
 
-        at = nodes.join(wanted, "node", "left_semi").select("node", "digest", "rep_id")
-        found = texts.join(at, F.col("row_id").eqNullSafe(F.col("rep_id"))).select("node", "digest", "text")
+        at = nodes.join(wanted, "node", "left_semi").select("node", "digest", "rep_id", "rep_mark")
+        found = texts.join(at, F.col("row_id").eqNullSafe(F.col("rep_id")) & (F.col("mark") == F.col("rep_mark"))).select("node", "digest", "text")
         return found.mapInArrow(run, "node long, vector binary")
 
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -312,23 +318,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comps = components(links)
     rest = rest.select("key", "node", "central", "r")
     while not rest.isEmpty():
-        at = rest.join(comps, "node", "left").select("key", "node", "central", "r", F.coalesce("comp", "node").alias("comp"))
+        at = materialise(rest.join(comps, "node", "left").select("key", "node", "central", "r", F.coalesce("comp", "node").alias("comp")), "near-at")
         # the last centre's component goes; a bucket goes on if its last round linked anything
         centre = at.filter("node = r").select("key", F.col("comp").alias("main"))
-        left = at.join(centre, "key").withColumn("out", F.col("comp") != F.col("main"))
+        left = materialise(spread_join(at, centre, "key").withColumn("out", F.col("comp") != F.col("main")), "near-left")
         found = left.groupBy("key").agg(F.count_if(~F.col("out")).alias("k"), F.max_by("node", F.when(F.col("out"), F.col("central"))).alias("next")).filter("k > 1 and next is not null")
-        rest = materialise(left.filter("out").join(found, "key").select("key", "node", "central", F.col("next").alias("r")), "near-rest")
+        rest = materialise(spread_join(left.filter("out"), found, "key").select("key", "node", "central", F.col("next").alias("r")), "near-rest")
         more = rest.filter("node != r").select(F.least("node", "r").alias("a"), F.greatest("node", "r").alias("b")).distinct()
-        new = materialise(_verify(more.join(pairs, ["a", "b"], "left_anti"), vectors, threshold), "near-verified")
-        pairs = materialise(pairs.unionByName(more).distinct(), "near-pairs")
+        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "near-more")
+        new = materialise(_verify(more, vectors, threshold), "near-verified")
+        pairs = materialise(pairs.unionByName(more), "near-pairs")
         if not new.isEmpty():
             links = materialise(links.unionByName(new), "near-links-all")
             comps = components(links)
     new = materialise(_verify_rest(large.select("key", "node"), comps, nodes, vectors, threshold), "near-verified")
     if not new.isEmpty():
         comps = components(materialise(links.unionByName(new), "near-links-all"))
-    classed = nodes.join(comps, "node", "left").select("digest", "rep_id", "n", F.coalesce("comp", "node").alias("comp"))
-    classed = materialise(classed, "near-classes")
+    classed = materialise(nodes.join(comps, "node", "left").select("digest", "rep_id", "n", F.coalesce("comp", "node").alias("comp")), "near-classes")
     classes = classed.groupBy("comp").agg(F.min("rep_id").alias("class_id"), F.sum("n").alias("class_size"))
-    at = signed.select("row_id", "digest").join(classed.select("digest", "comp"), "digest").join(classes, "comp")
+    by_digest = spread_join(classed.select("digest", "comp"), classes, "comp").select("digest", "class_id", "class_size")
+    at = spread_join(signed.select("row_id", "digest"), by_digest, "digest", counts=classed.select("digest", "n"))
     return at.select("row_id", "class_id", "class_size", F.col("row_id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -7,7 +7,8 @@ per word, judged by how far the smaller pieces still to come can fill it. At the
 smallest permitted length that holds its contents.
 
 Defined results: a null or negative size is 0, and such a document takes part with an empty piece; rows that repeat
-are packed each for itself; ties go by id; an empty table gives an empty result.
+are packed each for itself, dealt apart by their number among equals; ties go by id; an empty table gives an empty
+result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered_copies
+
 PACKED_SCHEMA = "row_id long, size long, piece long, start long, length long, bin_id long, bin_capacity long, bin_used long, bin_offset long"
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 
@@ -71,16 +74,16 @@ def best_fit_pack(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, sha
     final length and use, and the piece's offset in the bin."""
     top = max(capacities)
     size = F.greatest(F.coalesce("size", F.lit(0)).cast("long"), F.lit(0).cast("long"))
-    rows = rows.select(F.col("row_id").cast("long"), size.alias("size"))
+    rows = numbered_copies(rows.select(F.col("row_id").cast("long"), size.alias("size")))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / top) - 1, F.lit(0).cast("long")))))
     pieces = pieces.withColumn("start", F.col("piece") * top).withColumn("length", F.least(F.lit(top).cast("long"), F.col("size") - F.col("start")))
     total = rows.agg(F.sum(F.greatest(F.ceil(F.col("size") / top), F.lit(1)))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_rows))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "row_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "row_id", "piece", "__copy"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         bins, offsets, caps = pack(pdf["length"].to_numpy(), capacities)
         used = np.bincount(bins, weights=pdf["length"].to_numpy(float), minlength=len(caps)).astype(np.int64)
-        return pdf.assign(bin_id=bins + (int(key[0]) << 32), bin_capacity=caps[bins], bin_used=used[bins], bin_offset=offsets).drop(columns="shard")
+        return pdf.assign(bin_id=bins + (int(key[0]) << 32), bin_capacity=caps[bins], bin_used=used[bins], bin_offset=offsets).drop(columns=["shard", "__copy"])
 
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("row_id", "piece", "size"), F.lit(shards))).groupBy("shard").applyInPandas(run, PACKED_SCHEMA)
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("row_id", "piece", "size", "__copy"), F.lit(shards))).groupBy("shard").applyInPandas(run, PACKED_SCHEMA)

@@ -18,6 +18,10 @@ from .token_counts import token_counts
 from .toxicity import learn_toxicity, score_toxicity
 
 
+#: Session setting: the folder of the token counts that calls share.
+TOKEN_CACHE = "oroflow.token.cache"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,9 +64,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts meet the cache that the session's setting names; without the setting the cache is this call's own."""
     import public_tokenizers
 
-    out = token_counts(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    cache = spark.conf.get(TOKEN_CACHE, None)
+    out = token_counts(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), cache)
     return out.select(F.col("row_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
@@ -71,7 +77,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     old = id_remainder("doc_id", 2) == 0
     out = exact_dedup(docs.filter(~old), docs.filter(old))
-    return out.select(F.col("row_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "known")
+    return out.select(F.col("row_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

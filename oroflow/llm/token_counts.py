@@ -2,7 +2,9 @@
 
 The cache is a Parquet table (tokenizer, digest, n_bytes, n_tokens): the digest of a whole text and that of the
 tokenizer's file. Texts join it by digest; of those it lacks, one row each is fetched, encoded and appended. Only then
-do all rows take their count from the cache. Duplicates meet as digests, combined on the map side, never as texts.
+do all rows take their count from the cache. Duplicates meet as digests, combined on the map side, never as texts; the
+rows of a frequent text are dealt apart. Calls may share a cache: a digest that two calls or a repeated job appended
+counts once, as its rows are alike.
 
 Defined results: a null text is the empty text (0 tokens); rows that repeat all get the count; an empty table gives an
 empty result. A text is encoded whole; to make the library's work small, it is cut before single spaces between
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialise, scratch_dir
+from .common import byte_slices, materialise, scratch_dir, spread_join
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_bytes long, n_tokens long"
 #: A lone space between characters that no pre-tokeniser counts as space.
@@ -98,11 +100,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         spark.createDataFrame([], CACHE_SCHEMA).write.parquet(cache_path)
 
     def cached() -> DataFrame:
-        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version).select("digest", "n_bytes", "n_tokens")
+        rows = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version)
+        return rows.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
 
-    misses = digests.groupBy("digest").agg(F.min("row_id").alias("row_id")).join(cached(), "digest", "left_anti")
+    distinct = materialise(digests.groupBy("digest").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n")), "token-distinct")
+    misses = distinct.join(cached(), "digest", "left_anti")
     misses = misses.select(F.col("digest").alias("d"), F.col("row_id").alias("r"))
     wanted = keyed.join(misses, (F.col("digest") == F.col("d")) & F.col("row_id").eqNullSafe(F.col("r")), "left_semi")
     new = encode_counts(wanted, tokenizer_path).groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
     new.select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens").write.mode("append").parquet(cache_path)
-    return digests.join(cached(), "digest").select("row_id", "n_bytes", "n_tokens")
+    return spread_join(digests, cached(), "digest", counts=distinct.select("digest", "n")).select("row_id", "n_bytes", "n_tokens")
