@@ -4,9 +4,10 @@ Each language has a context tree over bytes up to `ORDER` bytes deep, learned on
 texts (docs_per_lang, chosen by a hash of the id) and then frozen. A byte's code length comes from the longest context
 that the tree has, with escapes to shorter ones (method C: a context seen n times with d different bytes escapes with
 d / (n + d)) and with exclusion of the bytes that the longer contexts had; below the root, all 256 bytes are alike.
-As the statistics are frozen, the exact code lengths of all contexts are laid out in one table (max_cells at most), and
-a text's code length in every language is a sum of its rows. The least code length wins; the score is its share of
-2^-length over the languages.
+As the statistics are frozen, what a context takes from each shorter one is worked out once, so the exact code length of
+a byte is that number and one count. A slice of texts is coded through its different runs of ORDER + 1 bytes, language
+by language. The least code length wins; the score is its share of 2^-length over the languages. Nothing but the labelled
+sample bounds a tree: every language that has a labelled text has its own, with all its contexts.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any labelled text every text is
 `und`; ties go to the first language by code point; an empty table gives an empty result; rows that repeat get the
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, byte_slices, materialise, most_frequent, with_columns_schema
+from .common import append_columns, byte_slices, materialise, with_columns_schema
 
 ORDER = 3
 PAD = b"\n" * ORDER
@@ -48,102 +49,107 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _last(keys: np.ndarray, n: int) -> np.ndarray:
+    """The last n bytes of each run of bytes."""
+    return keys & np.uint32((1 << 8 * n) - 1)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in an ascending table; -1 where it is not there."""
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+@dataclass
+class ContextTree:
+    """One language. For each order k: the runs of k + 1 bytes and their counts, the contexts of k bytes, and for each
+    context what one count of order k, k - 1, ..., 0 and a byte without any count are worth."""
+
+    grams: list[np.ndarray]
+    counts: list[np.ndarray]
+    contexts: list[np.ndarray]
+    shares: list[np.ndarray]
+
+    @classmethod
+    def build(cls, gram: np.ndarray, n: np.ndarray) -> ContextTree:
+        """gram: runs of ORDER + 1 bytes as one number, first byte highest; n: how often each was seen."""
+        grams, counts, contexts, total, kinds, below = [], [], [], [], [], []
+        for k in range(ORDER + 1):
+            g, where = np.unique(_last(gram.astype(np.uint32), k + 1), return_inverse=True)
+            c = np.bincount(where, weights=n)
+            ctx, of = np.unique(g >> np.uint32(8), return_inverse=True)
+            grams, counts, contexts = [*grams, g], [*counts, c], [*contexts, ctx]
+            total.append(np.bincount(of, weights=c))
+            kinds.append(np.bincount(of).astype(float))
+            # what the bytes seen after a context count in the next shorter one, where they are excluded
+            below.append(np.bincount(of, weights=counts[k - 1][_find(grams[k - 1], _last(g, k))]) if k else None)
+        shares = []
+        for k in range(ORDER + 1):
+            own = [_find(contexts[d], _last(contexts[k], d)) for d in range(k + 1)]
+            left, part = np.ones(len(contexts[k])), np.zeros((len(contexts[k]), k + 2))
+            for d in range(k, -1, -1):
+                t, different = total[d][own[d]], kinds[d][own[d]]
+                if d < k:
+                    t, different = t - below[d + 1][own[d + 1]], different - kinds[d + 1][own[d + 1]]
+                use = different > 0
+                part[:, k - d] = np.where(use, left / np.maximum(t + different, 1), 0.0)
+                left = np.where(use, part[:, k - d] * different, left)
+            part[:, k + 1] = left / np.maximum(256 - kinds[0][0], 1)
+            shares.append(part)
+        return cls(grams, counts, contexts, shares)
+
+    def bits(self, runs: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each run of ORDER + 1 bytes."""
+        p, left = np.zeros(len(runs)), np.arange(len(runs))
+        for k in range(ORDER, -1, -1):  # the longest context that the tree has
+            at = _find(self.contexts[k], _last(runs[left] >> np.uint32(8), k))
+            here, share = left[at >= 0], self.shares[k][at[at >= 0]]
+            left = left[at < 0]
+            for d in range(k, -1, -1):  # the longest of its ends that was followed by the byte
+                got = _find(self.grams[d], _last(runs[here], d + 1))
+                seen = got >= 0
+                p[here[seen]] = self.counts[d][got[seen]] * share[seen, k - d]
+                here, share = here[~seen], share[~seen]
+            p[here] = share[:, k + 1]
+        return -np.log2(np.maximum(p, 1e-12))
+
+
 @dataclass
 class ContextTrees:
     langs: list[str]
-    symbol: np.ndarray  # byte -> symbol; 0 for bytes that no language has
-    bits: int
-    row: np.ndarray  # ORDER symbols -> row of the longest context that a tree has
-    cost: np.ndarray  # (row * symbols + symbol, language) -> bits
+    trees: list[ContextTree]
 
     @classmethod
-    def build(cls, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_cells: int = 12_000_000) -> ContextTrees:
+    def build(cls, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> ContextTrees:
         """lang: index into langs, for each (gram, n)."""
-        gram = gram.astype(np.int64)
-        heard = np.bincount(gram & 255, weights=n, minlength=256) + np.bincount(gram >> 24, minlength=256) + np.bincount(gram >> 16 & 255, minlength=256) + np.bincount(gram >> 8 & 255, minlength=256)
-        bits = 7 if np.count_nonzero(heard) < 128 else 8
-        kept = np.argsort(-heard, kind="stable")[: (1 << bits) - 1]
-        symbol = np.zeros(256, np.int64)
-        symbol[kept[heard[kept] > 0]] = np.arange(1, np.count_nonzero(heard[kept]) + 1)
-        size = int(symbol.max()) + 1
-        parts = [symbol[gram >> 8 * k & 255] for k in range(ORDER, -1, -1)]
-        ctx = parts[0] << 2 * bits | parts[1] << bits | parts[2]
-        weight = np.bincount(ctx, weights=n, minlength=1 << 3 * bits)
-        most = max(1, max_cells // (size * len(langs)))
-        contexts = [np.argsort(-weight, kind="stable")[: min(most, np.count_nonzero(weight))]]  # of 3 symbols, then 2, 1, 0
-        contexts += [np.unique(ctx & (1 << k * bits) - 1) for k in (2, 1, 0)]
-        row, first, shorter = np.zeros(1 << 3 * bits, np.int32), 0, []
-        firsts = np.cumsum([0, *map(len, contexts)])
-        every = np.arange(1 << 3 * bits)
-        for k, found, first in zip((0, 1, 2, 3), contexts[::-1], firsts[:-1][::-1], strict=True):
-            at = np.full(1 << k * bits, -1, np.int32)
-            at[found] = first + np.arange(len(found))
-            now = at[every & (1 << k * bits) - 1]
-            row = np.where(now >= 0, now, row).astype(np.int32)
-            shorter.append(at)
-        cost = np.empty((firsts[-1], size, len(langs)), np.float32)
-        for j in range(len(langs)):
-            mine = lang == j
-            counts = []
-            for k in (0, 1, 2, 3):
-                at = shorter[k][ctx[mine] & (1 << k * bits) - 1]
-                there = at >= 0
-                first = firsts[3 - k]
-                flat = np.bincount((at[there] - first) * size + parts[3][mine][there], weights=n[mine][there], minlength=len(contexts[3 - k]) * size)
-                counts.append(flat.reshape(-1, size))
-            for k in (0, 1, 2, 3):
-                own = contexts[3 - k]
-                p = np.zeros((len(own), size))
-                free, left = np.ones((len(own), size), bool), np.ones(len(own))
-                for d in range(k, -1, -1):  # from the longest context down to the root
-                    c = counts[d][shorter[d][own & (1 << d * bits) - 1] - firsts[3 - d]] * free if d < k else counts[d] * free
-                    total, kinds = c.sum(1), (c > 0).sum(1)
-                    use = total > 0
-                    share = np.where(use, left / np.maximum(total + kinds, 1), 0.0)
-                    p += c * share[:, None]
-                    left = np.where(use, share * kinds, left)
-                    free &= c == 0
-                p += np.where(free, left[:, None] / np.maximum(256 - (~free).sum(1), 1)[:, None], 0.0)
-                cost[firsts[3 - k] : firsts[4 - k], :, j] = -np.log2(np.maximum(p, 1e-12))
-        return cls(langs, symbol, bits, row, cost.reshape(-1, len(langs)))
-
-    def code_lengths(self, texts: list[bytes], chunk: int = 1 << 19) -> np.ndarray:
+        return cls(langs, [ContextTree.build(gram[lang == j], n[lang == j]) for j in range(len(langs))])
+
+    def code_lengths(self, texts: list[bytes], chunk: int = 1 << 22) -> np.ndarray:
         """Bits of each text in each language."""
         out = np.zeros((len(texts), len(self.langs)))
-        buf = self.symbol[np.frombuffer(b"".join(PAD + t.lower() for t in texts) + PAD, np.uint8)]
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        starts = np.cumsum(lens + ORDER) - lens
-        b, size = self.bits, len(self.cost) // (int(self.row.max()) + 1)
-        for lo in range(ORDER, len(buf) - ORDER, chunk):
-            hi = min(lo + chunk, len(buf) - ORDER)
-            ctx = buf[lo - 3 : hi - 3] << 2 * b | buf[lo - 2 : hi - 2] << b | buf[lo - 1 : hi - 1]
-            doc = np.searchsorted(starts, np.arange(lo, hi, dtype=np.int64), "right") - 1 if hi - lo < 64 else None
-            if doc is None:  # few texts, many bytes
-                edges = np.clip(np.concatenate([starts, [len(buf)]]), lo, hi) - lo
-                doc = np.repeat(np.arange(len(texts)), np.diff(edges))
-                head = lo + edges[0]
-            else:
-                head, doc = lo + int((doc < 0).sum()), doc[doc >= 0]
-            at = np.arange(head, head + len(doc))
-            own = at < (starts + lens)[doc]  # not the padding before the next text
-            rows = self.cost[self.row[ctx[at - lo][own]] * size + buf[at[own]]]
-            mine = doc[own]
-            if len(mine):
-                cuts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-                out[mine[cuts]] += np.add.reduceat(rows, cuts, axis=0, dtype=np.float64)
+        buf = np.frombuffer(b"".join(PAD + t.lower() for t in texts), np.uint8).astype(np.uint32)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), lens)
+        places = np.arange(len(doc)) + ORDER * (doc + 1)  # of each text's own bytes in buf
+        for lo in range(0, len(doc), chunk):
+            mine, at = doc[lo : lo + chunk], places[lo : lo + chunk]
+            runs, which = np.unique(buf[at - 3] << np.uint32(24) | buf[at - 2] << np.uint32(16) | buf[at - 1] << np.uint32(8) | buf[at], return_inverse=True)
+            for j, tree in enumerate(self.trees):
+                out[:, j] += np.bincount(mine, weights=tree.bits(runs)[which], minlength=len(texts))
         return out
 
 
-def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_grams: int = 250_000, max_langs: int = 512) -> ContextTrees | None:
+def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500) -> ContextTrees | None:
     """labelled: texts with their language. The sample of a language is the texts whose hashed id is under
-    docs_per_lang / (its texts). The driver gets the sizes of the max_langs most frequent languages, which go to the texts
-    as a broadcast, so no text is shuffled; and max_grams counted contexts at most, the most frequent."""
+    docs_per_lang / (its texts), so labelled texts of one language are learned from in that number at most, but for chance.
+    The driver gets the sizes of the languages, which go to the texts as a broadcast, so no text is shuffled; and the
+    counted runs of bytes of the sample."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), lang_col).limit(max_langs).collect()
+    sizes = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__n")).collect()
     sizes = F.broadcast(labelled.sparkSession.createDataFrame(sizes, f"`{lang_col}` string, __n long"))
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) * F.col("__n") < docs_per_lang * (1 << 20)
     sample = rows.join(sizes, lang_col).filter(part)
-    grams = most_frequent(materialise(gram_counts(sample, text_col, lang_col), "lang-grams"), "n", max_grams).toPandas().sort_values(["lang", "gram"])
+    grams = materialise(gram_counts(sample, text_col, lang_col), "lang-grams").toPandas().sort_values(["lang", "gram"])
     if not len(grams):
         return None
     langs = sorted(grams["lang"].unique(), key=lambda x: x.encode())

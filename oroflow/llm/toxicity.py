@@ -4,9 +4,11 @@ Words get log-odds of the toxic against the other labelled texts under an inform
 proportion to the word's share of all labelled texts, prior_share of their words in all). Words that the labels mark clearly (z at least min_z) keep their
 log-odds as score; every other word scores `-drift`, so segments have a negative expectation and the linear-time scan
 of Ruzzo and Tompa gives all maximal ones. Scores are calibrated as extreme values: lambda solves the Karlin-Altschul
-equation on the words of texts that are not toxic, a segment's bits are lambda S - ln(n), and one is significant where
-its expected number by chance is under max_e. A text's score is a logistic function of its best segment, of the sum over
-significant ones and of its length, fitted on the labelled sample.
+equation on the words of texts that are not toxic, K is the maximum-likelihood one of their best segments (of texts of n
+words the best has P(S or more) = 1 - exp(-K n exp(-lambda S))), a segment's bits are lambda S - ln(K n), and one is
+significant where its expected number by chance is under max_e. A text is judged by two chances: that of its best
+segment, and that of the sum of all segments with positive bits (the sum statistic of r segments). Its score is a
+logistic function of the logarithms of the two, fitted on the labelled sample.
 
 Labels come from a bounded sample (max_labelled rows, by a hash of the id). Defined results: a null text is the empty
 text and gets a score; null labels are left out; without labels of both kinds every score is 0; rows that repeat get the
@@ -18,6 +20,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from math import lgamma
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,34 +64,56 @@ def normalise(words: list[bytes]) -> list[bytes]:
     return [w.strip(_EDGE) or w for w in words]
 
 
+def best_chance(bits: float) -> float:
+    """-ln of the chance that a text's best segment has so many bits or more."""
+    return bits if bits > 30 else float(-np.log(-np.expm1(-np.exp(-bits))))
+
+
+def sum_chance(bits: list[float]) -> float:
+    """-ln of the chance that r segments have so many bits in all or more, e^-t t^(r-1) / (r! (r-1)!); at least 0."""
+    t, r = sum(bits), len(bits)
+    return max(0.0, t - (r - 1) * np.log(t) + lgamma(r + 1) + lgamma(r)) if r else 0.0
+
+
+def fit_k(x: np.ndarray, words: np.ndarray) -> float:
+    """K by maximum likelihood of the best segments: x is lambda S of each text, 0 for a text without a segment."""
+    return max(float((x > 0).sum()), 1.0) / max(float(np.sum(words * np.exp(-x))), 1e-9)
+
+
 @dataclass
 class ToxicModel:
     words: dict[bytes, float] = field(default_factory=dict)
     drift: float = 0.5
     lam: float = 1.0
+    k: float = 1.0
     max_e: float = 0.5
-    weights: tuple[float, ...] = (-50.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (-50.0, 0.0, 0.0)
 
-    def features(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """For each text: the best segment's bits and the summed bits of the significant ones, on a log scale (a text made
-        of insults must not set the scale), ln of its words; and the significant segments."""
+    def segments(self, texts: list[bytes]) -> tuple[np.ndarray, dict[int, list[tuple[int, int, float]]]]:
+        """Words of each text, and the maximal segments of those that have any."""
         codes, lens, words = encode_words(texts)
         value = np.fromiter((self.words.get(w, 0.0) for w in normalise(words)), float, len(words))
         hits = np.flatnonzero(value[codes] > 0) if len(words) else np.zeros(0, int)
         ends = np.cumsum(lens)
         doc = np.searchsorted(ends, hits, "right")
-        out, found = np.zeros((len(texts), 3)), [[] for _ in texts]
-        out[:, 2] = np.log1p(lens)
+        found: dict[int, list[tuple[int, int, float]]] = {}
         cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
         for d in np.unique(doc).tolist():
             at = hits[cuts[d] : cuts[d + 1]]
             first = ends[d] - lens[d]
-            segments = maximal_segments(list(zip((at - first).tolist(), value[codes[at]].tolist(), strict=True)), self.drift)
-            bits = [self.lam * s - out[d, 2] for _, _, s in segments]
-            found[d] = [(a, b, s) for (a, b, s), e in zip(segments, bits, strict=True) if np.exp(-e) < self.max_e]
-            out[d, 0] = np.log1p(max(self.lam * s for _, _, s in segments))
-            out[d, 1] = np.log1p(sum(max(0.0, e) for e in bits))
-        return out, found
+            found[d] = maximal_segments(list(zip((at - first).tolist(), value[codes[at]].tolist(), strict=True)), self.drift)
+        return lens, found
+
+    def features(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+        """For each text -ln of the two chances, on a log scale (a text made of insults must not set the scale); and the
+        significant segments."""
+        lens, segments = self.segments(texts)
+        out, significant = np.zeros((len(texts), 2)), [[] for _ in texts]
+        for d, found in segments.items():
+            bits = [self.lam * s - np.log(self.k * lens[d]) for _, _, s in found]
+            significant[d] = [x for x, e in zip(found, bits, strict=True) if np.exp(-e) < self.max_e]
+            out[d] = np.log1p(best_chance(max(bits))), np.log1p(sum_chance([e for e in bits if e > 0]))
+        return out, significant
 
     def score(self, features: np.ndarray) -> np.ndarray:
         w = np.array(self.weights)
@@ -121,9 +147,9 @@ def karlin_lambda(scores: np.ndarray, p: np.ndarray) -> float:
     return min(hi, 4.0)
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 12_000, max_words: int = 20_000, min_z: float = 3.0, prior_share: float = 0.05, drift: float = 0.5) -> ToxicModel:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 12_000, min_z: float = 3.0, prior_share: float = 0.05, drift: float = 0.5) -> ToxicModel:
     """labels: id, label 0/1, only rows that may be learned from. Word counts are made by the executors; the driver gets
-    max_words words and max_labelled rows of features at most."""
+    the clearly marked words of at most max_labelled texts, and one row of features for each of these."""
     spark = docs.sparkSession
     pick = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     # a share that gives 95 % of max_labelled, so that it is not passed; a sorted limit would send that many rows of every partition
@@ -151,21 +177,31 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     odds = lambda c, n: F.log((F.col(c) + alpha) / (F.lit(n + prior) - F.col(c) - alpha))
     delta = odds("c1", n1) - odds("c0", n0)
     z = delta / F.sqrt(1 / (F.col("c1") + alpha) + 1 / (F.col("c0") + alpha))
-    top = counts.withColumn("delta", delta).withColumn("z", z).filter((F.col("z") >= min_z) & (F.col("delta") > 1.0)).orderBy(F.desc("z"), "word").limit(max_words).toPandas()
+    top = counts.withColumn("delta", delta).withColumn("z", z).filter((F.col("z") >= min_z) & (F.col("delta") > 1.0)).toPandas().sort_values("word")
     words = {w.encode(): float(s) for w, s in zip(top["word"], top["delta"], strict=True)}
     p = (top["c0"].to_numpy(float) + prior * (top["c0"] + top["c1"]).to_numpy(float) / (n0 + n1)) / (n0 + prior)
     lam = karlin_lambda(np.concatenate([top["delta"].to_numpy(float), [-drift]]), np.concatenate([p, [max(0.0, 1 - p.sum())]]))
     model = ToxicModel(words, drift, lam)
     shared = spark.sparkContext.broadcast(model)
 
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in byte_slices(batches, "text"):
+            lens, found = shared.value.segments(texts)
+            x = np.array([max((s for _, _, s in found.get(d, [])), default=0.0) for d in range(len(texts))])
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(shared.value.lam * x), pa.array(lens)], names=["y", "x", "words"])
+
+    plain = sample.mapInArrow(best, "y int, x double, words long").filter("y = 0").toPandas()  # bounded by max_labelled
+    model.k = fit_k(plain["x"].to_numpy(float), plain["words"].to_numpy(float))
+    fitted = spark.sparkContext.broadcast(model)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_slices(batches, "text"):
-            x, _ = shared.value.features(texts)
-            yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(x[:, i]) for i in range(3))], names=["y", "a", "b", "c"])
+            x, _ = fitted.value.features(texts)
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["y", "a", "b"])
 
-    rows = sample.mapInArrow(measure, "y int, a double, b double, c double").toPandas()  # bounded by max_labelled
-    rows = rows.sort_values(["y", "a", "b", "c"])
-    model.weights = tuple(_logistic(rows[["a", "b", "c"]].to_numpy(float), rows["y"].to_numpy(float)).tolist())
+    rows = sample.mapInArrow(measure, "y int, a double, b double").toPandas()  # bounded by max_labelled
+    rows = rows.sort_values(["y", "a", "b"])
+    model.weights = tuple(_logistic(rows[["a", "b"]].to_numpy(float), rows["y"].to_numpy(float)).tolist())
     return model
 
 

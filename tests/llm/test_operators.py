@@ -458,6 +458,36 @@ def test_toxicity(spark, odd, none):
     assert got.filter("score between 0 and 1").count() == len(ODD)
     assert toxicity.score_toxicity(none, model).count() == 0
     assert not toxicity.learn_toxicity(docs, labels.limit(0)).words
+    for t, y in ((t, y) for _, t, y in data[:40]):  # score and significance again from the segments, word by word
+        words_ = [w.strip(",") for w in t.split()]
+        at = [(i, model.words[w.encode()]) for i, w in enumerate(words_) if w.encode() in model.words]
+        e = [(a, b, s, model.lam * s - math.log(model.k * len(words_))) for a, b, s in toxicity.maximal_segments(at, model.drift)]
+        positive = [x for *_, x in e if x > 0]
+        best = -math.log(1 - math.exp(-math.exp(-max(x for *_, x in e)))) if e else 0.0
+        r, total = len(positive), sum(positive)
+        both = max(0.0, -math.log(math.exp(-total) * total ** (r - 1) / math.factorial(r) / math.factorial(r - 1))) if r else 0.0
+        z = model.weights[0] + model.weights[1] * math.log1p(best) + model.weights[2] * math.log1p(both)
+        x, found = model.features([t.encode()])
+        assert model.score(x)[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+        assert found[0] == [(a, b, s) for a, b, s, x in e if math.exp(-x) < model.max_e]
+
+
+def test_extreme_value_parameters():
+    """lambda solves its equation; best segments of texts drawn from the background follow the chances that K gives."""
+    values, p = np.append(np.linspace(1, 4, 40), -0.5), np.append(np.full(40, 0.05 / 40), 0.95)
+    lam = toxicity.karlin_lambda(values, p)
+    assert float(np.sum(p * np.exp(lam * values))) == pytest.approx(1, abs=1e-6)
+    rng = np.random.default_rng(16)
+    best = []
+    for _ in range(1500):
+        drawn = rng.choice(41, 200, p=p)
+        found = toxicity.maximal_segments([(i, float(values[x])) for i, x in enumerate(drawn) if x < 40], 0.5)
+        best.append(max((s for *_, s in found), default=0.0))
+    x, n = lam * np.array(best), np.full(len(best), 200.0)
+    k = toxicity.fit_k(x, n)
+    for q in (0.3, 0.1, 0.03):
+        cut = np.quantile(x, 1 - q)
+        assert math.exp(-toxicity.best_chance(cut - math.log(k * 200))) == pytest.approx(q, abs=0.06)
 
 
 # ---------------------------------------------------------------- 10 near copies
