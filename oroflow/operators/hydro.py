@@ -1,15 +1,19 @@
 """Drainage: flow directions, depressions, accumulation, streams, basins and the indices made of them.
 
-A drainage network is an edge table (id, parent, len) over cell ids; upstream and downstream questions are doubled jumps
-over it (operators.graph), in log2(longest path) rounds of joins. Depressions are filled through basins: cells drain to
-their pit by doubled jumps, neighbouring basins give a graph of spill heights, and the lowest way out of every basin is
-found by Boruvka rounds on that graph, each at least halving the open basins. Nothing walks cell by cell.
+A drainage network is an edge table (id, parent, len) over cell ids; upstream and downstream questions are answered block
+by block, then by doubled jumps over the ways that cross blocks (operators.graph). Depressions are filled block by block
+too: each block is flooded from its edge, the areas that drain to one place of the edge and the heights at which they
+spill into each other make a small graph, and the lowest way out of every area is found on that graph, first within
+groups of blocks, then by Boruvka rounds among the few areas that touch two groups.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,36 +67,172 @@ def flow_length(directed: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- depressions
 
+OUT = -1  # the label of what lies beyond the raster
+GROUP_BITS = 3  # blocks to a side of a group: 8
+
+
+def _grid_of(pdf: pd.DataFrame, *values: str) -> tuple[int, int, list[np.ndarray]]:
+    """Row and column of the first place, and the values of a block's cells as arrays with a border of NaN."""
+    r, c = pdf["r"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
+    r0, c0 = int(r.min()) - 1, int(c.min()) - 1
+    shape = int(r.max()) - r0 + 2, int(c.max()) - c0 + 2
+    out = []
+    for v in values:
+        grid_ = np.full(shape, np.nan)
+        grid_[r - r0, c - c0] = pdf[v].to_numpy(float)
+        out.append(grid_)
+    return r0, c0, out
+
+
+def flood(z: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], float]]:
+    """Water rises from the seed places (bool) over a bordered array; NaN are walls. Level of each cell, the seed that it
+    drains to (its place in the flat array; -1 for cells that no seed reaches), and the lowest height at which the areas of
+    two seeds meet."""
+    width = z.shape[1]
+    near = (-1, 1, -width, width, -width - 1, -width + 1, width - 1, width + 1)
+    level, edge = z.ravel().tolist(), seeds.ravel().tolist()
+    state = np.where(np.isnan(z), 2, 0).ravel().tolist()  # 2: wall, 1: done
+    label = [-1] * len(level)
+    heap = [(level[i], i) for i in np.flatnonzero(seeds & ~np.isnan(z)).tolist()]
+    heapq.heapify(heap)
+    links: dict[tuple[int, int], float] = {}
+    while heap:
+        at, i = heapq.heappop(heap)
+        if state[i]:
+            continue
+        state[i] = 1
+        if label[i] < 0:
+            label[i] = i
+        own = label[i]
+        for step in near:
+            j = i + step
+            if state[j] == 0:
+                if label[j] < 0:
+                    label[j] = own
+                    if not edge[j]:
+                        if level[j] < at:
+                            level[j] = at
+                        heapq.heappush(heap, (level[j], j))
+            elif state[j] == 1 and label[j] != own:
+                pair = (own, label[j]) if own < label[j] else (label[j], own)
+                over = at if at > level[j] else level[j]
+                if over < links.get(pair, math.inf):
+                    links[pair] = over
+    return np.array(level).reshape(z.shape), np.array(label).reshape(z.shape), links
+
+
+def contract(a: list[int], b: list[int], spill: list[float], ends: set[int]) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, float]]]:
+    """A graph of areas (links by ascending spill height) without those that are no ends: for each such area the end (or
+    OUT) that it drains to and over which height, and the links left among ends and OUT."""
+    root: dict[int, int] = {}
+    head: dict[int, int | None] = {}
+    loose: dict[int, list[int]] = {}
+
+    def find(x: int) -> int:
+        if x not in root:
+            root[x], head[x], loose[x] = x, (x if x in ends or x == OUT else None), ([] if x in ends or x == OUT else [x])
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    attached, left = [], []
+    for p, q, over in zip(a, b, spill, strict=True):
+        x, y = find(p), find(q)
+        if x == y:
+            continue
+        hx, hy = head[x], head[y]
+        if hx is not None and hy is not None:
+            if (hx, hy) != (OUT, OUT):
+                left.append((hx, hy, over))
+        elif hx is not None or hy is not None:
+            to, free = (hx, y) if hy is None else (hy, x)
+            attached += [(n, to, over) for n in loose[free]]
+            loose[free] = []
+        if len(loose[x]) < len(loose[y]):
+            x, y = y, x
+        root[y] = x
+        loose[x] += loose.pop(y)
+        head[x] = OUT if OUT in (hx, hy) else hx if hx is not None else hy
+    return attached, left
+
+
 def fill_depressions(cells: DataFrame) -> DataFrame:
-    """Cells with data, z raised to the lowest level over which water leaves the raster; cells without data are walls."""
-    cells = written(d8(cells.filter("z is not null")), "fill-cells")
-    basins = graph.descend(flow_edges(cells)).select("id", F.col("root").alias("basin"))
-    own = written(cells.withColumn("id", cell_id()).join(basins, "id"), "fill-basins")
-    around = grid.with_neighbours(own.select("r", "c", F.struct("basin", "z").alias("z")))
-    pairs = around.select("z", F.explode(F.array(*grid.NEIGHBOURS)).alias("o")).filter("o is not null and o.basin <> z.basin")
-    spills = pairs.select(F.col("z.basin").alias("a"), F.col("o.basin").alias("b"), F.greatest("z.z", "o.z").alias("spill"))
-    e = F.broadcast(grid.extent(cells))
-    edge = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) | (F.col("c") == F.col("c0")) | (F.col("c") == F.col("c1"))
-    out = own.join(e).filter(edge).select(F.col("basin").alias("a"), F.lit(-1).cast("long").alias("b"), F.col("z").alias("spill"))
-    links = written(spills.unionByName(out).groupBy("a", "b").agg(F.min("spill").alias("spill")), "fill-spills")
-    # a basin's level is the largest lowest exit of any of the groups that it is in on the way out
-    levels = written(own.select("basin").distinct().select("basin", F.col("basin").alias("grp"), F.lit(float("-inf")).alias("level")), "fill-levels")
+    """Cells with data, z raised to the lowest level over which water leaves the raster; cells without data are walls, and
+    cells that they wall in stay as they are."""
+    known = cells.filter("z is not null").select("r", "c", F.col("z").cast("double").alias("z"), cell_id().alias("id"))
+    e = grid.extent(known).first()  # one row
+    bits, last = graph.BLOCK_BITS, (1 << graph.BLOCK_BITS) - 1
+    frame = (e["r0"], e["r1"], e["c0"], e["c1"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0, (z,) = _grid_of(pdf, "z")
+        rows, cols = np.arange(z.shape[0]) + r0, np.arange(z.shape[1]) + c0
+        on = lambda x, lo, hi: (x & last == 0) | (x & last == last) | (x == lo) | (x == hi)
+        level, label, links = flood(z, on(rows, *frame[:2])[:, None] | on(cols, *frame[2:])[None, :])
+        name = lambda flat: ((flat // z.shape[1] + r0) << graph.SHIFT) + flat % z.shape[1] + c0
+        r, c = np.nonzero(~np.isnan(z))
+        own = label[r, c]
+        cell = pd.DataFrame({"link": False, "a": ((r + r0) << graph.SHIFT) + c + c0, "b": np.where(own >= 0, name(own), -2), "v": level[r, c]})
+        pairs = np.array(list(links), np.int64).reshape(-1, 2)
+        return pd.concat([cell, pd.DataFrame({"link": True, "a": name(pairs[:, 0]), "b": name(pairs[:, 1]), "v": np.array(list(links.values()), float)})])
+
+    flooded = written(known.groupBy(*graph.block_of()).applyInPandas(run, "link boolean, a long, b long, v double"), "fill-blocks")
+    level = flooded.filter("not link").select(F.col("a").alias("id"), F.col("b").alias("label"), F.col("v").alias("z"))
+    at = place()
+    border = (at["r"] == e["r0"]) | (at["r"] == e["r1"]) | (at["c"] == e["c0"]) | (at["c"] == e["c1"])
+    edge = level.filter((graph.on_block_edge() | border) & (F.col("label") >= 0))
+    steps = F.explode(F.array(*[F.lit((dr << graph.SHIFT) + dc) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    sent = edge.select("id", F.col("label").alias("a"), F.col("z").alias("za"), steps.alias("step")).select("id", "a", "za", (F.col("id") + F.col("step")).alias("to"))
+    met = sent.join(edge.select(F.col("id").alias("to"), F.col("label").alias("b"), F.col("z").alias("zb")), "to").filter("a <> b")
+    cross = met.select("a", "b", F.greatest("za", "zb").alias("spill"))
+    out = edge.filter(border).select(F.col("label").alias("a"), F.lit(OUT).cast("long").alias("b"), F.col("z").alias("spill"))
+    links = flooded.filter("link").select("a", "b", F.col("v").alias("spill")).unionByName(cross).unionByName(out)
+    group = lambda x: [y.alias(f"{x}{y_}") for y, y_ in zip(graph.block_of(x, bits + GROUP_BITS), ("r", "c"), strict=True)]
+    links = written(links.groupBy("a", "b").agg(F.min("spill").alias("spill")).select("*", *group("a"), *group("b")).withColumn("near", (F.col("b") == OUT) | ((F.col("ar") == F.col("br")) & (F.col("ac") == F.col("bc")))), "fill-links")
+    far = links.filter("not near").select("a", "b", "spill")
+    ends = links.filter("not near").select(F.col("a").alias("a"), F.col("ar"), F.col("ac")).unionByName(links.filter("not near").select(F.col("b").alias("a"), F.col("br").alias("ar"), F.col("bc").alias("ac"))).distinct()
+    inner = links.filter("near").select("ar", "ac", "a", "b", "spill").unionByName(ends.select("ar", "ac", "a", F.lit(-3).cast("long").alias("b"), F.lit(None).cast("double").alias("spill")))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        stop = set(pdf["a"][pdf["b"] == -3].tolist())
+        links_ = pdf[pdf["b"] != -3].sort_values(["spill", "a", "b"])
+        attached, left = contract(links_["a"].tolist(), links_["b"].tolist(), links_["spill"].tolist(), stop)
+        rows = [(False, *x) for x in attached] + [(True, *x) for x in left]
+        return pd.DataFrame(rows, columns=["link", "a", "b", "v"])
+
+    solved = written(inner.groupBy("ar", "ac").applyInPandas(solve, "link boolean, a long, b long, v double"), "fill-groups")
+    areas = solved.filter("not link").select(F.col("a").alias("label"), F.col("b").alias("end"), F.col("v").alias("level"))
+    levels = areas.select("label", "level")
+    if not far.isEmpty():
+        highest = _lowest_ways_out(solved.filter("link").select("a", "b", F.col("v").alias("spill")).unionByName(far), ends.select(F.col("a").alias("basin")))
+        levels = areas.join(highest.select(F.col("basin").alias("end"), F.col("level").alias("l2")), "end", "left").select("label", F.greatest("level", "l2").alias("level")).unionByName(highest.select(F.col("basin").alias("label"), "level"))
+    return level.join(levels, "label", "left").select(*[v.alias(k) for k, v in at.items()], F.greatest("z", "level").alias("z"))
+
+
+def _lowest_ways_out(spills: DataFrame, basins: DataFrame) -> DataFrame:
+    """spills: a, b (OUT: beyond the raster), spill; basins: basin. The level of each basin: the largest of the lowest exits
+    of the groups that it is in on its way out. Boruvka rounds, each at least halving the open groups."""
+    there = spills.select(F.col("a"), F.col("b"), "spill")
+    both = there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"), "spill")).filter(F.col("a") != OUT)
+    links = written(both.groupBy("a", "b").agg(F.min("spill").alias("spill")), "fill-spills")
+    levels = written(basins.distinct().select("basin", F.col("basin").alias("grp"), F.lit(float("-inf")).alias("level")), "fill-levels")
     while not levels.filter("grp >= 0").isEmpty():
         group = levels.select(F.col("basin"), "grp")
-        open_links = links.join(group.select(F.col("basin").alias("a"), F.col("grp").alias("ga")), "a").join(group.select(F.col("basin").alias("b"), F.col("grp").alias("gb")), "b", "left").withColumn("gb", F.coalesce("gb", F.lit(-1)))
-        pick = open_links.filter("ga >= 0 and ga <> gb").groupBy("ga").agg(F.min(F.struct("spill", F.when(F.col("gb") < 0, -1).otherwise(F.least("ga", "gb")).alias("lo"), F.greatest("ga", "gb").alias("hi"), "gb")).alias("x"))
+        open_links = links.join(group.select(F.col("basin").alias("a"), F.col("grp").alias("ga")), "a").join(group.select(F.col("basin").alias("b"), F.col("grp").alias("gb")), "b", "left").withColumn("gb", F.coalesce("gb", F.lit(OUT)))
+        pick = open_links.filter("ga >= 0 and ga <> gb").groupBy("ga").agg(F.min(F.struct("spill", F.when(F.col("gb") < 0, OUT).otherwise(F.least("ga", "gb")).alias("lo"), F.greatest("ga", "gb").alias("hi"), "gb")).alias("x"))
         pick = written(pick.select("ga", F.col("x.spill").alias("spill"), F.col("x.gb").alias("to")), "fill-pick")
         if pick.isEmpty():  # a group walled in by cells without data keeps its level
             break
         back = pick.select(F.col("ga").alias("to"), F.col("to").alias("back"))
-        roots = pick.join(back, "to", "left").select(F.col("ga").alias("id"), F.when((F.col("to") < 0) | ((F.col("back") == F.col("ga")) & (F.col("ga") < F.col("to"))), F.lit(None)).otherwise(F.col("to")).alias("parent"), (F.col("to") < 0).alias("out"), F.lit(1.0).alias("len"))
+        roots = pick.join(back, "to", "left").select(F.col("ga").alias("id"), F.when((F.col("to") < 0) | ((F.col("back") == F.col("ga")) & (F.col("ga") < F.col("to"))), F.lit(None)).otherwise(F.col("to")).alias("parent"), (F.col("to") < 0).alias("out"), F.lit(1.0).alias("len"), F.lit(1).cast("long").alias("hops"))
         roots = written(roots, "fill-roots")
-        merged = graph.descend(roots).select("id", "root")
-        ends = roots.filter("out").select(F.col("id").alias("root"), F.lit(True).alias("done"))
-        into = merged.join(ends, "root", "left").select(F.col("id").alias("grp"), F.when(F.col("done"), F.lit(-1)).otherwise(F.col("root")).cast("long").alias("into"))
+        merged = graph.leap(roots).select("id", "root").unionByName(roots.filter("parent is null").select("id", F.col("id").alias("root")))
+        done = roots.filter("out").select(F.col("id").alias("root"), F.lit(True).alias("done"))
+        into = merged.join(done, "root", "left").select(F.col("id").alias("grp"), F.when(F.col("done"), F.lit(OUT)).otherwise(F.col("root")).cast("long").alias("into"))
         new = levels.join(pick.select(F.col("ga").alias("grp"), "spill"), "grp", "left").join(into, "grp", "left")
         levels = written(new.select("basin", F.coalesce("into", "grp").alias("grp"), F.greatest("level", "spill").alias("level")), "fill-levels")
-    return own.join(levels.select("basin", "level"), "basin").select("r", "c", F.greatest("z", "level").alias("z"))
+    return levels.select("basin", "level")
 
 
 def depth_in_sink(cells: DataFrame) -> DataFrame:
@@ -117,17 +257,13 @@ def depression_stats(cells: DataFrame, least_depth: float = 0.1) -> DataFrame:
 
 def connected(cells: DataFrame) -> DataFrame:
     """cells: r, c, id. 4-connected components: id, comp."""
-    links = [cells.select(F.col("id").alias("a"), cell_id(F.col("r") + dr, F.col("c") + dc).alias("b")) for dr, dc in ((0, 1), (1, 0))]
-    known = cells.select(F.col("id").alias("b"))
-    return graph.components(links[0].unionByName(links[1]).join(known, "b", "left_semi"), cells.select("id"))
+    return graph.areas(cells.select("id", F.lit(0).alias("k"))).select("id", "comp")
 
 
 def clump(cells: DataFrame, step: float = 100.0) -> DataFrame:
     """4-connected areas of equal class (z in steps): r, c, label (the smallest cell's place)."""
-    classed = written(cells.filter("z is not null").select("r", "c", F.floor(F.col("z") / step).alias("k"), cell_id().alias("id")), "clump")
-    links = [classed.select(F.col("id").alias("a"), cell_id(F.col("r") + dr, F.col("c") + dc).alias("b"), F.col("k")) for dr, dc in ((0, 1), (1, 0))]
-    same = links[0].unionByName(links[1]).join(classed.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b").filter("k = kb")
-    return classed.join(graph.components(same.select("a", "b"), classed.select("id")), "id").select("r", "c", "k", "comp")
+    found = graph.areas(cells.filter("z is not null").select(cell_id().alias("id"), F.floor(F.col("z") / step).alias("k")))
+    return found.select(*[v.alias(k) for k, v in place().items()], "k", "comp")
 
 
 def sieve(cells: DataFrame, min_size: int = 10, step: float = 100.0) -> DataFrame:
@@ -166,21 +302,24 @@ def stream_links(network: DataFrame) -> DataFrame:
 
 
 def stream_order(network: DataFrame) -> DataFrame:
-    """Strahler order of each stream cell, by links: a link without inflow has order 1; else the largest order that
-    flows in, one more where two links bring it. One round for each level of links, not of cells."""
-    on = written(stream_links(network), "order-links")
-    joins = on.filter("id = link and parent is not null").select("link", "parent").join(on.select(F.col("id").alias("parent"), F.col("link").alias("into")), "parent").select("link", "into")
-    joins = written(joins, "order-joins")
-    known = written(on.select("link").distinct().join(joins.select(F.col("into").alias("link")), "link", "left_anti").withColumn("order", F.lit(1)), "order")
-    need = written(joins.groupBy("into").agg(F.count(F.lit(1)).alias("need")), "order-need")
+    """Strahler order of each stream cell. A cell has order k + 1 or more where its way in passes a cell that two cells of
+    order k or more flow into; so there is one sum along the ways for each order, over the cells of the order before."""
+    level = written(network.select("id", "parent"), "order")
+    found, order = [], 1
     while True:
-        ready = joins.join(known, "link").groupBy("into").agg(F.count(F.lit(1)).alias("got"), F.max("order").alias("m"), F.array_sort(F.collect_list("order")).alias("all")).join(need, "into").filter("got = need")
-        new = ready.select(F.col("into").alias("link"), F.when(F.size(F.filter("all", lambda x: x == F.col("m"))) > 1, F.col("m") + 1).otherwise(F.col("m")).alias("order"))
-        new = written(new.join(known, "link", "left_anti"), "order-new")
-        if new.isEmpty():
+        met = level.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        met = written(met.select("id", F.lit(1.0).alias("w")), "order-met")
+        if met.isEmpty():
+            found.append(level.select("id", F.lit(order).alias("stream_order")))
             break
-        known = written(known.unionByName(new), "order")
-    return on.join(known, "link").select(*[v.alias(k) for k, v in place().items()], F.col("order").cast("int").alias("stream_order"))
+        passed = graph.accumulate(level.join(met, "id", "left"), combine="max").select("id", "parent", F.coalesce(F.col("acc") > 0, F.lit(False)).alias("on"))
+        passed = written(passed, "order")
+        found.append(passed.filter("not on").select("id", F.lit(order).alias("stream_order")))
+        level, order = passed.filter("on").select("id", "parent"), order + 1
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out.select(*[v.alias(k) for k, v in place().items()], "stream_order")
 
 
 def basins(directed: DataFrame) -> DataFrame:
@@ -235,38 +374,80 @@ def snap_pour_points(points: DataFrame, accumulated: DataFrame, search: int = 5)
 
 
 def trace(directed: DataFrame, cells: DataFrame, starts: DataFrame) -> DataFrame:
-    """starts: p, r, c. The way down from each start: p, hops, r, c, z, distance in metres. A cell is on the way where
-    it shares the start's end and is at the start's distance less what the start has still to go through it."""
-    down = written(graph.descend(flow_edges(directed)), "trace")
-    ways = starts.select("p", cell_id().alias("id")).withColumn("step", F.lit(0).cast("long"))
-    # doubling of the ways: each round adds, to the cells known, those as far again
-    jumps = down.select("id", F.col("parent").alias("jump"))
-    length = 1
-    most = starts.select(cell_id().alias("id")).join(down, "id").agg(F.max("hops")).first()[0] or 0
-    while length <= most:
-        more = ways.join(jumps, "id").filter("jump is not null").select("p", F.col("jump").alias("id"), (F.col("step") + length).alias("step"))
-        ways = written(ways.unionByName(more), "trace-ways")
-        far = jumps.select(F.col("id").alias("jump"), F.col("jump").alias("far"))
-        jumps = written(jumps.join(far, "jump").select("id", F.col("far").alias("jump")), "trace-jumps")
-        length *= 2
-    first = ways.filter("step = 0").join(down.select("id", F.col("distance").alias("whole")), "id").select("p", "whole")
-    at = ways.join(down.select("id", "distance"), "id").join(first, "p").join(cells.select(cell_id().alias("id"), "z"), "id")
-    return at.select("p", "step", *[v.alias(k) for k, v in place().items()], "z", F.round((F.col("whole") - F.col("distance")) * CELL, 4).alias("distance_m"))
+    """starts: p, r, c. The way down from each start: p, step, r, c, z, distance in metres."""
+    edges = flow_edges(directed)
+    ways = graph.walk(edges, starts.select(F.col("p").cast("long").alias("p"), cell_id().alias("id")))
+    so_far = Window.partitionBy("p").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    at = ways.join(edges.select("id", "len"), "id").join(cells.select(cell_id().alias("id"), "z"), "id")
+    return at.select("p", "step", *[v.alias(k) for k, v in place().items()], "z", F.round(F.coalesce(F.sum("len").over(so_far), F.lit(0.0)) * CELL, 4).alias("distance_m"))
+
+
+def _spread(z: np.ndarray, own: np.ndarray, known: np.ndarray, by_slope: bool) -> np.ndarray:
+    """Least costs over the own cells (bool) of a bordered array from the known ones (NaN: unknown)."""
+    width = z.shape[1]
+    near = [(dr * width + dc, math.sqrt(dr * dr + dc * dc)) for dr, dc in grid.NEIGHBOURS.values()]
+    high, mine = z.ravel().tolist(), (own & ~np.isnan(z)).ravel().tolist()
+    best = np.where(np.isnan(known), np.inf, known).ravel().tolist()
+    heap = [(best[i], i) for i in np.flatnonzero(~np.isnan(known) & ~np.isnan(z)).tolist()]
+    heapq.heapify(heap)
+    while heap:
+        d, i = heapq.heappop(heap)
+        if d > best[i]:
+            continue
+        for step, length in near:
+            j = i + step
+            if mine[j]:
+                to = d + (abs(high[i] - high[j]) * length if by_slope else length)
+                if to < best[j] - 1e-9:
+                    best[j] = to
+                    heapq.heappush(heap, (to, j))
+    return np.array(best).reshape(z.shape)
 
 
 def cost_distance(cells: DataFrame, outlets: DataFrame, by_slope: bool = True) -> DataFrame:
-    """Least cost from any outlet (r, c) over eight-neighbour steps; a step costs |dz| times its length, or its length.
-    Relaxation to a fixpoint; only cells that improved in a round spread in the next."""
-    around = grid.with_neighbours(cells.filter("z is not null"))
-    ways = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.col(x).alias("zo"), F.lit(math.sqrt(dr * dr + dc * dc)).alias("len")) for x, (dr, dc) in grid.NEIGHBOURS.items()])
-    cost = F.abs(F.col("z") - F.col("w.zo")) * F.col("w.len") if by_slope else F.col("w.len")
-    edges = around.select("r", "c", "z", F.explode(ways).alias("w")).filter("w.zo is not null").select(cell_id().alias("a"), cell_id(F.col("r") + F.col("w.dr"), F.col("c") + F.col("w.dc")).alias("b"), cost.alias("cost"))
-    edges = written(edges, "cost-edges")
-    best = written(outlets.select(cell_id().alias("id"), F.lit(0.0).alias("d"), F.lit(True).alias("new")), "cost")
-    while not best.filter("new").isEmpty():
-        step = best.filter("new").join(edges, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("d") + F.col("cost")).alias("d")).groupBy("id").agg(F.min("d").alias("nd"))
-        best = written(best.join(step, "id", "full_outer").select("id", F.least("d", "nd").alias("d"), (F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d") - 1e-9))).alias("new")), "cost")
-    return best.select(*[v.alias(k) for k, v in place().items()], F.round("d", 4).alias("cost"))
+    """Least cost from any outlet (r, c) over eight-neighbour steps; a step costs |dz| times its length, or its length. A
+    block of cells is solved in one group from what is known on it and around it; only costs on blocks' edges go to the
+    next round, and only blocks beside an improved one take part in it. Cells that no way reaches have no row."""
+    bits = graph.BLOCK_BITS
+    size, last = 1 << bits, (1 << bits) - 1
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows for each block that they lie in or beside."""
+        span = lambda axis: F.explode(F.sequence(F.floor((F.col(axis) - 1) / size), F.floor((F.col(axis) + 1) / size)))
+        return rows.withColumn("br", span("r")).withColumn("bc", span("c"))
+
+    ground = written(dealt(cells.filter("z is not null").select("r", "c", F.col("z").cast("double").alias("z"))), "cost-blocks")
+    best = written(outlets.select("r", "c", F.lit(0.0).alias("d")).join(cells.filter("z is not null").select("r", "c"), ["r", "c"]).distinct(), "cost")
+    schema = "r int, c int, d double"
+
+    def run(left: pd.DataFrame, right: pd.DataFrame, whole: bool) -> pd.DataFrame:
+        empty = pd.DataFrame({"r": [], "c": [], "d": []})
+        if not len(left) or not len(right):
+            return empty
+        br, bc = int(left["br"].iloc[0]), int(left["bc"].iloc[0])
+        r0, c0, (z,) = _grid_of(left, "z")
+        known = np.full(z.shape, np.nan)
+        known[right["r"].to_numpy(int) - r0, right["c"].to_numpy(int) - c0] = right["d"].to_numpy(float)
+        rows, cols = np.arange(z.shape[0]) + r0, np.arange(z.shape[1]) + c0
+        own = (rows >> bits == br)[:, None] & (cols >> bits == bc)[None, :]
+        d = _spread(z, own, known, by_slope)
+        edge = np.isin(rows & last, (0, last))[:, None] | np.isin(cols & last, (0, last))[None, :]
+        r, c = np.nonzero(own & np.isfinite(d) & (True if whole else edge))
+        return pd.DataFrame({"r": (r + r0).astype(np.int32), "c": (c + c0).astype(np.int32), "d": d[r, c]}) if len(r) else empty
+
+    def solved(active: DataFrame | None, whole: bool) -> DataFrame:
+        here, costs = ground, dealt(best)
+        if active is not None:
+            here, costs = here.join(active, ["br", "bc"], "left_semi"), costs.join(active, ["br", "bc"], "left_semi")
+        return here.groupBy("br", "bc").cogroup(costs.groupBy("br", "bc")).applyInPandas(lambda a, b: run(a, b, whole), schema)
+
+    active = written(dealt(best).select("br", "bc").distinct(), "cost-active")
+    while not active.isEmpty():
+        found = solved(active, False).groupBy("r", "c").agg(F.min("d").alias("nd"))
+        step = written(best.join(found, ["r", "c"], "full_outer").select("r", "c", F.least("d", "nd").alias("d"), (F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d") - 1e-9))).alias("new")), "cost")
+        best = step.select("r", "c", "d")
+        active = written(dealt(step.filter("new")).select("br", "bc").distinct(), "cost-active")
+    return solved(None, True).select("r", "c", F.round("d", 4).alias("cost"))
 
 
 def flow_truncation(directed: DataFrame, max_slope: float = 45.0) -> DataFrame:

@@ -10,16 +10,16 @@ from .scratch import written
 from .terrain_queries import AROUND, DEM, HOLES, _around, dem
 
 CELL = hydro.CELL
-_made: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hydro.d8(dem(spark, sf_dir))
 
 
 def base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Directed cells and accumulation, made once for an application and input and shared by all queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _made:
-        directed = written(hydro.d8(dem(spark, sf_dir)), "d8")
-        _made[key] = directed, written(hydro.flow_accumulation(directed), "accumulation")
-    return _made[key]
+    """Directed cells and accumulation, written down, as several parts of a query read them."""
+    directed = written(_directed(spark, sf_dir), "d8")
+    return directed, written(hydro.flow_accumulation(directed), "accumulation")
 
 
 _CODES = (("e", 0, 1), ("se", 1, 1), ("s", 1, 0), ("sw", 1, -1), ("w", 0, -1), ("nw", -1, -1), ("n", -1, 0), ("ne", -1, 1))
@@ -52,41 +52,40 @@ STARTS = "starts AS (SELECT i AS p, CAST(i * 17 + 5 AS INT) AS r, CAST(i * 7 % 6
 
 
 def _pours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tenth row's cell of the largest accumulation, the first of equal ones."""
-    _, acc = base(spark, sf_dir)
-    top = acc.filter("r % 10 = 0").groupBy("r").agg(F.max(F.struct("accumulation", (-F.col("c")).alias("c"))).alias("x"))
+    """Each row's cell of the largest accumulation, the first of equal ones."""
+    top = hydro.flow_accumulation(_directed(spark, sf_dir)).groupBy("r").agg(F.max(F.struct("accumulation", (-F.col("c")).alias("c"))).alias("x"))
     return top.select(F.col("r").cast("long").alias("p"), "r", (-F.col("x.c")).cast("int").alias("c"))
 
 
-POURS = "pours AS (SELECT CAST(r AS BIGINT) AS p, r, arg_max(c, accumulation * 1000 - c) AS c FROM acc WHERE r % 10 = 0 GROUP BY r)"
+POURS = "pours AS (SELECT CAST(r AS BIGINT) AS p, r, arg_max(c, accumulation * 1000 - c) AS c FROM acc GROUP BY r)"
 
 
 def build() -> dict[str, tuple]:
     q: dict[str, tuple] = {}
-    q["d8_flow_direction"] = (lambda s, d: base(s, d)[0].select("r", "c", "d8"), f"WITH RECURSIVE {FLOW} SELECT r, c, d8 FROM flow")
+    q["d8_flow_direction"] = (lambda s, d: _directed(s, d).select("r", "c", "d8"), f"WITH RECURSIVE {FLOW} SELECT r, c, d8 FROM flow")
     q["flow_accumulation"] = (lambda s, d: base(s, d)[1], f"WITH RECURSIVE {FLOW} SELECT r, c, accumulation FROM acc")
-    q["flow_length"] = (lambda s, d: hydro.flow_length(base(s, d)[0]), f"WITH RECURSIVE {FLOW} SELECT r, c, round(down * {CELL!r}, 4) AS downslope, round(up * {CELL!r}, 4) AS upslope, root_r, root_c FROM fin JOIN acc USING (r, c)")
-    q["flow_width"] = (lambda s, d: base(s, d)[0].select("r", "c", F.expr(f"round(CASE WHEN d8 < 0 THEN NULL WHEN d8 % 2 = 1 THEN {CELL!r} * sqrt(2) ELSE {CELL!r} END, 6)").alias("flow_width")), f"WITH RECURSIVE {FLOW} SELECT r, c, round(CASE WHEN d8 < 0 THEN NULL WHEN d8 % 2 = 1 THEN {CELL!r} * sqrt(2) ELSE {CELL!r} END, 6) AS flow_width FROM flow")
+    q["flow_length"] = (lambda s, d: hydro.flow_length(_directed(s, d)), f"WITH RECURSIVE {FLOW} SELECT r, c, round(down * {CELL!r}, 4) AS downslope, round(up * {CELL!r}, 4) AS upslope, root_r, root_c FROM fin JOIN acc USING (r, c)")
+    q["flow_width"] = (lambda s, d: _directed(s, d).select("r", "c", F.expr(f"round(CASE WHEN d8 < 0 THEN NULL WHEN d8 % 2 = 1 THEN {CELL!r} * sqrt(2) ELSE {CELL!r} END, 6)").alias("flow_width")), f"WITH RECURSIVE {FLOW} SELECT r, c, round(CASE WHEN d8 < 0 THEN NULL WHEN d8 % 2 = 1 THEN {CELL!r} * sqrt(2) ELSE {CELL!r} END, 6) AS flow_width FROM flow")
     q["extract_streams"] = (lambda s, d: hydro.streams(base(s, d)[1], THRESHOLD), f"WITH RECURSIVE {FLOW} SELECT r, c, CASE WHEN accumulation >= {THRESHOLD} THEN 1 ELSE 0 END AS stream FROM acc")
     q["stream_links"] = (lambda s, d: _links(s, d).select("r", "c", "link_r", "link_c"), f"WITH RECURSIVE {STREAM} SELECT r, c, link_r, link_c FROM lnk")
     q["stream_order"] = (lambda s, d: hydro.stream_order(_network(s, d)), None)
-    q["sub_basins"] = (lambda s, d: hydro.sub_basins(base(s, d)[0], hydro.stream_links(_network(s, d))), f"WITH RECURSIVE {STREAM}, hit AS (SELECT sr AS r, sc AS c, arg_min(link_r, hop) AS link_r, arg_min(link_c, hop) AS link_c FROM walk JOIN lnk USING (r, c) GROUP BY sr, sc) SELECT r, c, link_r, link_c FROM hit")
-    q["basins"] = (lambda s, d: hydro.basins(base(s, d)[0]), f"WITH RECURSIVE {FLOW} SELECT r, c, root_r AS outlet_r, root_c AS outlet_c FROM fin")
-    q["watershed"] = (lambda s, d: hydro.watershed(base(s, d)[0], _pours(s, d)), f"WITH RECURSIVE {FLOW}, {POURS} SELECT sr AS r, sc AS c, arg_min(p, hop) AS p FROM walk JOIN pours USING (r, c) GROUP BY sr, sc")
+    q["sub_basins"] = (lambda s, d: hydro.sub_basins(_directed(s, d), hydro.stream_links(_network(s, d))), f"WITH RECURSIVE {STREAM}, hit AS (SELECT sr AS r, sc AS c, arg_min(link_r, hop) AS link_r, arg_min(link_c, hop) AS link_c FROM walk JOIN lnk USING (r, c) GROUP BY sr, sc) SELECT r, c, link_r, link_c FROM hit")
+    q["basins"] = (lambda s, d: hydro.basins(_directed(s, d)), f"WITH RECURSIVE {FLOW} SELECT r, c, root_r AS outlet_r, root_c AS outlet_c FROM fin")
+    q["watershed"] = (lambda s, d: hydro.watershed(_directed(s, d), _pours(s, d)), f"WITH RECURSIVE {FLOW}, {POURS} SELECT sr AS r, sc AS c, arg_min(p, hop) AS p FROM walk JOIN pours USING (r, c) GROUP BY sr, sc")
     q["watershed_summary"] = (
-        lambda s, d: hydro.watershed_summary(hydro.watershed(base(s, d)[0], _pours(s, d)), dem(s, d)),
+        lambda s, d: hydro.watershed_summary(hydro.watershed(_directed(s, d), _pours(s, d)), dem(s, d)),
         f"WITH RECURSIVE {FLOW}, {POURS}, ws AS (SELECT sr AS r, sc AS c, arg_min(p, hop) AS p FROM walk JOIN pours USING (r, c) GROUP BY sr, sc), bd AS (SELECT a.r, a.c, a.p, CASE WHEN count(b.p) < 4 THEN 1 ELSE 0 END AS edge FROM ws a LEFT JOIN ws b ON b.p = a.p AND abs(a.r - b.r) + abs(a.c - b.c) = 1 AND b.r BETWEEN a.r - 1 AND a.r + 1 GROUP BY a.r, a.c, a.p) SELECT p, count(*) AS n_cells, round(count(*) * {CELL!r} * {CELL!r} / 1e6, 4) AS area_km2, min(z) AS min_z, max(z) AS max_z, round(avg(z), 4) AS mean_z, CAST(sum(edge) AS BIGINT) AS boundary_cells FROM bd JOIN dem USING (r, c) GROUP BY p",
     )
     q["height_above_stream"] = (lambda s, d: hydro.height_above_stream(dem(s, d), *base(s, d), THRESHOLD), f"WITH RECURSIVE {FLOW}, st AS (SELECT r, c FROM acc WHERE accumulation >= {THRESHOLD}), hit AS (SELECT sr, sc, arg_min(dem.z, hop) AS zs FROM walk JOIN st USING (r, c) JOIN dem USING (r, c) GROUP BY sr, sc) SELECT dem.r, dem.c, dem.z - zs AS above_stream FROM dem LEFT JOIN hit ON sr = dem.r AND sc = dem.c")
     q["snap_pour_point"] = (lambda s, d: hydro.snap_pour_points(_starts(s), base(s, d)[1], 4), f"WITH RECURSIVE {FLOW}, {STARTS}, top AS (SELECT max(accumulation) AS top FROM acc), sc AS (SELECT p, acc.r, acc.c, round(accumulation / top / (abs(acc.r - starts.r) + abs(acc.c - starts.c) + 1.0), 9) AS score FROM starts JOIN acc ON abs(acc.r - starts.r) <= 4 AND abs(acc.c - starts.c) <= 4, top) SELECT p, r, c, score FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, r, c) AS k FROM sc) WHERE k = 1")
-    q["trace_downstream"] = (lambda s, d: hydro.trace(base(s, d)[0], dem(s, d), _starts(s)), f"WITH RECURSIVE {FLOW}, {STARTS} SELECT p, CAST(hop AS BIGINT) AS step, walk.r, walk.c, z, round(d * {CELL!r}, 4) AS distance_m FROM walk JOIN starts ON sr = starts.r AND sc = starts.c JOIN dem ON dem.r = walk.r AND dem.c = walk.c")
-    q["hillslope_profile"] = (lambda s, d: hydro.trace(base(s, d)[0], dem(s, d), _starts(s)).groupBy("p").agg(F.max("step").alias("steps"), F.max("distance_m").alias("length_m"), F.round(F.max("z") - F.min("z"), 4).alias("drop_m")), f"WITH RECURSIVE {FLOW}, {STARTS} SELECT p, CAST(max(hop) AS BIGINT) AS steps, max(round(d * {CELL!r}, 4)) AS length_m, round(max(z) - min(z), 4) AS drop_m FROM walk JOIN starts ON sr = starts.r AND sc = starts.c JOIN dem ON dem.r = walk.r AND dem.c = walk.c GROUP BY p")
-    q["average_flow_truncation"] = (lambda s, d: hydro.flow_truncation(base(s, d)[0], 60.0), f"WITH RECURSIVE {FLOW} SELECT round(avg(CASE WHEN (flow.z - o.z) / (flow.len * {CELL!r}) > tan(radians(60)) THEN 1.0 ELSE 0.0 END), 6) AS truncation FROM flow JOIN dem o ON o.r = flow.pr AND o.c = flow.pc")
+    q["trace_downstream"] = (lambda s, d: hydro.trace(_directed(s, d), dem(s, d), _starts(s)), f"WITH RECURSIVE {FLOW}, {STARTS} SELECT p, CAST(hop AS BIGINT) AS step, walk.r, walk.c, z, round(d * {CELL!r}, 4) AS distance_m FROM walk JOIN starts ON sr = starts.r AND sc = starts.c JOIN dem ON dem.r = walk.r AND dem.c = walk.c")
+    q["hillslope_profile"] = (lambda s, d: hydro.trace(_directed(s, d), dem(s, d), _starts(s)).groupBy("p").agg(F.max("step").alias("steps"), F.max("distance_m").alias("length_m"), F.round(F.max("z") - F.min("z"), 4).alias("drop_m")), f"WITH RECURSIVE {FLOW}, {STARTS} SELECT p, CAST(max(hop) AS BIGINT) AS steps, max(round(d * {CELL!r}, 4)) AS length_m, round(max(z) - min(z), 4) AS drop_m FROM walk JOIN starts ON sr = starts.r AND sc = starts.c JOIN dem ON dem.r = walk.r AND dem.c = walk.c GROUP BY p")
+    q["average_flow_truncation"] = (lambda s, d: hydro.flow_truncation(_directed(s, d), 60.0), f"WITH RECURSIVE {FLOW} SELECT round(avg(CASE WHEN (flow.z - o.z) / (flow.len * {CELL!r}) > tan(radians(60)) THEN 1.0 ELSE 0.0 END), 6) AS truncation FROM flow JOIN dem o ON o.r = flow.pr AND o.c = flow.pc")
     slope = f"sl AS (SELECT r, c, round(CAST({terrain.formula('slope')} AS DOUBLE), 9) AS slope FROM h), ix AS (SELECT r, c, slope, CAST(accumulation AS DOUBLE) AS a FROM sl JOIN acc USING (r, c))"
     for name in hydro.INDICES:
         q[name] = (lambda s, d, x=name: hydro.index(dem(s, d), base(s, d)[1], x), f"WITH RECURSIVE {FLOW}, {slope} SELECT r, c, round({hydro.INDICES[name]}, 4) AS {name} FROM ix")
     q["hack_integral"] = (lambda s, d: hydro.hack(*base(s, d), THRESHOLD), f"WITH RECURSIVE {FLOW}, xy AS (SELECT ln(accumulation) AS x, ln(down * {CELL!r} + 1) AS y FROM acc JOIN fin USING (r, c) WHERE accumulation > {THRESHOLD}) SELECT round(regr_slope(y, x), 4) AS hack_exponent, round(exp(regr_intercept(y, x)), 2) AS k_coefficient, count(*) AS n_cells FROM xy")
-    q["flow_accumulation_max"] = (lambda s, d: graph.accumulate(hydro.flow_edges(base(s, d)[0]).join(base(s, d)[1].select(hydro.cell_id().alias("id"), F.col("accumulation").cast("double").alias("w")), "id"), combine="max").select(*[v.alias(k) for k, v in hydro.place().items()], F.col("acc").cast("long").alias("top")), f"WITH RECURSIVE {FLOW} SELECT w.r, w.c, max(acc.accumulation) AS top FROM walk w JOIN acc ON acc.r = w.sr AND acc.c = w.sc GROUP BY w.r, w.c")
+    q["flow_accumulation_max"] = (lambda s, d: graph.accumulate(hydro.flow_edges(_directed(s, d)).join(base(s, d)[1].select(hydro.cell_id().alias("id"), F.col("accumulation").cast("double").alias("w")), "id"), combine="max").select(*[v.alias(k) for k, v in hydro.place().items()], F.col("acc").cast("long").alias("top")), f"WITH RECURSIVE {FLOW} SELECT w.r, w.c, max(acc.accumulation) AS top FROM walk w JOIN acc ON acc.r = w.sr AND acc.c = w.sc GROUP BY w.r, w.c")
     q["drainage_density"] = (lambda s, d: hydro.drainage_density(base(s, d)[1]), f"WITH RECURSIVE {FLOW}, fl AS (SELECT r, c, CASE WHEN accumulation >= (SELECT sqrt(count(*)) FROM acc) THEN 1.0 ELSE 0.0 END AS z FROM acc), {_around(11).replace('dem', 'fl')} SELECT r, c, round(CAST(sum(v) AS DOUBLE) / 121 / {CELL * CELL / 1e6!r}, 4) AS drainage_density FROM win GROUP BY r, c")
     fill = f"{DEM}, {FILL}"
     q["fill_depressions"] = (lambda s, d: _filled(s, d), f"WITH RECURSIVE {fill} SELECT r, c, z FROM f")
@@ -115,14 +114,8 @@ f(id, comp) USING KEY (id) AS (SELECT id, id FROM k UNION SELECT nb.bid, min(f.c
 SELECT CAST(comp // 4294967296 AS INT) AS label_r, CAST(comp % 4294967296 AS INT) AS label_c, count(*) AS n, min(k.k) AS k FROM f JOIN k USING (id) GROUP BY comp"""
 
 
-_filled_made: dict[tuple[str, str], DataFrame] = {}
-
-
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _filled_made:
-        _filled_made[key] = written(hydro.fill_depressions(dem(spark, sf_dir)), "filled")
-    return _filled_made[key]
+    return hydro.fill_depressions(dem(spark, sf_dir))
 
 
 def _network(spark: SparkSession, sf_dir: str) -> DataFrame:

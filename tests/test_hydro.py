@@ -3,6 +3,7 @@
 import heapq
 
 import numpy as np
+import pytest
 from test_terrain import cells, grid_of
 
 from oroflow.operators import channels, graph, grid, hydro
@@ -34,6 +35,88 @@ def test_fill(spark):
     assert np.array_equal(grid_of(hydro.fill_depressions(cells(spark, z)), "z", z.shape), flood(z))
 
 
+@pytest.fixture(params=[(8, 3), (2, 1)])
+def blocks(request, monkeypatch):
+    """One block, and blocks of 4 x 4 cells in groups of 2 x 2."""
+    monkeypatch.setattr(graph, "BLOCK_BITS", request.param[0])
+    monkeypatch.setattr(hydro, "GROUP_BITS", request.param[1])
+
+
+def test_fill_across_blocks(spark, blocks):
+    z = np.random.default_rng(7).integers(0, 15, (21, 23)).astype(float)
+    assert np.array_equal(grid_of(hydro.fill_depressions(cells(spark, z)), "z", z.shape), flood(z))
+    z[3:6, 3:6] = np.nan  # a ring of walls around one cell
+    z[4, 4] = 1.0
+    got = grid_of(hydro.fill_depressions(cells(spark, z)), "z", z.shape)
+    assert got[4, 4] == 1.0 and (got[~np.isnan(z)] >= z[~np.isnan(z)]).all()
+
+
+def test_ways_and_areas_across_blocks(spark, blocks):
+    rng = np.random.default_rng(8)
+    z = rng.permutation(18 * 19).reshape(18, 19).astype(float)
+    directed = hydro.d8(cells(spark, z))
+    code = grid_of(directed, "d8", z.shape).astype(int)
+    acc, longest = np.ones(z.shape), np.zeros(z.shape)
+    root, down = {}, {}
+    for r, c in sorted(np.ndindex(z.shape), key=lambda p: -z[p]):
+        if code[r, c] >= 0:
+            dr, dc = grid.D8_STEPS[code[r, c]]
+            acc[r + dr, c + dc] += acc[r, c]
+            longest[r + dr, c + dc] = max(longest[r + dr, c + dc], longest[r, c] + np.hypot(dr, dc))
+    for r, c in sorted(np.ndindex(z.shape), key=lambda p: z[p]):
+        if code[r, c] < 0:
+            root[r, c], down[r, c] = (r, c), 0.0
+        else:
+            dr, dc = grid.D8_STEPS[code[r, c]]
+            root[r, c], down[r, c] = root[r + dr, c + dc], down[r + dr, c + dc] + np.hypot(dr, dc)
+    assert np.array_equal(grid_of(hydro.flow_accumulation(directed), "accumulation", z.shape), acc)
+    for x in hydro.flow_length(directed).collect():
+        at = x["r"], x["c"]
+        assert (x["root_r"], x["root_c"]) == root[at] and abs(x["downslope"] - down[at] * hydro.CELL) < 1e-3 and abs(x["upslope"] - longest[at] * hydro.CELL) < 1e-3
+    starts = [(i, int(r), int(c)) for i, (r, c) in enumerate(rng.integers(0, 18, (6, 2)))]
+    got = {(x["p"], x["step"]): (x["r"], x["c"], x["distance_m"]) for x in hydro.trace(directed, cells(spark, z), spark.createDataFrame(starts, "p int, r int, c int")).collect()}
+    want = {}
+    for p, r, c in starts:
+        d, step = 0.0, 0
+        while True:
+            want[p, step] = (r, c, round(d * hydro.CELL, 4))
+            if code[r, c] < 0:
+                break
+            dr, dc = grid.D8_STEPS[code[r, c]]
+            r, c, d, step = r + dr, c + dc, d + np.hypot(dr, dc), step + 1
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+    kinds = rng.integers(0, 2, z.shape)
+    label = {}
+    for at in np.ndindex(z.shape):
+        if at not in label:
+            todo = [at]
+            while todo:
+                x = todo.pop()
+                if x in label:
+                    continue
+                label[x] = at
+                todo += [(x[0] + a, x[1] + b) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if 0 <= x[0] + a < 18 and 0 <= x[1] + b < 19 and kinds[x[0] + a, x[1] + b] == kinds[x]]
+    found = hydro.clump(cells(spark, kinds * 100.0)).collect()
+    assert {(x["r"], x["c"]): x["comp"] for x in found} == {k: (v[0] << 32) + v[1] for k, v in label.items()}
+
+
+def test_costs_across_blocks(spark, blocks):
+    z = np.random.default_rng(9).integers(0, 30, (13, 17)).astype(float)
+    best = np.full(z.shape, np.inf)
+    heap = [(0.0, 2, 3), (0.0, 11, 15)]
+    while heap:
+        d, r, c = heapq.heappop(heap)
+        if d >= best[r, c]:
+            continue
+        best[r, c] = d
+        for dr, dc in grid.D8_STEPS:
+            a, b = r + dr, c + dc
+            if 0 <= a < 13 and 0 <= b < 17:
+                heapq.heappush(heap, (d + abs(z[r, c] - z[a, b]) * np.hypot(dr, dc), a, b))
+    got = grid_of(hydro.cost_distance(cells(spark, z), spark.createDataFrame([(2, 3), (11, 15)], "r int, c int")), "cost", z.shape)
+    assert np.allclose(got, best, atol=1e-3)
+
+
 def test_accumulation_of_a_plane(spark):
     z = np.array([[(6 - r) * 10 + (5 - c) * 1.0 for c in range(6)] for r in range(7)])
     directed = hydro.d8(cells(spark, z))
