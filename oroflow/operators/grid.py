@@ -2,11 +2,17 @@
 
 A cell table is long and sparse-safe: a cell without data is a row with null z, or no row. Windows never span a whole
 row or column of a raster: cells are dealt into blocks of BLOCK, with copies of the cells that a block needs from its
-neighbours, so a window's group is bounded however large the raster is, and all of it stays in whole-stage codegen.
+neighbours, so a window's group is bounded however large the raster is, and all of it stays in whole-stage codegen. What
+does not come apart into rows and columns (medians, rays) is worked out in NumPy over one block with its halo at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,24 +90,101 @@ def box(cells: DataFrame, half: int, aggregates: dict[str, tuple[str, str]], ref
     return out.join(e).filter(inside).select(*[c for c in names if c != "__real"], *aggregates)
 
 
-def window_values(cells: DataFrame, half: int, aggregates: dict[str, Column], reflect: bool = True) -> DataFrame:
-    """Aggregates that do not separate (median, mode, correlation): each cell is sent to the cells whose window has it,
-    a fixed number of copies, and sums are combined on the map side where the aggregate allows."""
-    span = F.sequence(F.lit(-half), F.lit(half))
-    wide = mirrored(cells, half) if reflect else cells
-    e = F.broadcast(extent(cells))
-    sent = wide.withColumn("__dr", F.explode(span)).withColumn("__dc", F.explode(span))
-    sent = sent.withColumns({"r": F.col("r") + F.col("__dr"), "c": F.col("c") + F.col("__dc")}).join(e)
-    sent = sent.filter(F.col("r").between(F.col("r0"), F.col("r1")) & F.col("c").between(F.col("c0"), F.col("c1")))
-    return sent.groupBy("r", "c").agg(*[v.alias(k) for k, v in aggregates.items()])
-
-
-def rays(cells: DataFrame, dr: float, dc: float, steps: int) -> DataFrame:
-    """For each cell with data and each step k along a direction: r, c, z, k, zk (null off the grid or without data),
-    on_grid, and open (all steps so far had data). Steps round half to even."""
-    origin = cells.filter("z is not null").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    origin = origin.withColumns({"tr": F.rint(F.col("r") + F.col("k") * dr).cast("int"), "tc": F.rint(F.col("c") + F.col("k") * dc).cast("int")})
-    target = cells.select(F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("z").alias("zk"), F.lit(True).alias("on_grid"))
-    seen = origin.join(target, ["tr", "tc"], "left").withColumn("on_grid", F.coalesce("on_grid", F.lit(False)))
-    so_far = Window.partitionBy("r", "c").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return seen.withColumns({"open": F.min(F.col("zk").isNotNull()).over(so_far), "on": F.min("on_grid").over(so_far)}).drop("tr", "tc")
+Kernel = Callable[["Tile"], dict[str, np.ndarray]]
+
+
+@dataclass
+class Tile:
+    """A block with its halo: absolute rows and columns, arrays over them (NaN: no data, or beyond the raster), which
+    places have a row at all, and how wide the halo is."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    values: dict[str, np.ndarray]
+    on: np.ndarray
+    halo: int
+
+    def own(self, a: np.ndarray) -> np.ndarray:
+        return a[self.halo : len(self.rows) - self.halo, self.halo : len(self.cols) - self.halo]
+
+    def windows(self, name: str, half: int) -> np.ndarray:
+        """Own cells by all values of their window."""
+        a = self.values[name]
+        cut = self.halo - half
+        a = a[cut : len(self.rows) - cut, cut : len(self.cols) - cut]
+        w = np.lib.stride_tricks.sliding_window_view(a, (2 * half + 1, 2 * half + 1))
+        return w.reshape(*w.shape[:2], -1)
+
+    def ray(self, dr: float, dc: float, steps: int, name: str = "z") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each step k along a direction: k, the values there of all own cells, and whether there is a row. Steps
+        round half to even."""
+        rows, cols = (x[self.halo : len(x) - self.halo] for x in (self.rows, self.cols))
+        for k in range(1, steps + 1):
+            at = np.ix_(np.rint(rows + k * dr).astype(np.int64) - self.rows[0], np.rint(cols + k * dc).astype(np.int64) - self.cols[0])
+            yield k, self.values[name][at], self.on[at]
+
+
+def by_blocks(cells: DataFrame, halo: int, kernel: Kernel, schema: str, reflect: bool = False, side: int = BLOCK // 2) -> DataFrame:
+    """cells: r, c and number columns. A bounded group for each block of side x side cells with a halo; kernel gives
+    arrays over the block's own cells by name, of which the cells that have a row come out. schema: the names and types.
+    reflect: places beyond the raster take the value of the place mirrored at its border."""
+    e = extent(cells).first()  # one row
+    lo, hi = (e["r0"], e["c0"]), (e["r1"], e["c1"])
+    names = [c for c in cells.columns if c not in ("r", "c")]
+    outs = [x.split()[0] for x in schema.split(",")]
+    span = lambda axis: F.explode(F.sequence(F.floor((F.col(axis) - halo) / side), F.floor((F.col(axis) + halo) / side)))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        axes, folds = [], []
+        for k in (0, 1):
+            first, last = max(int(key[k]) * side, lo[k]), min(int(key[k]) * side + side - 1, hi[k])
+            at = np.arange(first - halo, last + halo + 1)
+            axes.append(at)
+            folds.append(np.clip(np.where(at < lo[k], 2 * lo[k] - at - 1, np.where(at > hi[k], 2 * hi[k] - at + 1, at)) - at[0], 0, len(at) - 1))
+        rows, cols = axes
+        if len(rows) <= 2 * halo or len(cols) <= 2 * halo:  # a block beyond the raster
+            return pd.DataFrame({"r": [], "c": [], **{x: [] for x in outs}})
+        r, c = pdf["r"].to_numpy(np.int64) - rows[0], pdf["c"].to_numpy(np.int64) - cols[0]
+        inside = (r >= 0) & (r < len(rows)) & (c >= 0) & (c < len(cols))
+        on = np.zeros((len(rows), len(cols)), bool)
+        on[r[inside], c[inside]] = True
+        values = {}
+        for name in names:
+            a = np.full(on.shape, np.nan)
+            a[r[inside], c[inside]] = pdf[name].to_numpy(float)[inside]
+            values[name] = a[np.ix_(*folds)] if reflect else a
+        tile = Tile(rows, cols, values, on, halo)
+        with np.errstate(all="ignore"):
+            found = kernel(tile)
+        r, c = np.nonzero(tile.own(on))
+        return pd.DataFrame({"r": rows[r + halo].astype(np.int32), "c": cols[c + halo].astype(np.int32), **{x: found[x][r, c] for x in outs}})
+
+    dealt = cells.select("r", "c", *[F.col(x).cast("double").alias(x) for x in names]).withColumn("__br", span("r")).withColumn("__bc", span("c"))
+    return dealt.groupBy("__br", "__bc").applyInPandas(run, f"r int, c int, {schema}")
+
+
+def window_median(values: np.ndarray) -> np.ndarray:
+    """Median along the last axis of what is no NaN; the mean of the middle two where their number is even."""
+    s = np.sort(values, axis=-1)
+    n = np.count_nonzero(~np.isnan(s), axis=-1)
+    pick = lambda k: np.take_along_axis(s, np.maximum(k, 0)[..., None], -1)[..., 0]
+    return np.where(n > 0, (pick((n - 1) // 2) + pick(n // 2)) / 2, np.nan)
+
+
+def window_mode(values: np.ndarray) -> np.ndarray:
+    """Most frequent of the numbers along the last axis; of equally frequent ones the least."""
+    s = np.sort(values, axis=-1)
+    place = np.arange(s.shape[-1])
+    first = np.ones(s.shape, bool)
+    first[..., 1:] = s[..., 1:] != s[..., :-1]
+    run = place - np.maximum.accumulate(np.where(first, place, 0), axis=-1)
+    return np.take_along_axis(s, np.where(np.isnan(s), -1, run).argmax(-1)[..., None], -1)[..., 0]
+
+
+def window_sums(a: np.ndarray, halo: int, half: int) -> np.ndarray:
+    """Sums of the windows of all own cells of an array with a halo, by running sums."""
+    cut = halo - half
+    a = np.nan_to_num(a[cut : a.shape[0] - cut, cut : a.shape[1] - cut])
+    t = np.pad(a.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    k = 2 * half + 1
+    return t[k:, k:] - t[:-k, k:] - t[k:, :-k] + t[:-k, :-k]

@@ -7,10 +7,13 @@ meets. Polygons come as edges (zone, x1, y1, x2, y2), outer rings only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..plans.scratch import written
 from . import grid, terrain
 
 GEO = (0.0, 0.0, 0.001, 0.001)
@@ -45,15 +48,27 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, block: float = 16.0)
     span = lambda a, b: F.sequence(F.floor(F.col(a) / block), F.floor(F.col(b) / block))
     dealt = boxes.withColumn("bx", F.explode(span("xa", "xb"))).withColumn("by", F.explode(span("ya", "yb")))
     near = points.withColumns({"bx": F.floor(F.col("x") / block), "by": F.floor(F.col("y") / block)}).join(dealt, ["bx", "by"])
-    near = near.filter("x >= xa AND x <= xb AND y >= ya AND y <= yb").select("pid", "x", "y", "zone")
-    hits = near.join(edges, "zone").filter("(y1 > y) <> (y2 > y)").filter("x < (x2 - x1) * (y - y1) / (y2 - y1) + x1")
+    near = near.filter("x >= xa AND x <= xb AND y >= ya AND y <= yb").select("pid", "x", "y", "zone", "by")
+    bands = edges.withColumn("by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / block), F.floor(F.greatest("y1", "y2") / block))))
+    hits = near.join(bands, ["zone", "by"]).filter("(y1 > y) <> (y2 > y)").filter("x < (x2 - x1) * (y - y1) / (y2 - y1) + x1")
     return hits.groupBy("pid", "zone").agg(F.count(F.lit(1)).alias("k")).filter("k % 2 = 1").select("pid", "zone")
 
 
-def zonal_stats(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """Statistics of the cells with data inside each polygon (x = column, y = row)."""
-    points = cells.filter("z is not null").select(F.struct("r", "c", "z").alias("pid"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
-    inside = points_in_polygons(points, edges).select("zone", "pid.z")
+def spans(edges: DataFrame) -> DataFrame:
+    """Polygons as runs of cells (x = column, y = row): zone, r, first and last column. Between each second crossing of a
+    row with the outline and the next one lies a run."""
+    at = edges.withColumn("r", F.explode(F.filter(F.sequence(F.ceil(F.least("y1", "y2")), F.ceil(F.greatest("y1", "y2"))), lambda r: r < F.greatest("y1", "y2"))))
+    crossings = at.groupBy("zone", "r").agg(F.array_sort(F.collect_list(F.expr("(x2 - x1) * (r - y1) / (y2 - y1) + x1"))).alias("x"))
+    run = lambda i: F.struct(F.ceil(F.get("x", 2 * i)).alias("a"), (F.ceil(F.get("x", 2 * i + 1)) - 1).alias("b"))
+    runs = F.transform(F.sequence(F.lit(0), (F.size("x") / 2).cast("int") - 1), run)
+    return crossings.filter(F.size("x") > 1).select("zone", F.col("r").cast("int").alias("r"), F.explode(runs).alias("run")).select("zone", "r", F.col("run.a").alias("first"), F.col("run.b").alias("last")).filter("first <= last")
+
+
+def zonal_stats(cells: DataFrame, edges: DataFrame, block: int = 512) -> DataFrame:
+    """Statistics of the cells with data inside each polygon (x = column, y = row). A cell meets only the runs that touch
+    its block of its row."""
+    dealt = spans(edges).withColumn("b", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))))
+    inside = cells.filter("z is not null").withColumn("b", F.floor(F.col("c") / block)).join(dealt, ["r", "b"]).filter(F.col("c").between(F.col("first"), F.col("last")))
     two = lambda x: F.round(x, 2)
     return inside.groupBy("zone").agg(two(F.avg("z")).alias("mean"), two(F.min("z")).alias("min"), two(F.max("z")).alias("max"), two(F.sum("z")).alias("sum"), two(F.stddev_pop("z")).alias("std"), F.count(F.lit(1)).alias("count"))
 
@@ -98,29 +113,35 @@ def cluster_points(points: DataFrame, zoom: int, box: tuple[float, float, float,
     return inside.withColumns(cell).groupBy("gx", "gy").agg(F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"), F.count(F.lit(1)).alias("n"), F.max("weight").alias("top")).drop("gx", "gy")
 
 
-def nearest(points: DataFrame, stations: DataFrame, degrees: float = 30.0) -> DataFrame:
-    """points: pid, lat, lon; stations: sid, slat, slon (few thousands: they are collected only as a broadcast behind
-    Spark's own size check). The nearest station in nautical miles, the smallest id of equally near ones. Points first
-    look into their own and the eight blocks around; a point whose best find lies beyond the block's reach looks at all."""
+def nearest(points: DataFrame, stations: DataFrame, degrees: float = 2.8125) -> DataFrame:
+    """points: pid, lat, lon; stations: sid, slat, slon. One row a point: the nearest station in nautical miles, the
+    smallest id of equally near ones; null for a point without a place. Points first look into their own block of degrees
+    and the eight around it; those whose best find may lie beyond look on in blocks four times as wide, up to the globe's."""
     block = lambda lat, lon: {"by": F.floor(F.col(lat) / degrees), "bx": F.floor(F.col(lon) / degrees)}
     known = stations.filter("slat is not null and slon is not null")
-    step = F.sequence(F.lit(-1), F.lit(1))
-    cols = F.lit(int(360 / degrees))
-    spread = known.withColumns(block("slat", "slon")).withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step))
-    spread = spread.select("sid", "slat", "slon", (F.col("by") + F.col("dy")).alias("by"), F.pmod(F.col("bx") + F.col("dx"), cols).alias("bx"))
-    at = points.withColumns(block("lat", "lon")).withColumn("bx", F.pmod("bx", cols))
+    asked = written(points.withColumn("__q", F.monotonically_increasing_id()), "nearest-points")
+    left = asked.filter("lat is not null and lon is not null").select("__q", "lat", "lon")
     dist = F.expr(geo.haversine("lat", "lon", "slat", "slon", geo.EARTH_NM))
-    best = at.join(spread, ["by", "bx"]).groupBy("pid", "lat", "lon").agg(F.min(F.struct(dist.alias("d"), "sid")).alias("x"))
-    reach = F.expr(f"{degrees * 60} * cos(radians(least(abs(lat) + {degrees}, 90)))")
-    sure = best.filter(F.col("x.d") <= reach)
-    rest = points.join(sure.select("pid"), "pid", "left_anti")
-    far = rest.join(F.broadcast(known) if _small(known) else known).groupBy("pid", "lat", "lon").agg(F.min(F.struct(dist.alias("d"), "sid")).alias("x"))
-    return sure.unionByName(far).select("pid", F.col("x.sid").alias("sid"), F.round("x.d", 1).alias("distance_nm"))
-
-
-def _small(df: DataFrame, limit: int = 8 << 20) -> bool:
-    """Whether the optimiser's size of a frame is known to be under a limit."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+    step = F.sequence(F.lit(-1), F.lit(1))
+    found: DataFrame | None = None
+    while True:
+        cols = F.lit(max(1, int(360 / degrees)))
+        spread = known.withColumns(block("slat", "slon")).withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step))
+        spread = spread.select("sid", "slat", "slon", (F.col("by") + F.col("dy")).alias("by"), F.pmod(F.col("bx") + F.col("dx"), cols).alias("bx")).distinct()
+        at = left.withColumns(block("lat", "lon")).withColumn("bx", F.pmod("bx", cols))
+        best = at.join(spread, ["by", "bx"]).groupBy("__q", "lat").agg(F.min(F.struct(dist.alias("d"), "sid")).alias("x"))
+        whole = degrees >= 180
+        # no place outside the nine blocks is nearer than a step of one block along the parallel nearest to the pole
+        reach = F.expr(f"2 * {geo.EARTH_NM!r}e0 * asin(cos(radians(least(abs(lat) + {degrees}, 90e0))) * {math.sin(math.radians(min(degrees, 180.0)) / 2)!r}e0)")
+        sure = written((best if whole else best.filter(F.col("x.d") <= reach)).select("__q", "x.sid", "x.d"), "nearest")
+        found = sure if found is None else found.unionByName(sure)
+        if whole:
+            break
+        left = written(left.join(sure.select("__q"), "__q", "left_anti"), "nearest-left")
+        if left.isEmpty():
+            break
+        degrees = min(180.0, degrees * 4)
+    return asked.join(found, "__q", "left").select("pid", "sid", F.round("d", 1).alias("distance_nm"))
 
 
 def densified_path(points: DataFrame, step_m: float = 90.0) -> DataFrame:

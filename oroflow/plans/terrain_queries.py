@@ -14,6 +14,8 @@ DEM = """dem AS (SELECT CAST(vec_id AS INT) AS r, CAST(i - 1 AS INT) AS c, round
 HOLES = DEM.replace("dem AS", "full_dem AS") + ", dem AS (SELECT r, c, CASE WHEN (r * 31 + c * 17) % 97 <> 0 THEN z END AS z FROM full_dem)"
 AROUND = """v AS (SELECT r, c, z, lag(z) OVER (PARTITION BY c ORDER BY r) AS n, lead(z) OVER (PARTITION BY c ORDER BY r) AS s FROM dem),
 h AS (SELECT r, c, z, n, s, lag(z) OVER o AS w, lead(z) OVER o AS e, lag(n) OVER o AS nw, lead(n) OVER o AS ne, lag(s) OVER o AS sw, lead(s) OVER o AS se FROM v WINDOW o AS (PARTITION BY r ORDER BY c))"""
+#: Cells that rays and lines of sight of the queries go.
+FAR = 100
 BLOCK = "ext AS (SELECT max(r) AS rm, max(c) AS cm FROM dem)"
 
 #: Full of data: sums of many cells and paths; with holes: whatever has to respect missing neighbours.
@@ -50,7 +52,6 @@ def _ray(dr: float, dc: float, steps: int) -> str:
 ray AS (SELECT *, min(CASE WHEN zk IS NULL THEN k END) OVER (PARTITION BY r, c) AS gap, min(CASE WHEN away THEN k END) OVER (PARTITION BY r, c) AS off FROM far)"""
 
 
-OBSERVERS = ((0, 60, 20), (1, 130, 40), (2, 250, 31))
 ZONES = {0: ((2.5, 10.5), (30.5, 12.5), (20.5, 90.5), (5.5, 70.5)), 1: ((35.5, 100.5), (60.5, 100.5), (60.5, 160.5), (47.5, 120.5), (35.5, 160.5)), 2: ((10.5, 200.5), (50.5, 210.5), (30.5, 300.5))}
 
 
@@ -76,13 +77,21 @@ def build() -> dict[str, tuple]:
     for name in terrain.FORMULAS:
         holes = name in WITH_HOLES
         q[name] = (lambda s, d, x=name, holes=holes: terrain.derive(dem(s, d, holes), x), f"WITH {HOLES if holes else DEM}, {AROUND} SELECT r, c, round(CAST({terrain.formula(name)} AS DOUBLE), 6) AS {name} FROM h")
+    sums = ", ".join(f"sum(s{k}) OVER w{k} AS s{k}, sum(n{k}) OVER w{k} AS n{k}" for k in (2, 5, 10))
+    down = ", ".join(f"sum(z) OVER v{k} AS s{k}, count(z) OVER v{k} AS n{k}" for k in (2, 5, 10))
+    over = lambda name, part, order: ", ".join(f"{name}{k} AS (PARTITION BY {part} ORDER BY {order} RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING)" for k in (2, 5, 10))
+    index = ", ".join(f"CASE WHEN z IS NOT NULL AND n{k} > 1 THEN z - (s{k} - z) / (n{k} - 1) END AS t{k}" for k in (2, 5, 10))
+    q["mstp"] = (
+        lambda s, d: terrain.mstp(dem(s, d, True)),
+        f"WITH {HOLES}, dn AS (SELECT r, c, z, {down} FROM dem WINDOW {over('v', 'c', 'r')}), ac AS (SELECT r, c, z, {sums} FROM dn WINDOW {over('w', 'r', 'c')}), ix AS (SELECT r, c, {index} FROM ac) SELECT r, c, CAST(CASE WHEN t10 IS NULL THEN -1 WHEN t10 > 0.5 AND t2 > 0.3 THEN 0 WHEN t10 > 0.2 AND t5 > 0.2 THEN 1 WHEN abs(t10) < 0.3 THEN 2 WHEN t10 < -0.2 AND t5 < -0.1 THEN 3 WHEN t10 < -0.5 AND t2 < -0.3 THEN 4 WHEN t10 > 0 THEN 0 ELSE 4 END AS INT) AS mstp FROM ix",
+    )
     q["slope_at_latitude"] = (lambda s, d: terrain.derive(dem(s, d), "slope", cell_x=terrain.width_at(46.5)), f"WITH {DEM}, {AROUND} SELECT r, c, round(CAST({terrain.formula('slope', terrain.width_at(46.5))} AS DOUBLE), 6) AS slope FROM h")
     q["slope_stats"] = (
         lambda s, d: terrain.derive(dem(s, d), "slope").agg(F.round(F.avg("slope"), 4).alias("mean"), F.round(F.percentile("slope", F.lit(0.5)), 4).alias("median"), F.min("slope").alias("min"), F.max("slope").alias("max"), F.round(F.stddev_pop("slope"), 4).alias("std")),
         f"WITH {DEM}, {AROUND}, g AS (SELECT round(CAST({terrain.formula('slope')} AS DOUBLE), 6) AS slope FROM h) SELECT round(avg(slope), 4) AS mean, round(quantile_cont(slope, 0.5), 4) AS median, min(slope) AS min, max(slope) AS max, round(stddev_pop(slope), 4) AS std FROM g",
     )
     for name in terrain.ALGEBRA:
-        q[name] = (lambda s, d, x=name: terrain.algebra(pair(s, d), x), f"WITH {PAIR} SELECT r, c, round(CAST({terrain.ALGEBRA[name]} AS DOUBLE), 6) AS {name} FROM two")
+        q[name] = (lambda s, d, x=name: terrain.algebra(pair(s, d), x), f"WITH {PAIR} SELECT r, c, round(CAST({terrain.algebra_sql(name)} AS DOUBLE), 6) AS {name} FROM two")
     q["color_relief"] = (lambda s, d: terrain.color_relief(dem(s, d, True)), f"WITH {HOLES} SELECT r, c, " + ", ".join(f"CAST(floor({terrain.ramp_channel(k)}) AS INT) AS {x}" for k, x in enumerate(("red", "green", "blue"))) + ", CASE WHEN z IS NULL THEN 0 ELSE 255 END AS alpha FROM dem")
     stats = f"{BLOCK}, st AS (SELECT avg(z) AS mean_z, min(z) AS min_z, max(z) AS max_z, min(CASE WHEN r = 0 OR c = 0 OR r = rm OR c = cm THEN z END) AS edge_z FROM dem, ext)"
     for name in terrain.GLOBAL:
@@ -112,13 +121,13 @@ def build() -> dict[str, tuple]:
     q["image_autocorrelation"] = (lambda s, d: terrain.local_moran(dem(s, d)), f"WITH {DEM}, {_around(5)}, st AS (SELECT avg(z) AS m, var_pop(z) AS vv FROM dem), w AS (SELECT r, c, z, sum(v) AS t, count(v) AS k FROM win GROUP BY r, c, z) SELECT r, c, round((z - m) * ((t - z) / (k - 1) - m) / vv, 6) AS image_autocorrelation FROM w, st")
 
     a = math.radians(30.0)
-    q["directional_relief"] = (lambda s, d: terrain.directional_relief(dem(s, d, True), 30.0, 12), f"WITH {HOLES}, {_ray(-math.sin(a), math.cos(a), 12)} SELECT r, c, round(coalesce(avg(CASE WHEN zk < z THEN 1.0 ELSE 0.0 END) FILTER (zk IS NOT NULL AND (off IS NULL OR k < off)), 0), 6) AS directional_relief FROM ray GROUP BY r, c")
-    q["max_elevation_from_direction"] = (lambda s, d: terrain.max_elevation_from_direction(dem(s, d, True), 30.0, 12), f"WITH {HOLES}, {_ray(-math.sin(a), math.cos(a), 12)} SELECT r, c, greatest(max(z), max(zk) FILTER (gap IS NULL OR k < gap)) AS max_elevation FROM ray GROUP BY r, c")
+    q["directional_relief"] = (lambda s, d: terrain.directional_relief(dem(s, d, True), 30.0, FAR), f"WITH {HOLES}, {_ray(-math.sin(a), math.cos(a), FAR)} SELECT r, c, round(coalesce(avg(CASE WHEN zk < z THEN 1.0 ELSE 0.0 END) FILTER (zk IS NOT NULL AND (off IS NULL OR k < off)), 0), 6) AS directional_relief FROM ray GROUP BY r, c")
+    q["max_elevation_from_direction"] = (lambda s, d: terrain.max_elevation_from_direction(dem(s, d, True), 30.0, 50), f"WITH {HOLES}, {_ray(-math.sin(a), math.cos(a), 50)} SELECT r, c, greatest(max(z), max(zk) FILTER (gap IS NULL OR k < gap)) AS max_elevation FROM ray GROUP BY r, c")
     b = math.radians(315.0)
-    q["fetch_analysis"] = (lambda s, d: terrain.fetch_analysis(dem(s, d, True), 315.0, 12), f"WITH {HOLES}, {_ray(math.sin(b), -math.cos(b), 12)} SELECT r, c, CAST(coalesce(min(k) FILTER (zk IS NULL OR zk >= z), 12) AS INT) AS fetch FROM ray GROUP BY r, c")
-    q["horizon_angle"] = (lambda s, d: terrain.horizon_angle(dem(s, d, True), 315.0, 12), f"WITH {HOLES}, {_ray(math.sin(b), -math.cos(b), 12)} SELECT r, c, round(greatest(0.0, max(degrees(atan2(zk - z, k * {terrain.CELL!r}))) FILTER (gap IS NULL OR k < gap)), 6) AS horizon_angle FROM ray GROUP BY r, c")
-    q["viewshed"] = (lambda s, d: terrain.viewshed(dem(s, d), observers(s), 12), _viewshed_sql(12) + " SELECT o, r, c, visible FROM seen")
-    q["visibility_index"] = (lambda s, d: terrain.visibility_index(dem(s, d), observers(s), 12), _viewshed_sql(12) + " SELECT r, c, count(*) FILTER (visible) AS visibility_index FROM seen GROUP BY r, c")
+    q["fetch_analysis"] = (lambda s, d: terrain.fetch_analysis(dem(s, d, True), 315.0, FAR), f"WITH {HOLES}, {_ray(math.sin(b), -math.cos(b), FAR)} SELECT r, c, CAST(coalesce(min(k) FILTER (zk IS NULL OR zk >= z), {FAR}) AS INT) AS fetch FROM ray GROUP BY r, c")
+    q["horizon_angle"] = (lambda s, d: terrain.horizon_angle(dem(s, d, True), 315.0, FAR), f"WITH {HOLES}, {_ray(math.sin(b), -math.cos(b), FAR)} SELECT r, c, round(greatest(0.0, max(degrees(atan2(zk - z, k * {terrain.CELL!r}))) FILTER (gap IS NULL OR k < gap)), 6) AS horizon_angle FROM ray GROUP BY r, c")
+    q["viewshed"] = (lambda s, d: terrain.viewshed(dem(s, d), observers(s, d), FAR), _viewshed_sql(FAR) + " SELECT o, r, c, visible FROM seen")
+    q["visibility_index"] = (lambda s, d: terrain.visibility_index(dem(s, d), observers(s, d), FAR), _viewshed_sql(FAR) + " SELECT r, c, count(*) FILTER (visible) AS visibility_index FROM seen GROUP BY r, c")
     q["profile"] = (lambda s, d: terrain.profile(dem(s, d), s.range(0, 40).select((F.col("id") % 4).alias("line"), F.floor(F.col("id") / 4).alias("i"), (F.col("id") * 3).cast("int").alias("r"), (F.col("id") % 7 * 5).cast("int").alias("c"))), f"WITH {DEM}, p AS (SELECT i % 4 AS line, i // 4 AS i, CAST(i * 3 AS INT) AS r, CAST(i % 7 * 5 AS INT) AS c FROM range(0, 40) t(i)), g AS (SELECT *, coalesce(sqrt(power(r - lag(r) OVER o, 2) + power(c - lag(c) OVER o, 2)), 0) * {terrain.CELL!r} AS leg FROM p WINDOW o AS (PARTITION BY line ORDER BY i)) SELECT line, i, g.r, g.c, z, round(sum(leg) OVER (PARTITION BY line ORDER BY i), 1) AS distance_m FROM g LEFT JOIN dem USING (r, c)")
 
     q["zonal_stats"] = (lambda s, d: vector.zonal_stats(dem(s, d, True), zone_edges(s)), f"WITH {HOLES}, {EDGES}, ins AS (SELECT zone, r, c, z FROM dem JOIN edges ON (y1 > r) <> (y2 > r) AND c < (x2 - x1) * (r - y1) / (y2 - y1) + x1 WHERE z IS NOT NULL GROUP BY zone, r, c, z HAVING count(*) % 2 = 1) SELECT zone, round(avg(z), 2) AS mean, round(min(z), 2) AS min, round(max(z), 2) AS max, round(sum(z), 2) AS sum, round(stddev_pop(z), 2) AS std, count(*) AS count FROM ins GROUP BY zone")
@@ -135,13 +144,14 @@ def _square_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.join(other, ["r", "c"]).select((F.col("r") - 1).alias("r"), "c", "z", "y")
 
 
-def observers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*o, 1.75) for o in OBSERVERS], "o int, orow int, ocol int, height double")
+def observers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest cell of every 256 rows, the first of equal ones."""
+    top = dem(spark, sf_dir).groupBy(F.floor(F.col("r") / 256).cast("int").alias("o")).agg(F.max(F.struct("z", (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))).alias("x"))
+    return top.select("o", (-F.col("x.r")).alias("orow"), (-F.col("x.c")).alias("ocol"), F.lit(1.75).alias("height"))
 
 
 def _viewshed_sql(radius: int) -> str:
-    eyes = ", ".join(f"({o}, {r}, {c})" for o, r, c in OBSERVERS)
-    return f"""WITH {DEM}, {AROUND}, obs(o, orow, ocol) AS (VALUES {eyes}), eye AS (SELECT obs.*, z + 1.75 AS eye FROM obs JOIN dem ON r = orow AND c = ocol),
+    return f"""WITH {DEM}, {AROUND}, obs AS (SELECT CAST(r // 256 AS INT) AS o, r AS orow, c AS ocol FROM dem QUALIFY row_number() OVER (PARTITION BY r // 256 ORDER BY z DESC, r, c) = 1), eye AS (SELECT obs.*, z + 1.75 AS eye FROM obs JOIN dem ON r = orow AND c = ocol),
 near AS (SELECT o, orow, ocol, eye, r, c, sqrt(power(r - orow, 2) + power(c - ocol, 2)) AS d FROM eye JOIN dem ON abs(r - orow) <= {radius} AND abs(c - ocol) <= {radius}),
 smp AS (SELECT *, greatest(CAST(floor(2 * d) AS BIGINT), 2) AS steps, unnest(range(1, greatest(CAST(floor(2 * d) AS BIGINT), 2) + 1)) AS i FROM near WHERE d > 0 AND d <= {radius}),
 pos AS (SELECT *, CAST(i AS DOUBLE) / steps AS t, orow + CAST(i AS DOUBLE) / steps * (r - orow) AS pr, ocol + CAST(i AS DOUBLE) / steps * (c - ocol) AS pc FROM smp),
