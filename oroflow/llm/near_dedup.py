@@ -21,8 +21,8 @@ square, in groups of bounded size; no candidate pair is left out. For a pair at
 rows); it falls steeply above.
 
 Defined results: null counts as the empty text; texts without a word form one class; rows that repeat fall into the
-class of their text; the class id is the smallest id in it (null where it has none); an empty table gives an empty
-result; other columns are ignored.
+class of their text; the class id is the smallest id in it (null where it has none); rows that share an id are told apart
+by their texts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -258,7 +258,8 @@ def _verify_rest(large: DataFrame, comps: DataFrame, nodes: DataFrame, vectors:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 5, idf_share: float = 1e-4, all_pairs: int = 24) -> DataFrame:
-    """One row for each row of docs: row_id, class_id, class_size, kept (its id is the class id)."""
+    """One row for each row of docs: row_id, class_id, class_size, kept (it has the class id, and of rows with that id the
+    text that stays), mark (a hash of its text)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("mark", F.xxhash64("text"))  # beside the id, so that rows without one are not all one key
@@ -334,8 +335,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     new = materialise(_verify_rest(large.select("key", "node"), comps, nodes, vectors, threshold), "near-verified")
     if not new.isEmpty():
         comps = components(materialise(links.unionByName(new), "near-links-all"))
-    classed = materialise(nodes.join(comps, "node", "left").select("digest", "rep_id", "n", F.coalesce("comp", "node").alias("comp")), "near-classes")
-    classes = classed.groupBy("comp").agg(F.min("rep_id").alias("class_id"), F.sum("n").alias("class_size"))
-    by_digest = spread_join(classed.select("digest", "comp"), classes, "comp").select("digest", "class_id", "class_size")
-    at = spread_join(signed.select("row_id", "digest"), by_digest, "digest", counts=classed.select("digest", "n"))
-    return at.select("row_id", "class_id", "class_size", F.col("row_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    classed = materialise(nodes.join(comps, "node", "left").select("digest", "rep_id", "rep_mark", "n", F.coalesce("comp", "node").alias("comp")), "near-classes")
+    least = F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "rep_mark"))
+    classes = classed.groupBy("comp").agg(least.alias("x"), F.sum("n").alias("class_size")).select("comp", F.col("x.rep_id").alias("class_id"), F.col("x.rep_mark").alias("class_mark"), "class_size")
+    by_digest = spread_join(classed.select("digest", "comp"), classes, "comp").drop("comp")
+    at = spread_join(signed.select("row_id", "mark", "digest"), by_digest, "digest", counts=classed.select("digest", "n"))
+    return at.select("row_id", "class_id", "class_size", (F.col("row_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))).alias("kept"), "mark")

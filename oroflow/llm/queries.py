@@ -93,7 +93,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("row_id", "doc_id")
+    return near_dedup(documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("row_id", "doc_id").drop("mark")
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_language_id, op4_packing, op5_mixing, op6_token_counts, op7_exact_dedup, op8_line_dedup, op9_toxicity, op10_near_dedup)}

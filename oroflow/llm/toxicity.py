@@ -4,9 +4,10 @@ Words get log-odds of the toxic against the other labelled texts under an inform
 proportion to the word's share of all labelled texts, prior_share of their words in all). Words that the labels mark clearly (z at least min_z) keep their
 log-odds as score; every other word scores `-drift`, so segments have a negative expectation and the linear-time scan
 of Ruzzo and Tompa gives all maximal ones. Scores are calibrated as extreme values: lambda solves the Karlin-Altschul
-equation on the words of texts that are not toxic, K is the maximum-likelihood one of their best segments (of texts of n
-words the best has P(S or more) = 1 - exp(-K n exp(-lambda S))), a segment's bits are lambda S - ln(K n), and one is
-significant where its expected number by chance is under max_e. A text is judged by two chances: that of its best
+equation on the words of texts that are not toxic (their frequencies under the same prior), K is the maximum-likelihood
+one of the best segments of texts drawn from those frequencies (of texts of n words the best has P(S or more) = 1 -
+exp(-K n exp(-lambda S))), a segment's bits are lambda S - ln(K n), and one is significant where its expected number by
+chance is under max_e. A text is judged by two chances: that of its best
 segment, and that of the sum of all segments with positive bits (the sum statistic of r segments). Its score is a
 logistic function of the logarithms of the two, fitted on the labelled sample.
 
@@ -80,6 +81,18 @@ def fit_k(x: np.ndarray, words: np.ndarray) -> float:
     return max(float((x > 0).sum()), 1.0) / max(float(np.sum(words * np.exp(-x))), 1e-9)
 
 
+def background_k(values: np.ndarray, p: np.ndarray, drift: float, lam: float, texts: int = 4000, words: int = 200, seed: int = 1) -> float:
+    """K of texts whose words score values with chances p, and -drift else; of drawn texts, the same in every run."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    x = np.zeros(texts)
+    hits = rng.random((texts, words)) < p.sum()
+    for k in np.flatnonzero(hits.any(1)).tolist():
+        at = np.flatnonzero(hits[k])
+        drawn = values[rng.choice(len(values), len(at), p=p / p.sum())]
+        x[k] = lam * max(s for *_, s in maximal_segments(list(zip(at.tolist(), drawn.tolist(), strict=True)), drift))
+    return fit_k(x, np.full(texts, float(words)))
+
+
 @dataclass
 class ToxicModel:
     words: dict[bytes, float] = field(default_factory=dict)
@@ -181,17 +194,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     words = {w.encode(): float(s) for w, s in zip(top["word"], top["delta"], strict=True)}
     p = (top["c0"].to_numpy(float) + prior * (top["c0"] + top["c1"]).to_numpy(float) / (n0 + n1)) / (n0 + prior)
     lam = karlin_lambda(np.concatenate([top["delta"].to_numpy(float), [-drift]]), np.concatenate([p, [max(0.0, 1 - p.sum())]]))
-    model = ToxicModel(words, drift, lam)
-    shared = spark.sparkContext.broadcast(model)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in byte_slices(batches, "text"):
-            lens, found = shared.value.segments(texts)
-            x = np.array([max((s for _, _, s in found.get(d, [])), default=0.0) for d in range(len(texts))])
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(shared.value.lam * x), pa.array(lens)], names=["y", "x", "words"])
-
-    plain = sample.mapInArrow(best, "y int, x double, words long").filter("y = 0").toPandas()  # bounded by max_labelled
-    model.k = fit_k(plain["x"].to_numpy(float), plain["words"].to_numpy(float))
+    k = background_k(top["delta"].to_numpy(float), p, drift, lam) if len(top) else 1.0
+    model = ToxicModel(words, drift, lam, k)
     fitted = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

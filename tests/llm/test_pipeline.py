@@ -59,6 +59,24 @@ def test_stages(spark, tmp_path):
             docs = spark.read.parquet(f"{d}/stage{k}")
 
 
+def test_odd_tables(spark, tmp_path):
+    """Empty tables; columns that are called like the operators' own; ids that repeat on other texts."""
+    d = f"file://{tmp_path}"
+    make(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), d).count() == 0
+    odd = [(1, "first text of one id " * 9, "a", 5, "x"), (1, "second text of the same id " * 9, "a", 6, "y"), (2, "Second text of the same id " * 9, "b", 7, "z"), (2, "Second text of the same id " * 9, "b", 7, "z"), (None, None, None, None, None), (None, "plain", "b", 8, "w")]
+    names = "doc_id long, text string, source string, score long, passages string"
+    out = spark.createDataFrame(odd, names)
+    assert sorted(map(str, P.drop_toxic(spark, out, d).collect())) == sorted(str(r) for r in out.collect())
+    exact = P.drop_exact_copies(spark, out, d)
+    assert {(r["doc_id"], r["text"]) for r in exact.collect()} == {(i, t) for i, t, *_ in odd if t != odd[1][1]}
+    assert exact.count() == 4 and exact.columns == out.columns
+    assert P.drop_near_copies(spark, out, d).columns == out.columns
+    assert P.mix_sources(spark, out, d).columns == out.columns
+
+
 def test_run(spark, tmp_path):
     d = f"file://{tmp_path}"
     make(spark, d)
