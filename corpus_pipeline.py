@@ -1,15 +1,18 @@
 """The corpus pipeline: toxicity filter, exact and near deduplication, mixing and packing, one operator a stage.
 
-Each stage takes what its predecessor kept and returns the columns of documents; the last one returns the packing. Ids
-are taken to name a text: rows that share an id share the decision on it.
+Each stage takes what its predecessor kept and returns the columns of documents; the last one returns the packing.
+
+Defined results, for every stage: a null text is the empty text; a null id is an id like any other; rows that share an id
+are told apart by their texts; rows that repeat id and text are one document after exact deduplication; columns of any
+name pass through as they are, whatever the operators call theirs; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oroflow.llm.common import id_remainder, materialise, split_words
+from oroflow.llm.common import UPPER, id_remainder, materialise, split_words
 from oroflow.llm.exact_dedup import exact_dedup
 from oroflow.llm.mixing import balanced_mix
 from oroflow.llm.near_dedup import near_dedup
@@ -17,37 +20,50 @@ from oroflow.llm.packing import best_fit_pack
 from oroflow.llm.toxicity import learn_toxicity, score_toxicity
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is one of ids.row_id; null matches null. The ids grow with the corpus, so they are merged at
-    every size, not broadcast at small ones."""
-    return docs.join(ids.select(F.col("row_id").alias("__row_id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("__row_id")), "left_semi")
+def _only(docs: DataFrame, kept: DataFrame, **keys: Column) -> DataFrame:
+    """Rows of docs for which kept has a row of the same id and the same keys; null matches null. What is kept grows with
+    the corpus, so it is merged at every size, not broadcast at small ones."""
+    names = [f"__{k}" for k in keys]
+    right = kept.select(F.col("row_id").alias("__row_id"), *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
+    same = F.col("doc_id").eqNullSafe(F.col("__row_id"))
+    for value, name in zip(keys.values(), names, strict=True):
+        same = same & (value == F.col(name))
+    return docs.join(right.hint("merge"), same, "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the segment scorer does not call toxic. It learns from the labels that op9 may learn from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(id_remainder("doc_id", 5) != 0)
-    return score_toxicity(docs, learn_toxicity(docs, labels)).filter("predicted = 0").select(*docs.columns)
+    own = {c: f"__own_{k}" for k, c in enumerate(docs.columns) if c in ("score", "predicted", "passages")}  # not the scorer's
+    scored = score_toxicity(docs.withColumnsRenamed(own), learn_toxicity(docs, labels)).filter("predicted = 0")
+    return scored.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id; of rows that repeat id and text, one."""
     old = id_remainder("doc_id", 2) == 0
     kept = exact_dedup(docs.filter(~old), docs.filter(old)).filter("kept")
-    kept = materialise(kept.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("digest").alias("texts")), "kept-ids")
-    out = _only(docs, kept)
-    return out if kept.filter("n > texts").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    kept = materialise(kept.groupBy("row_id", "digest").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
+    lowered = F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower())
+    out = _only(docs, kept, digest=F.unhex(F.sha2(lowered, 256)))
+    if kept.filter("n > 1").isEmpty():
+        return out
+    return out.withColumn("__lowered", lowered).dropDuplicates(["doc_id", "__lowered"]).drop("__lowered")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that with the smallest id."""
-    return _only(docs, near_dedup(docs).filter("kept"))
+    return _only(docs, near_dedup(docs).filter("kept"), mark=F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not, once or more often."""
-    sized = docs.select(F.col("doc_id").alias("row_id"), F.size(split_words("text")).cast("long").alias("size"), "source")
-    taken = balanced_mix(sized).groupBy("row_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0").withColumnRenamed("row_id", "__row_id")
-    out = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__row_id"))).withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    size = F.size(split_words("text")).cast("long")
+    mixed = balanced_mix(docs.select(F.col("doc_id").alias("row_id"), size.alias("size"), "source"))
+    taken = mixed.groupBy("row_id", "size", "source").agg(F.max("copies").alias("__copies")).filter("__copies > 0")
+    taken = taken.select(F.col("row_id").alias("__row_id"), F.col("size").alias("__size"), F.col("source").alias("__source"), "__copies")
+    same = F.col("doc_id").eqNullSafe(F.col("__row_id")) & (size == F.col("__size")) & F.col("source").eqNullSafe(F.col("__source"))
+    out = docs.join(taken.hint("merge"), same).withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return out.select(*docs.columns)
 
 
