@@ -14,10 +14,10 @@ Exact copies (equal word sequences) are folded into one node first. In a bucket
 are verified. In a larger one (a family of copies) every node is held against the bucket's most central node, the one
 with the most company over all its buckets, which is the text that the others were made from, and against one chosen by
 a hash. Nodes that neither reached go on in rounds: the most central of them is the next one to be held against, for as
-long as the bucket's last round linked anything. Then every pair of a large bucket whose nodes are still in different
-classes is verified, in blocks of BLOCK nodes by a hash: nodes outside the bucket's largest class against each other and
-against that class. So a family that its centres unite costs about its size, one whose members are just unlike its
-square, in groups of bounded size; no candidate pair is left out. For a pair at similarity 0.8 the chance to share no band is 7e-5 (24 bands of 5
+long as the bucket's last round linked anything. Where the nodes of a large bucket are then still in different classes,
+every pair of them that can be a link is verified: those that share a shingle of their prefixes (see _verify_rest), which
+is exact. So a family that its centres unite costs about its size, and texts that only share a passage meet by what else
+they share; no candidate pair is left out. For a pair at similarity 0.8 the chance to share no band is 7e-5 (24 bands of 5
 rows); it falls steeply above.
 
 Defined results: null counts as the empty text; texts without a word form one class; rows that repeat fall into the
@@ -31,10 +31,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_slices, encode_words, hash_words, materialise, mix64, spread_join
@@ -43,7 +42,6 @@ SHINGLE = 5
 POOL_BITS = 11
 LEVELS = 40  # quarter octaves of weight, from 2^0, whose picks are tabulated
 MOST = 255  # the highest level: 2^63 is more than any text can reach
-BLOCK = 128
 _KEYS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -205,56 +203,35 @@ def _verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
     return full.mapInArrow(run, "a long, b long, similarity double")
 
 
-def block_links(nodes: list[int], comps: np.ndarray, bands: np.ndarray, key: int, vectors: list[bytes], cross: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
-    """Links between nodes of different comps whose first common band has this key (under another one they meet there).
-    cross: bool, which pairs are this block's."""
-    sizes = np.array([len(v) // 9 for v in vectors])
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    _, code = np.unique(np.concatenate([np.frombuffer(v, np.uint64, n) for v, n in zip(vectors, sizes, strict=True)]), return_inverse=True)
-    w = level_weight(np.concatenate([np.frombuffer(v, np.uint8, n, 8 * n) for v, n in zip(vectors, sizes, strict=True)]))
-    total = np.add.reduceat(w, starts)
-    row = np.zeros(int(code.max()) + 1)
-    for i in range(len(nodes)):
-        same = bands[i] == bands
-        met = same.any(1) & (bands[i][same.argmax(1)] == key)
-        js = np.flatnonzero(cross[i] & met & (comps != comps[i]) & (np.minimum(total, total[i]) >= (threshold - 1e-9) * np.maximum(total, total[i])))
-        if not len(js):
-            continue
-        own = slice(starts[i], ends[i])
-        row[code[own]] = w[own]
-        at = np.concatenate([np.arange(starts[j], ends[j]) for j in js])
-        common = np.add.reduceat(np.minimum(row[code[at]], w[at]), np.cumsum(sizes[js]) - sizes[js])
-        row[code[own]] = 0.0
-        for j in js[common >= (threshold - 1e-9) * (total[i] + total[js] - common)]:
-            if (s := weighted_jaccard(vectors[i], vectors[j])) >= threshold:
-                yield min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), s
-
-
-def _verify_rest(large: DataFrame, comps: DataFrame, nodes: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """large: key, node of the large buckets. Links among their pairs that lie in different comps."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        blk = pdf["blk"].to_numpy()
-        left, right = blk == key[1], blk == key[2]
-        cross = np.triu(np.ones((len(pdf), len(pdf)), bool), 1) if key[1] == key[2] else left[:, None] & right[None, :]
-        found = block_links(pdf["node"].tolist(), pdf["comp"].to_numpy(), np.stack(pdf["bands"].to_numpy()), key[0], pdf["vector"].tolist(), cross, threshold)
-        return pd.DataFrame(list(found), columns=["a", "b", "similarity"])
+def _verify_rest(large: DataFrame, comps: DataFrame, pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """large: key, node of the large buckets; pairs: a, b, verified already. Links between nodes of different comps, among
+    all nodes of the buckets that hold more than one. Two texts can only be a link if they share a shingle of both prefixes:
+    in an order from the rarest shingle to the most frequent one, a prefix goes as far as what follows still weighs
+    `threshold` of the text. So texts meet by the rarest part of what they have in common, not by a shared passage."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = len(v) // 9
+                w = level_weight(np.frombuffer(v, np.uint8, n, 8 * n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node)), pa.array(np.frombuffer(v, np.int64, n)), pa.array(w)], names=["node", "s", "w"])
 
     at = materialise(large.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "near-placed")
-    by_comp = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_ = by_comp.groupBy("key").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("comp", "n").alias("main"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_ = materialise(open_.select("key", "main", blocks(F.col("m") - F.col("most")).alias("outs"), blocks(F.col("most")).alias("mains")), "near-open")
-    # blocks 0 .. outs - 1 hold the nodes outside the main class, those after them the main class
-    at = spread_join(at, open_, "key", counts=by_comp.groupBy("key").agg(F.sum("n").alias("n")))
-    inner = F.col("comp") == F.col("main")
-    hashed = F.xxhash64("node", "key")
-    at = at.withColumn("blk", F.when(inner, F.col("outs") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("outs"))).cast("int"))
-    at = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(inner, F.col("outs") - 1).otherwise(F.col("outs") + F.col("mains") - 1))))
-    at = at.select("key", "node", "comp", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-    full = at.join(nodes.select("node", "bands"), "node").join(vectors, "node")
-    return full.groupBy("key", "i", "j").applyInPandas(run, "a long, b long, similarity double")
+    sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    open_ = materialise(sizes.filter("c > 1").select("key", "n"), "near-open")
+    wanted = materialise(spread_join(at, open_.select("key"), "key", counts=open_).select("node", "comp").distinct(), "near-open-nodes")
+    rows = materialise(wanted.join(vectors, "node").select("node", "vector").mapInArrow(unpack, "node long, s long, w double"), "near-open-shingles")
+    often = materialise(rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-open-counts")
+    counted = spread_join(rows, often.select("s", F.col("n").alias("df")), "s", "left", counts=often).withColumn("df", F.coalesce("df", F.lit(1)))
+    from_here = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    weighed = counted.withColumns({"rest": F.sum("w").over(from_here), "total": F.sum("w").over(Window.partitionBy("node"))})
+    prefix = weighed.filter((F.col("df") > 1) & (F.col("rest") >= (threshold - 1e-9) * F.col("total"))).select("node", "s", "total").join(wanted, "node")
+    prefix = materialise(prefix, "near-prefixes")
+    side = lambda x: prefix.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "total")])
+    near = F.least("total_a", "total_b") >= (threshold - 1e-9) * F.greatest("total_a", "total_b")
+    met = side("a").join(side("b"), "s").filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & near)
+    new = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    return _verify(materialise(new, "near-rest-pairs"), vectors, threshold)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 5, idf_share: float = 1e-4, all_pairs: int = 24) -> DataFrame:
@@ -332,7 +309,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not new.isEmpty():
             links = materialise(links.unionByName(new), "near-links-all")
             comps = components(links)
-    new = materialise(_verify_rest(large.select("key", "node"), comps, nodes, vectors, threshold), "near-verified")
+    new = materialise(_verify_rest(large.select("key", "node"), comps, pairs, vectors, threshold), "near-verified")
     if not new.isEmpty():
         comps = components(materialise(links.unionByName(new), "near-links-all"))
     classed = materialise(nodes.join(comps, "node", "left").select("digest", "rep_id", "rep_mark", "n", F.coalesce("comp", "node").alias("comp")), "near-classes")

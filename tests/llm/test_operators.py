@@ -630,7 +630,12 @@ def test_near_dedup_in_a_template_family(spark):
         parent[y] = x
     assert 20 <= len(alike) and len({root(i) for i in range(len(pairs))}) > 50
     got = {r["row_id"]: r["class_id"] for r in near_dedup.near_dedup(docs, bands=4, rows=2, all_pairs=6).collect()}
-    assert got == {i: root(i) for i in range(len(pairs))}
+    assert all(got[a] == got[b] for a, b in alike)
+    for a, b in itertools.combinations(range(len(pairs)), 2):  # pairs without a band may be found too, but nothing else
+        if near_dedup.weighted_jaccard(vec[a], vec[b]) >= 0.8:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert all(root(i) == root(got[i]) for i in got)
 
 
 @pytest.mark.parametrize("n", [500])
