@@ -206,8 +206,8 @@ def _verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
 def _verify_rest(large: DataFrame, comps: DataFrame, pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """large: key, node of the large buckets; pairs: a, b, verified already. Links between nodes of different comps, among
     all nodes of the buckets that hold more than one. Two texts can only be a link if they share a shingle of both prefixes:
-    in an order from the rarest shingle to the most frequent one, a prefix goes as far as what follows still weighs
-    `threshold` of the text. So texts meet by the rarest part of what they have in common, not by a shared passage."""
+    in an order from the rarest shingle to the most frequent one, the prefix of the heavier text goes as far as what follows
+    still weighs t = `threshold` of the text, that of the lighter one as far as it still weighs 2 t / (1 + t). So texts meet by the rarest part of what they have in common, not by a shared passage."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,12 +225,15 @@ def _verify_rest(large: DataFrame, comps: DataFrame, pairs: DataFrame, vectors:
     counted = spread_join(rows, often.select("s", F.col("n").alias("df")), "s", "left", counts=often).withColumn("df", F.coalesce("df", F.lit(1)))
     from_here = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     weighed = counted.withColumns({"rest": F.sum("w").over(from_here), "total": F.sum("w").over(Window.partitionBy("node"))})
-    prefix = weighed.filter((F.col("df") > 1) & (F.col("rest") >= (threshold - 1e-9) * F.col("total"))).select("node", "s", "total").join(wanted, "node")
+    prefix = weighed.filter((F.col("df") > 1) & (F.col("rest") >= (threshold - 1e-9) * F.col("total")))
+    prefix = prefix.select("node", "s", "total", "rest", (F.col("rest") >= (2 * threshold / (1 + threshold) - 1e-9) * F.col("total")).alias("short")).join(wanted, "node")
     prefix = materialise(prefix, "near-prefixes")
-    side = lambda x: prefix.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "total")])
-    near = F.least("total_a", "total_b") >= (threshold - 1e-9) * F.greatest("total_a", "total_b")
-    met = side("a").join(side("b"), "s").filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & near)
-    new = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    side = lambda x: prefix.select("s", "short", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "total", "rest")])
+    lighter = (F.col("total_a") < F.col("total_b")) | ((F.col("total_a") == F.col("total_b")) & (F.col("node_a") < F.col("node_b")))
+    # from the first shingle that they share onwards, either text must hold as much as a link has in common
+    near = F.least("rest_a", "rest_b") >= (threshold / (1 + threshold) - 1e-9) * (F.col("total_a") + F.col("total_b"))
+    met = side("a").filter("short").drop("short").join(side("b").drop("short"), "s").filter(lighter & (F.col("comp_a") != F.col("comp_b")) & near)
+    new = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     return _verify(materialise(new, "near-rest-pairs"), vectors, threshold)
 
 
