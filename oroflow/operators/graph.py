@@ -138,7 +138,7 @@ def accumulate(edges: DataFrame, weight: str = "w", combine: str = "sum") -> Dat
     """edges: id, parent, weight. Adds acc: the sum (or max) of the weights of all ids whose way passes the id, itself
     among them. A null weight counts as nothing."""
     nothing = 0.0 if combine == "sum" else float("-inf")
-    cells = edges.select("id", _packed(), F.coalesce(F.col(weight).cast("double"), F.lit(nothing)).alias("w"))
+    cells = written(edges.select("id", _packed(), F.coalesce(F.col(weight).cast("double"), F.lit(nothing)).alias("w")), "accumulate-cells")  # read twice
     last = (1 << BLOCK_BITS) - 1
 
     def at_edges(pdf: pd.DataFrame) -> pd.DataFrame:
