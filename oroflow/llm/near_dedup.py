@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices, encode_words, hash_words, materialise, mix64, spread_join
@@ -42,6 +42,7 @@ SHINGLE = 5
 POOL_BITS = 11
 LEVELS = 40  # quarter octaves of weight, from 2^0, whose picks are tabulated
 MOST = 255  # the highest level: 2^63 is more than any text can reach
+ORDER_SLOTS = 1 << 20  # places that count shingles for an order of them: 4 MB
 _KEYS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -152,6 +153,10 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
     return common / union if union else 1.0
 
 
+def order_slots(s: np.ndarray) -> np.ndarray:
+    return (s % np.uint64(ORDER_SLOTS)).astype(np.int64)
+
+
 # ---------------------------------------------------------------- distributed parts
 
 def learn_idf(docs: DataFrame, idf_share: float = 1e-4) -> Idf:
@@ -207,27 +212,43 @@ def _verify_rest(large: DataFrame, comps: DataFrame, pairs: DataFrame, vectors:
     """large: key, node of the large buckets; pairs: a, b, verified already. Links between nodes of different comps, among
     all nodes of the buckets that hold more than one. Two texts can only be a link if they share a shingle of both prefixes:
     in an order from the rarest shingle to the most frequent one, the prefix of the heavier text goes as far as what follows
-    still weighs t = `threshold` of the text, that of the lighter one as far as it still weighs 2 t / (1 + t). So texts meet by the rarest part of what they have in common, not by a shared passage."""
+    still weighs t = `threshold` of the text, that of the lighter one as far as it still weighs 2 t / (1 + t). So texts meet
+    by the rarest part of what they have in common, not by a shared passage. Any order that all texts share gives the same
+    links; this one counts shingles by ORDER_SLOTS hashed places, a table of fixed size that goes to all tasks."""
+    spark = large.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_SLOTS, np.int64)
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                np.add.at(total, order_slots(np.frombuffer(v, np.uint64, len(v) // 9)), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["slot", "n"])
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
         for batch in batches:
-            for node, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for node, comp, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(v) // 9
-                w = level_weight(np.frombuffer(v, np.uint8, n, 8 * n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node)), pa.array(np.frombuffer(v, np.int64, n)), pa.array(w)], names=["node", "s", "w"])
+                s, w = np.frombuffer(v, np.uint64, n), level_weight(np.frombuffer(v, np.uint8, n, 8 * n))
+                df = often[order_slots(s)]
+                order = np.lexsort((s, df))[::-1]
+                rest, total = np.cumsum(w[order]), float(w.sum())
+                order, rest = (x[(df[order] > 1) & (rest >= (threshold - 1e-9) * total)] for x in (order, rest))
+                short = rest >= (2 * threshold / (1 + threshold) - 1e-9) * total
+                columns = [s[order].view(np.int64), short, np.full(len(order), node), np.full(len(order), comp), np.full(len(order), total), rest]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["s", "short", "node", "comp", "total", "rest"])
 
     at = materialise(large.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "near-placed")
     sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
     open_ = materialise(sizes.filter("c > 1").select("key", "n"), "near-open")
     wanted = materialise(spread_join(at, open_.select("key"), "key", counts=open_).select("node", "comp").distinct(), "near-open-nodes")
-    rows = materialise(wanted.join(vectors, "node").select("node", "vector").mapInArrow(unpack, "node long, s long, w double"), "near-open-shingles")
-    often = materialise(rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-open-counts")
-    counted = spread_join(rows, often.select("s", F.col("n").alias("df")), "s", "left", counts=often).withColumn("df", F.coalesce("df", F.lit(1)))
-    from_here = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    weighed = counted.withColumns({"rest": F.sum("w").over(from_here), "total": F.sum("w").over(Window.partitionBy("node"))})
-    prefix = weighed.filter((F.col("df") > 1) & (F.col("rest") >= (threshold - 1e-9) * F.col("total")))
-    prefix = prefix.select("node", "s", "total", "rest", (F.col("rest") >= (2 * threshold / (1 + threshold) - 1e-9) * F.col("total")).alias("short")).join(wanted, "node")
-    prefix = materialise(prefix, "near-prefixes")
+    held = materialise(wanted.join(vectors, "node").select("node", "comp", "vector"), "near-open-vectors")
+    counts = held.select("vector").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(ORDER_SLOTS, np.uint32)
+    often[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), (1 << 32) - 1)
+    shared = spark.sparkContext.broadcast(often)
+    prefix = materialise(held.mapInArrow(prefixes, "s long, short boolean, node long, comp long, total double, rest double"), "near-prefixes")
     side = lambda x: prefix.select("s", "short", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "total", "rest")])
     lighter = (F.col("total_a") < F.col("total_b")) | ((F.col("total_a") == F.col("total_b")) & (F.col("node_a") < F.col("node_b")))
     # from the first shingle that they share onwards, either text must hold as much as a link has in common
