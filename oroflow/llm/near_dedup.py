@@ -42,6 +42,7 @@ SHINGLE = 5
 POOL_BITS = 11
 LEVELS = 40  # quarter octaves of weight, from 2^0, whose picks are tabulated
 MOST = 255  # the highest level: 2^63 is more than any text can reach
+CACHED = 1 << 15  # shingles signed at a time
 ORDER_SLOTS = 1 << 20  # places that count shingles for an order of them: 4 MB
 _KEYS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -66,7 +67,18 @@ class Sampler:
         return cls(picks.reshape(n, LEVELS * pool), np.stack([r[:, 0], c[:, 0], beta[:, 0]]), rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), bands, rows)
 
     def band_keys(self, shingles: np.ndarray, levels: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """For each text with a shingle, bands 64-bit keys. shingles: distinct in each text."""
+        """For each text with a shingle, bands 64-bit keys. shingles: distinct in each text. Some texts at a time, so that
+        what each sampling function reads and writes stays in a core's cache."""
+        ends = np.cumsum(lens)
+        cuts = np.unique(np.minimum(np.searchsorted(ends, np.arange(CACHED, ends[-1] + CACHED, CACHED)) + 1, len(lens))) if len(lens) else []
+        out, at = [np.empty((0, self.bands), np.uint64)], 0
+        for to in cuts:
+            part = slice(ends[at] - lens[at], ends[to - 1])
+            out.append(self._band_keys(shingles[part], levels[part], lens[at:to]))
+            at = to
+        return np.concatenate(out)
+
+    def _band_keys(self, shingles: np.ndarray, levels: np.ndarray, lens: np.ndarray) -> np.ndarray:
         starts = np.cumsum(lens) - lens
         place = np.minimum(levels, LEVELS - 1).astype(np.int64) << POOL_BITS
         heavy = np.flatnonzero(levels >= LEVELS)
