@@ -110,25 +110,25 @@ def clean(cells: DataFrame) -> DataFrame:
 
 def breach_depressions(cells: DataFrame, max_depth: float = 100.0) -> DataFrame:
     """Carved terrain: along the ways that water takes over the filled terrain no cell stays above the lowest one
-    upstream of it, by max_depth at most. Flats of the filled terrain drain to where they are left, each round one cell
-    further; only cells reached in the last round spread in the next."""
+    upstream of it, by max_depth at most. Flats of the filled terrain drain to the nearest cell where they are left, over
+    the first way (by code) that is a step nearer; steps are counted block by block. Flats walled in by cells without data
+    drain nowhere."""
     e = F.broadcast(grid.extent(cells.filter("z is not null")))
     filled = written(hydro.d8(hydro.fill_depressions(cells)), "breach-filled")
     edge = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) | (F.col("c") == F.col("c0")) | (F.col("c") == F.col("c1"))
     state = filled.join(e).select("r", "c", F.col("z").alias("level"), "d8", edge.alias("edge"))
-    known = hydro.flow_edges(state.filter("d8 >= 0 or edge"))
-    rest = written(state.filter("d8 < 0 and not edge").select("r", "c", "level"), "breach-rest")
-    new = state.filter("d8 >= 0 or edge").select("r", "c", "level")
-    while not rest.isEmpty():
-        ways = F.array(*[F.struct(F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc"), F.lit(k).alias("d8")) for k, (dr, dc) in enumerate(grid.D8_STEPS)])
-        sent = new.select("r", "c", "level", F.explode(ways).alias("w")).select((F.col("r") + F.col("w.dr")).alias("r"), (F.col("c") + F.col("w.dc")).alias("c"), "level", F.col("w.d8").alias("d8"))
-        got = written(rest.join(sent, ["r", "c", "level"]).groupBy("r", "c", "level").agg(F.min("d8").alias("d8")), "breach-got")
-        if got.isEmpty():  # walled in by cells without data
-            known = known.unionByName(hydro.flow_edges(rest.withColumn("d8", F.lit(-1))))
-            break
-        known = known.unionByName(hydro.flow_edges(got))
-        rest = written(rest.join(got, ["r", "c"], "left_anti"), "breach-rest")
-        new = got.select("r", "c", "level")
+    down = state.filter("d8 >= 0 or edge")
+    flat = written(state.filter("d8 < 0 and not edge").select("r", "c", "level"), "breach-flat")
+    ways = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(k).alias("d8")) for k, (dr, dc) in enumerate(grid.D8_STEPS)]))
+    to = [(F.col("r") + F.col("w.dr")).alias("r"), (F.col("c") + F.col("w.dc")).alias("c"), "level"]
+    beside = flat.withColumn("w", ways).select(*to).distinct()
+    exits = written(down.join(beside, ["r", "c", "level"], "left_semi").select("r", "c", "level"), "breach-exits")
+    ground = flat.unionByName(exits)
+    steps = hydro.cost_distance(ground.withColumnRenamed("level", "z"), exits, level=True)
+    steps = written(ground.join(steps, ["r", "c"]).select("r", "c", "level", F.col("cost").cast("long").alias("steps")), "breach-steps")
+    sent = steps.filter("steps > 0").withColumn("w", ways).select(F.col("r").alias("fr"), F.col("c").alias("fc"), *to, (F.col("steps") - 1).alias("steps"), F.col("w.d8").alias("d8"))
+    first = sent.join(steps, ["r", "c", "level", "steps"], "left_semi").groupBy(F.col("fr").alias("r"), F.col("fc").alias("c")).agg(F.min("d8").alias("d8"))
+    known = hydro.flow_edges(down).unionByName(hydro.flow_edges(flat.join(first, ["r", "c"], "left").select("r", "c", F.coalesce("d8", F.lit(-1)).alias("d8"))))
     z = cells.select(hydro.cell_id().alias("id"), "z")
     low = graph.accumulate(known.join(z, "id").withColumn("w", -F.col("z")), combine="max").select("id", (-F.col("acc")).alias("low"))
     carved: Column = F.greatest(F.col("low"), F.col("z") - max_depth)

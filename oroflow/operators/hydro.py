@@ -382,10 +382,10 @@ def trace(directed: DataFrame, cells: DataFrame, starts: DataFrame) -> DataFrame
     return at.select("p", "step", *[v.alias(k) for k, v in place().items()], "z", F.round(F.coalesce(F.sum("len").over(so_far), F.lit(0.0)) * CELL, 4).alias("distance_m"))
 
 
-def _spread(z: np.ndarray, own: np.ndarray, known: np.ndarray, by_slope: bool) -> np.ndarray:
+def _spread(z: np.ndarray, own: np.ndarray, known: np.ndarray, by_slope: bool, level: bool = False) -> np.ndarray:
     """Least costs over the own cells (bool) of a bordered array from the known ones (NaN: unknown)."""
     width = z.shape[1]
-    near = [(dr * width + dc, math.sqrt(dr * dr + dc * dc)) for dr, dc in grid.NEIGHBOURS.values()]
+    near = [(dr * width + dc, 1.0 if level else math.sqrt(dr * dr + dc * dc)) for dr, dc in grid.NEIGHBOURS.values()]
     high, mine = z.ravel().tolist(), (own & ~np.isnan(z)).ravel().tolist()
     best = np.where(np.isnan(known), np.inf, known).ravel().tolist()
     heap = [(best[i], i) for i in np.flatnonzero(~np.isnan(known) & ~np.isnan(z)).tolist()]
@@ -396,7 +396,7 @@ def _spread(z: np.ndarray, own: np.ndarray, known: np.ndarray, by_slope: bool) -
             continue
         for step, length in near:
             j = i + step
-            if mine[j]:
+            if mine[j] and (not level or high[i] == high[j]):
                 to = d + (abs(high[i] - high[j]) * length if by_slope else length)
                 if to < best[j] - 1e-9:
                     best[j] = to
@@ -404,8 +404,9 @@ def _spread(z: np.ndarray, own: np.ndarray, known: np.ndarray, by_slope: bool) -
     return np.array(best).reshape(z.shape)
 
 
-def cost_distance(cells: DataFrame, outlets: DataFrame, by_slope: bool = True) -> DataFrame:
-    """Least cost from any outlet (r, c) over eight-neighbour steps; a step costs |dz| times its length, or its length. A
+def cost_distance(cells: DataFrame, outlets: DataFrame, by_slope: bool = True, level: bool = False) -> DataFrame:
+    """Least cost from any outlet (r, c) over eight-neighbour steps; a step costs |dz| times its length, or its length; with
+    `level` only steps between cells of equal height are taken, and each costs 1. A
     block of cells is solved in one group from what is known on it and around it; only costs on blocks' edges go to the
     next round, and only blocks beside an improved one take part in it. Cells that no way reaches have no row."""
     bits = graph.BLOCK_BITS
@@ -430,7 +431,7 @@ def cost_distance(cells: DataFrame, outlets: DataFrame, by_slope: bool = True) -
         known[right["r"].to_numpy(int) - r0, right["c"].to_numpy(int) - c0] = right["d"].to_numpy(float)
         rows, cols = np.arange(z.shape[0]) + r0, np.arange(z.shape[1]) + c0
         own = (rows >> bits == br)[:, None] & (cols >> bits == bc)[None, :]
-        d = _spread(z, own, known, by_slope)
+        d = _spread(z, own, known, by_slope and not level, level)
         edge = np.isin(rows & last, (0, last))[:, None] | np.isin(cols & last, (0, last))[None, :]
         r, c = np.nonzero(own & np.isfinite(d) & (True if whole else edge))
         return pd.DataFrame({"r": (r + r0).astype(np.int32), "c": (c + c0).astype(np.int32), "d": d[r, c]}) if len(r) else empty

@@ -161,6 +161,35 @@ def test_breached_terrain_drains_and_is_carved_only(spark):
     assert (got <= z).all() and np.array_equal(flood(got), got)
 
 
+def test_breached_flats_against_brute_force(spark, monkeypatch):
+    """Wide flats over several blocks: ways, and so the carved heights, cell by cell."""
+    monkeypatch.setattr("oroflow.operators.graph.BLOCK_BITS", 2)
+    z = np.random.default_rng(6).integers(0, 3, (11, 13)).astype(float)
+    z[4:8, 3:10] = 0.0
+    filled, steps, parent = flood(z), {}, {}
+    inside = lambda r, c: 0 <= r < z.shape[0] and 0 <= c < z.shape[1]
+    around = lambda r, c: [(k, (r + dr, c + dc)) for k, (dr, dc) in enumerate(grid.D8_STEPS) if inside(r + dr, c + dc)]
+    for at in np.ndindex(z.shape):
+        falls = [((filled[at] - filled[to]) / (1.0 if k % 2 == 0 else 2**0.5), -k, to) for k, to in around(*at) if filled[to] < filled[at]]
+        if falls:
+            parent[at] = max(falls)[2]
+        if falls or 0 in at or at[0] == z.shape[0] - 1 or at[1] == z.shape[1] - 1:
+            steps[at] = 0
+    for n in range(z.size):
+        for at in np.ndindex(z.shape):
+            if at not in steps and (to := [x for _, x in around(*at) if steps.get(x) == n and filled[x] == filled[at]]):
+                steps[at], parent[at] = n + 1, to[0]
+    assert len(steps) == z.size and max(steps.values()) > 2
+    low = z.copy()
+    for start in np.ndindex(z.shape):
+        at = start
+        while at in parent:
+            at = parent[at]
+            low[at] = min(low[at], z[start])
+    got = grid_of(channels.breach_depressions(cells(spark, z), max_depth=1.0), "z", z.shape)
+    assert np.array_equal(got, np.maximum(low, z - 1.0))
+
+
 def test_section_and_burnt_stream(spark):
     z = np.array([[9.0, 5.0, 1.0, 4.0, 9.0]] * 5) + np.arange(5)[:, None] * -0.1
     directed = hydro.d8(cells(spark, z))
