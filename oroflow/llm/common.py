@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -40,22 +41,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, share: float = 1e-3, floor: int = 64) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, share: float = 1e-3, floor: int = 64, rows: int | None = None, deal: str | None = None) -> DataFrame:
     """left joined with right, which has one row a key, however many rows of left stand under one key. Keys that hold
-    more than `share` of left's rows (and more than `floor`; fewer than 1 / share keys, so their list may go to all tasks)
-    are dealt to as many salts as they hold that many rows, with a copy of right's row for each. left is a written table;
-    counts: key and n, where they are known."""
-    n = left.count()
-    least = max(floor, int(n * share))
+    more than `share` of left's rows (and more than `floor`; fewer than 1 / share keys, so their list fits an expression)
+    are dealt to as many salts as they hold that many rows, up to the next power of two, with a copy of right's row for
+    each; all other keys have one salt, so the plan is the same whether there are such keys or not. left is a written
+    table, or has a column `deal` that tells rows of a key apart: a salt that a task run again might give anew would lose
+    rows. counts: key and n, and rows: of left at most, where they are known."""
+    least = max(floor, int((left.count() if rows is None else rows) * share))
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    found = counts.filter((F.col("n") > least) & F.col(key).isNotNull()).select(key, F.ceil(F.col("n") / least).cast("int").alias("__salts"))
-    hot = found.collect()
-    if not hot:
-        return left.join(right, key, how)
-    hot = F.broadcast(left.sparkSession.createDataFrame(hot, found.schema))
-    here = left.withColumn("__at", F.monotonically_increasing_id()).join(hot, key, "left")
-    here = here.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("__at"), F.col("__salts").cast("long")), F.lit(0).cast("long"))).drop("__salts", "__at")
-    there = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__salts"), F.lit(1)).cast("long") - 1))).drop("__salts")
+    salts, hot = F.lit(1).cast("long"), defaultdict(list)
+    for found, n in counts.filter((F.col("n") > least) & F.col(key).isNotNull()).select(key, "n").collect():
+        hot[((n - 1) // least).bit_length()].append(found)
+    for bits, keys in sorted(hot.items()):
+        salts = F.when(F.col(key).isin(keys), F.lit(1 << bits).cast("long")).otherwise(salts)
+    here = left.withColumn("__salt", F.pmod(F.xxhash64(F.col(deal) if deal else F.monotonically_increasing_id()), salts))
+    there = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     return here.join(there, [key, "__salt"], how).drop("__salt")
 
 

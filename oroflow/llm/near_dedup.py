@@ -215,8 +215,9 @@ def _verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
             yield out.filter(pa.array([x >= threshold for x in s], pa.bool_()))
 
     # a centre's pairs are dealt apart, at either end, before any vector stands beside them
-    left = spread_join(pairs, vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a")
-    full = spread_join(left, vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b", counts=pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))).select("a", "b", "va", "vb")
+    n = pairs.count()
+    left = spread_join(pairs, vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a", rows=n)
+    full = spread_join(left, vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b", counts=pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), rows=n, deal="a").select("a", "b", "va", "vb")
     return full.mapInArrow(run, "a long, b long, similarity double")
 
 
