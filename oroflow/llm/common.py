@@ -41,22 +41,40 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, share: float = 1e-3, floor: int = 64, rows: int | None = None, deal: str | None = None) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, rows: int, share: float, floor: int, most: int, row_bytes: int) -> dict[int, list]:
+    """Keys to be dealt out by the bits of their number of salts; see spread_join for the bounds."""
+    if row_bytes:
+        most = min(most, max(1, (256 << 20) // row_bytes))
+    least = max(floor, min(int(rows * share), most), rows // 200_000)
+    hot: dict[int, list] = defaultdict(list)
+    for value, n in counts.filter((F.col("n") > least) & F.col(key).isNotNull()).select(key, "n").collect():
+        hot[((n - 1) // least).bit_length()].append(value)
+    return hot
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, share: float = 1e-3, floor: int = 64, rows: int | None = None, deal: str | None = None, most: int = 100_000, row_bytes: int = 0) -> DataFrame:
     """left joined with right, which has one row a key, however many rows of left stand under one key. Keys that hold
-    more than `share` of left's rows (and more than `floor`; fewer than 1 / share keys, so their list fits an expression)
-    are dealt to as many salts as they hold that many rows, up to the next power of two, with a copy of right's row for
-    each; all other keys have one salt, so the plan is the same whether there are such keys or not. left is a written
-    table, or has a column `deal` that tells rows of a key apart: a salt that a task run again might give anew would lose
-    rows. counts: key and n, and rows: of left at most, where they are known."""
-    least = max(floor, int((left.count() if rows is None else rows) * share))
+    more than `share` of left's rows (and more than `floor`), or more than `most` rows, or more than 256 MB of rows of
+    `row_bytes`, are dealt to as many salts as they hold that many rows, up to the next power of two, with a copy of
+    right's row for each; all other keys have one salt, so the plan is the same whether there are such keys or not. The
+    bound rises only where more than 200,000 keys would pass it (beyond 2 * 10^10 rows), so that the list of keys has a
+    proven size; up to 1000 stand in an expression, more in a broadcast table. left is a written table, or has a column
+    `deal` that tells rows of a key apart: a salt that a task run again might give anew would lose rows. counts: key and
+    n, and rows: of left at most, where they are known."""
+    rows = left.count() if rows is None else rows
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    salts, hot = F.lit(1).cast("long"), defaultdict(list)
-    for found, n in counts.filter((F.col("n") > least) & F.col(key).isNotNull()).select(key, "n").collect():
-        hot[((n - 1) // least).bit_length()].append(found)
-    for bits, keys in sorted(hot.items()):
-        salts = F.when(F.col(key).isin(keys), F.lit(1 << bits).cast("long")).otherwise(salts)
-    here = left.withColumn("__salt", F.pmod(F.xxhash64(F.col(deal) if deal else F.monotonically_increasing_id()), salts))
-    there = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    hot = hot_keys(counts, key, rows, share, floor, most, row_bytes)
+    if sum(map(len, hot.values())) <= 1000:
+        salts = F.lit(1).cast("long")
+        for bits, keys in sorted(hot.items()):
+            salts = F.when(F.col(key).isin(keys), F.lit(1 << bits).cast("long")).otherwise(salts)
+        mark = lambda df: df.withColumn("__salts", salts)
+    else:
+        schema = T.StructType([T.StructField(key, left.schema[key].dataType), T.StructField("__salts", T.LongType())])
+        marks = left.sparkSession.createDataFrame([(k, 1 << bits) for bits, keys in hot.items() for k in keys], schema)
+        mark = lambda df: df.join(F.broadcast(marks), key, "left").withColumn("__salts", F.coalesce("__salts", F.lit(1).cast("long")))
+    here = mark(left).withColumn("__salt", F.pmod(F.xxhash64(F.col(deal) if deal else F.monotonically_increasing_id()), F.col("__salts"))).drop("__salts")
+    there = mark(right).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1))).drop("__salts")
     return here.join(there, [key, "__salt"], how).drop("__salt")
 
 

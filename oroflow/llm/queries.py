@@ -13,9 +13,12 @@ from .lm_scoring import score_texts
 from .mixing import balanced_mix
 from .near_dedup import near_dedup
 from .packing import best_fit_pack
+from .phrases import mine_phrases
 from .quality_rules import POLICIES, ledger, passes
+from .secret_scan import find_secrets
 from .token_counts import token_counts
 from .toxicity import learn_toxicity, score_toxicity
+from .variants import group_variants
 
 
 #: Session setting: the folder of the token counts that calls share.
@@ -96,7 +99,24 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("row_id", "doc_id").drop("mark")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_language_id, op4_packing, op5_mixing, op6_token_counts, op7_exact_dedup, op8_line_dedup, op9_toxicity, op10_near_dedup)}
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(documents(spark, sf_dir, "text", "lang")).withColumnRenamed("grp", "lang")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An assignment's span is its whole match, from the key word to the end of the value."""
+    out = find_secrets(documents(spark, sf_dir, "doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "guess")
+    spelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(number, ("assign", "access", "hex", "guess")), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("secrets")).alias("spans"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_language_id, op4_packing, op5_mixing, op6_token_counts, op7_exact_dedup, op8_line_dedup, op9_toxicity, op10_near_dedup, op11_phrase_mining, op12_secret_scan, op13_spelling_variants)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -127,5 +147,52 @@ WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOP
 SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY s) AS kept, s AS text_sha256
 FROM d
+""",
+    "op11_phrase_mining": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS s FROM documents),
+p AS (SELECT lang, unnest(s) AS s FROM t),
+w AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+cut AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS j FROM c),
+s AS (
+  SELECT cut.lang, cut.k, cut.phrase, a, j, l.f AS l, r.f AS r, n,
+    CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cut JOIN n ON n.lang = cut.lang
+  JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1:j], ' ')
+  JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(w[j+1:cut.k], ' ')),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+part AS (SELECT lang, a, w, k, b, unnest(range(1, k - b + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS b) WHERE b < k),
+sub AS (SELECT lang, array_to_string(w[i:i+b-1], ' ') AS phrase, max(a) AS longer FROM part GROUP BY 1, 2),
+kept AS (SELECT low.* FROM low LEFT JOIN sub USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+""",
+    # crc32 by half bytes; its sixteen remainders are fixed values
+    "op13_spelling_variants": r"""
+WITH RECURSIVE t AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
+run AS (SELECT id, unnest(regexp_extract_all(s, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM t),
+occ AS (SELECT id, run, count(*) AS c FROM run WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (SELECT run, c, list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x) & 15, ord(x) >> 4] ELSE [3, 12, (ord(x) - 64) & 15, (ord(x) - 64) >> 4] END) AS b FROM occ),
+crc AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(b)::BIGINT[]), lambda a, x: xor(a >> 4,
+    ([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[])[(xor(a, x) & 15) + 1])), 4294967295::BIGINT) AS h
+  FROM bytes),
+cut AS (SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM crc),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+spot AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+wild AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS key FROM spot),
+del AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM spot),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM wild a JOIN wild b ON a.key = b.key AND a.word <> b.word
+  UNION ALL SELECT del.word, v.word, v.n FROM del JOIN v ON v.word = d
+  UNION ALL SELECT v.word, del.word, del.n FROM del JOIN v ON v.word = d),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM near GROUP BY word),
+form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS root, 0 AS step FROM form UNION ALL SELECT way.word, form.form, step + 1 FROM way JOIN form ON form.word = way.root WHERE form.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, step) AS root FROM way GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN last USING (word)
 """,
 }
