@@ -40,7 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id; of rows that repeat id and text, one."""
+    """Of equal texts the document with the largest id; of rows that repeat id and text, the first by its columns as JSON."""
     old = id_remainder("doc_id", 2) == 0
     kept = exact_dedup(docs.filter(~old), docs.filter(old)).filter("kept")
     kept = materialise(kept.groupBy("row_id", "digest").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
@@ -48,7 +48,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     out = _only(docs, kept, digest=F.unhex(F.sha2(lowered, 256)))
     if kept.filter("n > 1").isEmpty():
         return out
-    return out.withColumn("__lowered", lowered).dropDuplicates(["doc_id", "__lowered"]).drop("__lowered")
+    whole = F.struct(*docs.columns)
+    one = out.groupBy(F.col("doc_id").alias("__id"), lowered.alias("__lowered")).agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
+    return one.select("__row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,14 +59,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not, once or more often."""
+    """Each document as often as the mix takes it: not, once or more often. Rows that repeat id, text and source are one
+    document, the first by its columns as JSON, taken as often as the mix takes them together."""
     size = F.size(split_words("text")).cast("long")
-    mixed = balanced_mix(docs.select(F.col("doc_id").alias("row_id"), size.alias("size"), "source"))
-    taken = mixed.groupBy("row_id", "size", "source").agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    taken = taken.select(F.col("row_id").alias("__row_id"), F.col("size").alias("__size"), F.col("source").alias("__source"), "__copies")
-    same = F.col("doc_id").eqNullSafe(F.col("__row_id")) & (size == F.col("__size")) & F.col("source").eqNullSafe(F.col("__source"))
-    out = docs.join(taken.hint("merge"), same).withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return out.select(*docs.columns)
+    told = lambda c: F.concat(F.when(F.col(c).isNull(), "-").otherwise("="), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    key = F.xxhash64(told("doc_id"), F.coalesce("text", F.lit("")), told("source"))
+    mixed = balanced_mix(docs.select(key.alias("row_id"), size.alias("size"), "source"))
+    taken = mixed.groupBy("row_id").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter("__copies > 0")
+    taken = materialise(taken.withColumnRenamed("row_id", "__key"), "pipeline-taken")
+    out = docs.withColumn("__key", key).join(taken.hint("merge"), "__key")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+    whole = F.struct(*docs.columns)
+    once = out.filter("__rows = 1").withColumn("__each", each).select(*docs.columns)
+    if taken.filter("__rows > 1").isEmpty():
+        return once
+    one = out.filter("__rows > 1").groupBy("__key", "__copies").agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
+    return once.unionByName(one.withColumn("__each", each).select("__row.*"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
