@@ -142,7 +142,7 @@ def differing(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, sa
     several = groups.filter("n > 1").select("digest", "keep_id", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"), "n")
     lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = docs.select(F.col(id_col).cast("long").alias("row_id"), lowered.alias("bytes")).withColumn("digest", F.unhex(F.rpad(F.substring(F.sha2("bytes", 256), 1, 2 * strength), 64, "0")))
-    full = spread_join(texts, several.drop("n"), "digest", counts=several.select("digest", "n"))
+    full = spread_join(texts, several.drop("n"), "digest", counts=several.select("digest", "n"), deal="row_id", most=2048)
     full = full.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts").cast("long")).cast("int"))
     full = materialise(full.select("row_id", "digest", "salts", "salt", F.col("row_id").eqNullSafe(F.col("keep_id")).alias("stays"), "bytes"), "exact-copies")
     reps = full.filter("stays").groupBy("digest").agg(F.first("bytes").alias("kept_bytes"), F.first("salts").alias("salts"))

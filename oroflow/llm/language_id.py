@@ -140,14 +140,14 @@ class ContextTrees:
 
 
 def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500) -> ContextTrees | None:
-    """labelled: texts with their language. The sample of a language is the texts whose hashed id is under
+    """labelled: texts with their language. The sample of a language is the texts whose hashed id and text are under
     docs_per_lang / (its texts), so labelled texts of one language are learned from in that number at most, but for chance.
     The driver gets the sizes of the languages, which go to the texts as a broadcast, so no text is shuffled; and the
     counted runs of bytes of the sample."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__n")).collect()
     sizes = F.broadcast(labelled.sparkSession.createDataFrame(sizes, f"`{lang_col}` string, __n long"))
-    part = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) * F.col("__n") < docs_per_lang * (1 << 20)
+    part = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(3)), F.lit(1 << 20)) * F.col("__n") < docs_per_lang * (1 << 20)
     sample = rows.join(sizes, lang_col).filter(part)
     grams = materialise(gram_counts(sample, text_col, lang_col), "lang-grams").toPandas().sort_values(["lang", "gram"])
     if not len(grams):

@@ -162,15 +162,16 @@ def karlin_lambda(scores: np.ndarray, p: np.ndarray) -> float:
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 12_000, min_z: float = 3.0, prior_share: float = 0.05, drift: float = 0.5) -> ToxicModel:
     """labels: id, label 0/1, only rows that may be learned from. Word counts are made by the executors; the driver gets
-    the clearly marked words of at most max_labelled texts, and one row of features for each of these."""
+    the clearly marked words of at most max_labelled texts, and one row of features for each of these. Of rows that share a
+    labelled id, the first text in byte order counts, so rows that repeat cannot pass the bound."""
     spark = docs.sparkSession
     pick = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     # a share that gives 95 % of max_labelled, so that it is not passed; a sorted limit would send that many rows of every partition
     n = pick.count()
     pick = pick.filter(F.pmod(F.xxhash64("__id", F.lit(9)), F.lit(1 << 30)) * F.lit(float(n)) < 0.95 * max_labelled * (1 << 30)) if n > max_labelled else pick
     chosen = spark.createDataFrame(pick.collect(), "__id long, __y int")
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select("text", "__y")
-    sample = materialise(sample, "toxic-sample")
+    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
+    sample = materialise(sample.groupBy("__id", "__y").agg(F.min("text").alias("text")).select("text", "__y"), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in byte_slices(batches, "text"):

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from oroflow.llm import phrases, secret_scan, variants
+from oroflow.llm import language_id, line_dedup, phrases, secret_scan, toxicity, variants
 from oroflow.llm.common import hot_keys, spread_join
 
 TEXT = "doc_id long, text string, lang string"
@@ -242,3 +242,28 @@ def test_spread_join_has_a_bound_in_rows(spark, keys):
     assert not hot_keys(counts, "k", 200_000, 1e-3, 1, 10**5, 0) and not hot_keys(counts, "k", 10**10, 1e-3, 1, 30, 0)
     got = spread_join(left, right, "k", deal="id", floor=1, most=30)
     assert got.agg(F.count(F.lit(1)), F.sum("v"), F.countDistinct("id")).first()[:] == left.agg(F.count(F.lit(1)), F.sum(F.col("k") * 2), F.countDistinct("id")).first()[:]
+
+
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    passage = " ".join(f"p{i}" for i in range(60)) + ". "
+    docs = spark.createDataFrame([(1, passage + "x y z."), (1, passage + "u v w."), (2, passage)], "doc_id long, text string")
+    left = [r["text"] for r in line_dedup.line_dedup(docs).collect()]
+    assert sum("p30" in t for t in left) == 1 and sum(t.startswith("p0") for t in left) == 1
+
+
+def test_samples_that_ids_do_not_decide(spark):
+    """Rows without id are drawn by their texts; rows that repeat a labelled id count once."""
+    rows = [(None, f"aa bb w{i}", "xx") for i in range(400)]
+    docs = spark.createDataFrame(rows, TEXT)
+    trees = language_id.learn_languages(docs, docs_per_lang=40)
+    assert trees is not None and trees.langs == ["xx"]
+    seen = []
+    docs = spark.createDataFrame([(i, "vile foul" if i % 2 else "mild kind", "en") for i in range(40)] * 50, TEXT)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    plain = toxicity._logistic
+    toxicity._logistic, keep = (lambda x, y: (seen.append(len(y)), plain(x, y))[1]), plain
+    try:
+        toxicity.learn_toxicity(docs, labels)
+    finally:
+        toxicity._logistic = keep
+    assert seen == [40]

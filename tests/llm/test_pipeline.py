@@ -77,6 +77,23 @@ def test_odd_tables(spark, tmp_path):
     assert P.mix_sources(spark, out, d).columns == out.columns
 
 
+def test_mix_of_rows_that_share_an_id(spark, tmp_path):
+    """Texts under one id are taken each by itself; rows that repeat in all columns add up; the totals stay the target's."""
+    rows = [(1, " ".join(f"w{i}x{j}" for j in range(20)), "en", "s", 1) for i in range(40)] + [(2, "again " * 20, "en", "s", 1)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.mix_sources(spark, docs, str(tmp_path)).collect()
+    assert abs(sum(len(r["text"].split()) for r in out) - 2400) <= 20
+    texts = [r["text"] for r in out]
+    assert max(texts.count(t) for t in set(texts) if not t.startswith("again")) <= 2
+
+
+def test_exact_copies_keep_one_row_whatever_the_order(spark, tmp_path):
+    rows = [(1, "Same text", lang, "s", 1) for lang in ("fr", "en", None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
+        assert [r["lang"] for r in P.drop_exact_copies(spark, docs, str(tmp_path)).collect()] == ["en"]
+
+
 def test_run(spark, tmp_path):
     d = f"file://{tmp_path}"
     make(spark, d)
