@@ -51,15 +51,20 @@ def _starts(spark: SparkSession) -> DataFrame:
 STARTS = "starts AS (SELECT i AS p, CAST(i * 17 + 5 AS INT) AS r, CAST(i * 7 % 64 AS INT) AS c FROM range(0, 25) t(i))"
 
 
-def _pours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pours(accumulated: DataFrame) -> DataFrame:
     """Each row's cell of the largest accumulation, the first of equal ones."""
-    top = hydro.flow_accumulation(_directed(spark, sf_dir)).groupBy("r").agg(F.max(F.struct("accumulation", (-F.col("c")).alias("c"))).alias("x"))
+    top = accumulated.groupBy("r").agg(F.max(F.struct("accumulation", (-F.col("c")).alias("c"))).alias("x"))
     return top.select(F.col("r").cast("long").alias("p"), "r", (-F.col("x.c")).cast("int").alias("c"))
 
 
 POURS = "pours AS (SELECT CAST(r AS BIGINT) AS p, r, arg_max(c, accumulation * 1000 - c) AS c FROM acc GROUP BY r)"
 
 
+def _watersheds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directed, accumulated = base(spark, sf_dir)
+    return hydro.watershed(directed, _pours(accumulated))
+
+
 def build() -> dict[str, tuple]:
     q: dict[str, tuple] = {}
     q["d8_flow_direction"] = (lambda s, d: _directed(s, d).select("r", "c", "d8"), f"WITH RECURSIVE {FLOW} SELECT r, c, d8 FROM flow")
@@ -71,9 +76,9 @@ def build() -> dict[str, tuple]:
     q["stream_order"] = (lambda s, d: hydro.stream_order(_network(s, d)), None)
     q["sub_basins"] = (lambda s, d: hydro.sub_basins(_directed(s, d), hydro.stream_links(_network(s, d))), f"WITH RECURSIVE {STREAM}, hit AS (SELECT sr AS r, sc AS c, arg_min(link_r, hop) AS link_r, arg_min(link_c, hop) AS link_c FROM walk JOIN lnk USING (r, c) GROUP BY sr, sc) SELECT r, c, link_r, link_c FROM hit")
     q["basins"] = (lambda s, d: hydro.basins(_directed(s, d)), f"WITH RECURSIVE {FLOW} SELECT r, c, root_r AS outlet_r, root_c AS outlet_c FROM fin")
-    q["watershed"] = (lambda s, d: hydro.watershed(_directed(s, d), _pours(s, d)), f"WITH RECURSIVE {FLOW}, {POURS} SELECT sr AS r, sc AS c, arg_min(p, hop) AS p FROM walk JOIN pours USING (r, c) GROUP BY sr, sc")
+    q["watershed"] = (lambda s, d: _watersheds(s, d), f"WITH RECURSIVE {FLOW}, {POURS} SELECT sr AS r, sc AS c, arg_min(p, hop) AS p FROM walk JOIN pours USING (r, c) GROUP BY sr, sc")
     q["watershed_summary"] = (
-        lambda s, d: hydro.watershed_summary(hydro.watershed(_directed(s, d), _pours(s, d)), dem(s, d)),
+        lambda s, d: hydro.watershed_summary(_watersheds(s, d), dem(s, d)),
         f"WITH RECURSIVE {FLOW}, {POURS}, ws AS (SELECT sr AS r, sc AS c, arg_min(p, hop) AS p FROM walk JOIN pours USING (r, c) GROUP BY sr, sc), bd AS (SELECT a.r, a.c, a.p, CASE WHEN count(b.p) < 4 THEN 1 ELSE 0 END AS edge FROM ws a LEFT JOIN ws b ON b.p = a.p AND abs(a.r - b.r) + abs(a.c - b.c) = 1 AND b.r BETWEEN a.r - 1 AND a.r + 1 GROUP BY a.r, a.c, a.p) SELECT p, count(*) AS n_cells, round(count(*) * {CELL!r} * {CELL!r} / 1e6, 4) AS area_km2, min(z) AS min_z, max(z) AS max_z, round(avg(z), 4) AS mean_z, CAST(sum(edge) AS BIGINT) AS boundary_cells FROM bd JOIN dem USING (r, c) GROUP BY p",
     )
     q["height_above_stream"] = (lambda s, d: hydro.height_above_stream(dem(s, d), *base(s, d), THRESHOLD), f"WITH RECURSIVE {FLOW}, st AS (SELECT r, c FROM acc WHERE accumulation >= {THRESHOLD}), hit AS (SELECT sr, sc, arg_min(dem.z, hop) AS zs FROM walk JOIN st USING (r, c) JOIN dem USING (r, c) GROUP BY sr, sc) SELECT dem.r, dem.c, dem.z - zs AS above_stream FROM dem LEFT JOIN hit ON sr = dem.r AND sc = dem.c")

@@ -12,6 +12,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where that is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="oroflow-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/oroflow-plans"
