@@ -111,3 +111,37 @@ def orbit_class(km: str) -> str:
 def units(v: str, unit: str) -> str:
     """Metres in another unit."""
     return f"({v} * {dict(m=1.0, ft=3.28084, km=0.001, mi=0.000621371)[unit]!r}e0)"
+
+
+# The ellipsoid WGS 84, the scale on the central meridian, the letters of latitude bands and squares.
+_A, _F, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
+BANDS = "CDEFGHJKLMNPQRSTUVWXX"
+COLUMN_LETTERS = ("ABCDEFGH", "JKLMNPQR", "STUVWXYZ")
+ROW_LETTERS = "ABCDEFGHJKLMNPQRSTUV"
+
+
+def utm_steps(lat: str, lon: str) -> list[dict[str, str]]:
+    """Transverse Mercator by the Krueger series to the third order of n, in steps: each dict's columns use those before.
+    The last ones are zone, easting and northing (false northing in the south), good to a millimetre in a zone; null
+    beyond 80 S and 84 N."""
+    n = _F / (2 - _F)
+    mean = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    wave = lambda f, g: " + ".join(f"{a:.17e} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(alpha, 1))
+    inside = f"{lat} BETWEEN -80 AND 84 AND {lon} BETWEEN -180 AND 180"
+    return [
+        {"zone": f"CASE WHEN {inside} THEN {utm_zone(lon)} END"},
+        {"dl": f"radians({lon} - (zone * 6 - 183))", "t": f"sinh(atanh(sin(radians({lat}))) - {e:.17e} * atanh({e:.17e} * sin(radians({lat}))))"},
+        {"xi": "atan2(t, cos(dl))", "eta": "asinh(sin(dl) / sqrt(t * t + cos(dl) * cos(dl)))"},
+        {"easting": f"500000 + {_K0 * mean:.17e} * (eta + {wave('cos', 'sinh')})", "northing": f"CASE WHEN {lat} < 0 THEN 10000000 ELSE 0 END + {_K0 * mean:.17e} * (xi + {wave('sin', 'cosh')})"},
+    ]
+
+
+def mgrs(lat: str, zone: str = "zone", easting: str = "easting", northing: str = "northing") -> str:
+    """Grid reference to the metre from UTM columns: zone, band, square of 100 km, five digits each way (cut, not rounded)."""
+    band = f"substr('{BANDS}', CAST(floor(({lat} + 80) / 8) AS INT) + 1, 1)"
+    column = "CASE " + " ".join(f"WHEN {zone} % 3 = {(k + 1) % 3} THEN substr('{letters}', CAST(floor({easting} / 100000) AS INT), 1)" for k, letters in enumerate(COLUMN_LETTERS)) + " END"
+    row = f"substr('{ROW_LETTERS}', CAST((floor({northing} / 100000) + CASE WHEN {zone} % 2 = 0 THEN 5 ELSE 0 END) % 20 AS INT) + 1, 1)"
+    digits = lambda v: f"lpad(CAST(CAST(floor({v}) % 100000 AS INT) AS VARCHAR(6)), 5, '0')"
+    return f"lpad(CAST({zone} AS VARCHAR(2)), 2, '0') || {band} || {column} || {row} || {digits(easting)} || {digits(northing)}"

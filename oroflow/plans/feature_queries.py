@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import geo
 from ..operators import feeds, vector
 from ..sources import tiles
 from ..streaming import live
+from .scratch import scratch_dir
 from .terrain_queries import DEM, EDGES, HOLES, dem, zone_edges
 
 
@@ -79,6 +82,40 @@ def _quantised_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.error_stats(z.join(back, ["r", "c"]).select(F.col("z").alias("expected"), "got"))
 
 
+def _grid_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = places(spark, sf_dir)
+    for step in geo.utm_steps("lat", "lon"):
+        p = p.withColumns({k: F.expr(x) for k, x in step.items()})
+    return p.select("pid", "zone", F.round("easting", 3).alias("easting"), F.round("northing", 3).alias("northing"), F.expr(geo.mgrs("lat")).alias("mgrs"))
+
+
+def _grid_sql() -> str:
+    """The same projection by Snyder's powers of the longitude difference, for the zone; the reference from its metres."""
+    return f"""WITH {PLACES}, u AS (SELECT *, CASE WHEN lat BETWEEN -80 AND 84 THEN CAST(floor((lon + 180) / 6) AS INT) + 1 END AS zone FROM places),
+k AS (SELECT *, 0.00669437999014131699614 AS e2, 0.00673949674227643495478 AS ep2, radians(lat) AS p, radians(lon - (zone * 6 - 183)) * cos(radians(lat)) AS a FROM u),
+m AS (SELECT *, 6378137 / sqrt(1 - e2 * pow(sin(p), 2)) AS nu, pow(tan(p), 2) AS t, ep2 * pow(cos(p), 2) AS c, 6378137 * ((1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256) * p - (3 * e2 / 8 + 3 * pow(e2, 2) / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * p) + (15 * pow(e2, 2) / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * p) - 35 * pow(e2, 3) / 3072 * sin(6 * p)) AS m FROM k),
+g AS (SELECT pid, lat, zone, 500000 + 0.9996 * nu * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * pow(a, 5) / 120) AS easting,
+  CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + 0.9996 * (m + nu * tan(p) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * pow(a, 6) / 720)) AS northing FROM m)
+SELECT pid, zone, CAST(round(easting / 10) * 10 AS BIGINT) AS easting, CAST(round(northing / 10) * 10 AS BIGINT) AS northing FROM g"""
+
+
+_SESSIONS = "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, s"
+_POLLS = 3
+_ACTIVE = 40
+
+
+def _polled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three polls, each the newest of a third of the events by key; what changed between them."""
+    f = fixes(spark, sf_dir)
+    store = live.Snapshots(spark, f"{scratch_dir(spark)}/snapshots-{uuid.uuid4().hex}", "key", ["lat", "lon"])
+    out = None
+    for v in range(_POLLS):
+        store.poll(v, feeds.latest_fix(f.filter((F.col("id") + F.floor(F.col("id") / 7)) % _POLLS == v)))
+        told = store.changes(v).select(F.lit(v).alias("version"), "*")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 def build() -> dict[str, tuple]:
     q: dict[str, tuple] = {}
     text = ", ".join(f"{x} AS {k}" for k, x in _SCALARS.items())
@@ -114,5 +151,9 @@ def build() -> dict[str, tuple]:
     q["stream_windows"] = (lambda s, d: live.drained(live.windowed(live.read_events(s, d)), "complete", "windows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2")
     q["stream_last_known"] = (lambda s, d: live.drained(live.last_known(live.read_events(s, d)), "complete", "last").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "value"), "SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
     q["stream_live_positions"] = (lambda s, d: live.drained(live.live_positions(live.read_events(s, d)), "update", "live").filter("not expired").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")), "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS k FROM events) WHERE k = 1")
-    q["session_windows"] = (lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n"), "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, s")
+    q["grid_references"] = (lambda s, d: _grid_references(s, d).select("pid", "zone", *[(F.round(F.col(c) / 10) * 10).cast("long").alias(c) for c in ("easting", "northing")]), _grid_sql())
+    q["stream_active_set"] = (lambda s, d: live.merge_active(live.drained(live.active_set(live.read_events(s, d), _ACTIVE), "update", "active"), _ACTIVE).select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts")), f"SELECT user_id, event_id, date_trunc('millisecond', ts) AS ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) WHERE k = 1 ORDER BY epoch_ms(ts) DESC, event_id DESC, user_id DESC LIMIT {_ACTIVE}")
+    q["snapshot_changes"] = (_polled, f"WITH {FIXES}, p AS (SELECT CAST((id + id // 7) % 3 AS INT) AS version, key, arg_max(lat, (ts, id)) AS lat, arg_max(lon, (ts, id)) AS lon FROM fixes GROUP BY 1, 2), v AS (SELECT unnest(range(0, 3)) AS version), b AS (SELECT v.version, coalesce(n.key, o.key) AS key, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'gone' ELSE 'moved' END AS change, coalesce(n.lat, o.lat) AS lat, coalesce(n.lon, o.lon) AS lon, n.key IS NOT NULL AND o.key IS NOT NULL AND n.lat = o.lat AND n.lon = o.lon AS same FROM v JOIN (SELECT DISTINCT version AS w, key FROM p) k ON k.w IN (v.version, v.version - 1) LEFT JOIN p n ON n.version = v.version AND n.key = k.key LEFT JOIN p o ON o.version = v.version - 1 AND o.key = k.key) SELECT DISTINCT CAST(version AS INT) AS version, key, change, lat, lon FROM b WHERE NOT same")
+    q["stream_sessions"] = (lambda s, d: live.drained(live.sessions(live.read_events(s, d)).select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n"), "complete", "sessions"), _SESSIONS)
+    q["session_windows"] = (lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n"), _SESSIONS)
     return q
