@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..sources import pyramid
+from ..sources import chunk_store, pyramid
+from .scratch import scratch_dir
 from .terrain_queries import HOLES, dem
 
 REF = (10.0, 20.0, 0.01, 0.01)
@@ -67,8 +70,38 @@ def _steep(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEEP = f"{HOLES}, steep AS (SELECT r, c, round_even(z * z / 100, 0) AS z FROM dem WHERE z IS NOT NULL)"
 
 
+_PIXELS, _CHUNK = 100, 16
+
+
+def chunk_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The terrain as chunk files by degree; pixels on a tile's edge are in both tiles."""
+    folder = f"{scratch_dir(spark)}/chunk-store-{uuid.uuid4().hex}"
+    z = dem(spark, sf_dir, True).filter("z is not null")
+    south = F.array(F.struct((F.lit(10) - F.ceil(F.col("r") / 100)).alias("d"), (F.col("r") - (F.ceil(F.col("r") / 100) - 1) * 100).alias("p")), F.when(F.col("r") % 100 == 0, F.struct((F.lit(9) - F.ceil(F.col("r") / 100)).alias("d"), F.lit(0).cast("long").alias("p"))))
+    west = F.array(F.struct((F.lit(20) + F.floor(F.col("c") / 100)).alias("d"), (F.col("c") % 100).cast("long").alias("p")), F.when(F.col("c") % 100 == 0, F.struct((F.lit(19) + F.floor(F.col("c") / 100)).alias("d"), F.lit(100).cast("long").alias("p"))))
+    at = z.select("z", F.explode(F.array_compact(south)).alias("y"), F.array_compact(west).alias("xs")).select("z", "y", F.explode("xs").alias("x"))
+    named = at.select(F.expr(geo.degree_tile("y.d", "x.d")).alias("name"), F.col("y.p").cast("int").alias("py"), F.col("x.p").cast("int").alias("px"), "z")
+    chunk_store.write_store(named, folder, _CHUNK).count()
+    return folder
+
+
+def _chunk_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_store.read_points(sights(spark, sf_dir), chunk_folder(spark, sf_dir), _CHUNK, _PIXELS).select("pid", "z")
+
+
+_PX = "CAST(least(100, greatest(0, round_even({v}, 0))) AS INT)"
+CHUNK_POINTS = f"""WITH {HOLES}, {SIGHTS}, p AS (SELECT pid, CAST(floor(lat) AS INT) AS la, CAST(floor(lon) AS INT) AS lo, {_PX.format(v='(1e0 - (lat - floor(lat))) * 100')} AS py, {_PX.format(v='(lon - floor(lon)) * 100')} AS px FROM sights)
+SELECT pid, z FROM p LEFT JOIN dem ON r = py + (9 - la) * 100 AND c = px + (lo - 20) * 100"""
+CHUNK_AUDIT = f"""WITH {HOLES}, y AS (SELECT r, 10 - CAST(ceil(r / 100) AS INT) AS la FROM (SELECT DISTINCT r FROM dem) UNION ALL SELECT r, 9 - r // 100 FROM (SELECT DISTINCT r FROM dem) WHERE r % 100 = 0),
+x AS (SELECT c, 20 + c // 100 AS lo FROM (SELECT DISTINCT c FROM dem) UNION ALL SELECT c, 19 + c // 100 FROM (SELECT DISTINCT c FROM dem) WHERE c % 100 = 0),
+k AS (SELECT {geo.degree_tile('la', 'lo')} AS name, r - (9 - la) * 100 AS py, c - (lo - 20) * 100 AS px FROM dem JOIN y USING (r) JOIN x USING (c) WHERE z IS NOT NULL)
+SELECT name, CAST(max(py // 16) + 1 AS INT) AS rows, CAST(max(px // 16) + 1 AS INT) AS cols, count(DISTINCT (py // 16) * 1000 + px // 16) AS n_chunks, (max(py // 16) + 1) * (max(px // 16) + 1) - count(DISTINCT (py // 16) * 1000 + px // 16) AS n_empty, CAST(0 AS BIGINT) AS n_bad, count(*) AS n_valid FROM k GROUP BY name"""
+
+
 def build() -> dict[str, tuple]:
     q: dict[str, tuple] = {}
+    q["chunk_points"] = (_chunk_points, CHUNK_POINTS)
+    q["chunk_audit"] = (lambda s, d: chunk_store.audit(s, chunk_folder(s, d), _CHUNK).drop("error"), CHUNK_AUDIT)
     per_tile = f"SELECT CAST(zoom AS INT) AS zoom, CAST(gx // {SIDE} AS INT) AS x, CAST(gy // {SIDE} AS INT) AS y, count(*) AS n_valid, sum(z) AS z_sum, min(z) AS z_min, max(z) AS z_max FROM pix GROUP BY ALL"
     q["tile_pyramid"] = (lambda s, d: pyramid.statistics(store(s, d)), f"WITH {PIXELS} {per_tile}")
     q["tile_pyramid_manifest"] = (lambda s, d: pyramid.manifest(store(s, d)).drop("n_bytes"), f"WITH {PIXELS}, tiles AS ({per_tile}) SELECT zoom, count(*) AS n_tiles, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, CAST(sum(n_valid) AS BIGINT) AS n_valid FROM tiles GROUP BY zoom")
