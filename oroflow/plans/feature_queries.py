@@ -99,6 +99,25 @@ g AS (SELECT pid, lat, zone, 500000 + 0.9996 * nu * (a + (1 - t + c) * pow(a, 3)
 SELECT pid, zone, CAST(round(easting / 10) * 10 AS BIGINT) AS easting, CAST(round(northing / 10) * 10 AS BIGINT) AS northing FROM g"""
 
 
+def _corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A five-sided plot around each place, its corners by the place's key."""
+    p = places(spark, sf_dir).select(F.col("pid").alias("zone"), "lat", "lon", F.explode(F.expr("sequence(0, 4)")).alias("i"))
+    return p.select("zone", "i", F.expr(f"{_CORNER[0]} AS lat"), F.expr(f"{_CORNER[1]} AS lon"))
+
+
+_CORNER = ("lat + (1 + zone % 3) * 0.2e0 * sin(radians(72e0 * i))", "lon + (1 + zone % 4) * 0.3e0 * cos(radians(72e0 * i))")
+_PLOTS = f"""WITH {PLACES}, v AS (SELECT zone, i, {_CORNER[0]} AS lat, {_CORNER[1]} AS lon FROM (SELECT pid AS zone, lat, lon, unnest(range(0, 5)) AS i FROM places)),
+e AS (SELECT a.zone, a.lat, a.lon, b.lat AS lat2, b.lon AS lon2 FROM v a JOIN v b ON b.zone = a.zone AND b.i = (a.i + 1) % 5)
+SELECT zone, round(abs(sum((radians(lon2) - radians(lon)) * (2 + sin(radians(lat)) + sin(radians(lat2))))) * 6371.0 * 6371.0 / 2) AS area_km2,
+  round(sum(2 * 6371.0 * asin(sqrt(pow(sin((radians(lat2) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin((radians(lon2) - radians(lon)) / 2), 2))))) AS perimeter_km FROM e GROUP BY zone"""
+_STEP = 2_000_000.0
+_DENSE = f"""WITH {FIXES}, l AS (SELECT key AS line, id AS i, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM fixes WINDOW w AS (PARTITION BY key ORDER BY id)),
+d AS (SELECT *, {geo.haversine('lat', 'lon', 'lat2', 'lon2')} AS leg FROM l),
+c AS (SELECT *, coalesce(sum(leg) OVER (PARTITION BY line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, CASE WHEN leg IS NULL THEN 1 ELSE greatest(CAST(ceil(leg / {_STEP!r}) AS BIGINT), 1) END AS n FROM d),
+k AS (SELECT *, unnest(range(0, n)) AS k FROM c)
+SELECT line, i, k, round(lat + coalesce(k / n * (lat2 - lat), 0), 7) AS lat, round(lon + coalesce(k / n * (lon2 - lon), 0), 7) AS lon, round(round(before + coalesce(k / n * leg, 0), 2) / 100) AS distance_hm FROM k"""
+
+
 _SESSIONS = "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, s"
 _POLLS = 3
 _ACTIVE = 40
@@ -151,6 +170,8 @@ def build() -> dict[str, tuple]:
     q["stream_windows"] = (lambda s, d: live.drained(live.windowed(live.read_events(s, d)), "complete", "windows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2")
     q["stream_last_known"] = (lambda s, d: live.drained(live.last_known(live.read_events(s, d)), "complete", "last").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "value"), "SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
     q["stream_live_positions"] = (lambda s, d: live.drained(live.live_positions(live.read_events(s, d)), "update", "live").filter("not expired").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")), "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+    q["polygon_measure"] = (lambda s, d: vector.polygon_measure(_corners(s, d)).select("zone", F.round("area_km2").alias("area_km2"), F.round("perimeter_km").alias("perimeter_km")), _PLOTS)
+    q["densified_path"] = (lambda s, d: vector.densified_path(fixes(s, d).select(F.col("key").alias("line"), F.col("id").alias("i"), "lat", "lon"), _STEP).select("line", "i", "k", "lat", "lon", F.round(F.col("distance_m") / 100).alias("distance_hm")), _DENSE)
     q["grid_references"] = (lambda s, d: _grid_references(s, d).select("pid", "zone", *[(F.round(F.col(c) / 10) * 10).cast("long").alias(c) for c in ("easting", "northing")]), _grid_sql())
     q["stream_active_set"] = (lambda s, d: live.merge_active(live.drained(live.active_set(live.read_events(s, d), _ACTIVE), "update", "active"), _ACTIVE).select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts")), f"SELECT user_id, event_id, date_trunc('millisecond', ts) AS ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) WHERE k = 1 ORDER BY epoch_ms(ts) DESC, event_id DESC, user_id DESC LIMIT {_ACTIVE}")
     q["snapshot_changes"] = (_polled, f"WITH {FIXES}, p AS (SELECT CAST((id + id // 7) % 3 AS INT) AS version, key, arg_max(lat, (ts, id)) AS lat, arg_max(lon, (ts, id)) AS lon FROM fixes GROUP BY 1, 2), v AS (SELECT unnest(range(0, 3)) AS version), b AS (SELECT v.version, coalesce(n.key, o.key) AS key, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'gone' ELSE 'moved' END AS change, coalesce(n.lat, o.lat) AS lat, coalesce(n.lon, o.lon) AS lon, n.key IS NOT NULL AND o.key IS NOT NULL AND n.lat = o.lat AND n.lon = o.lon AS same FROM v JOIN (SELECT DISTINCT version AS w, key FROM p) k ON k.w IN (v.version, v.version - 1) LEFT JOIN p n ON n.version = v.version AND n.key = k.key LEFT JOIN p o ON o.version = v.version - 1 AND o.key = k.key) SELECT DISTINCT CAST(version AS INT) AS version, key, change, lat, lon FROM b WHERE NOT same")

@@ -86,3 +86,12 @@ def test_grid_references(spark, lat, lon, reference):
         return
     assert got[:5] == reference[:5]
     assert abs(int(got[5:10]) - int(reference[5:10])) <= 2 and abs(int(got[10:]) - int(reference[10:])) <= 2
+
+
+def test_the_package_can_be_shipped(spark):
+    import zipfile
+
+    import oroflow
+
+    names = zipfile.ZipFile(oroflow.ship(spark)).namelist()
+    assert "oroflow/__init__.py" in names and "oroflow/operators/lines.py" in names and not any("__pycache__" in n for n in names)
