@@ -44,6 +44,14 @@ def degree_tile(lat: str, lon: str) -> str:
     return f"({part(lat, 'N', 'S', 2)} || {part(lon, 'E', 'W', 3)})"
 
 
+def degree_bounds(name: str, compat: bool = False) -> dict[str, str]:
+    """Box of a 1-degree tile by its name: south, west, north, east. The inverse of degree_tile; with compat the published
+    boxes, which lie one degree further south and west for S and W."""
+    side = lambda at, width, neg: f"CASE WHEN substr({name}, {at}, 1) = '{neg}' THEN -CAST(substr({name}, {at + 1}, {width}) AS INT){' - 1' if compat else ''} ELSE CAST(substr({name}, {at + 1}, {width}) AS INT) END"
+    south, west = side(1, 2, "S"), side(4, 3, "W")
+    return {"south": south, "west": west, "north": f"{south} + 1", "east": f"{west} + 1"}
+
+
 def quadrant(lat: str, lon: str) -> str:
     """90-degree quadrant of the ocean grid: its north and west edges."""
     return f"concat('n', CAST(CAST(CASE WHEN {lat} >= 0 THEN 90 ELSE 0 END AS INT) AS VARCHAR(4)), '_w', CAST(CAST(least(floor(({lon} + 180) / 90), 3) * 90 - 180 AS INT) AS VARCHAR(5)))"
@@ -108,6 +116,42 @@ def orbit_class(km: str) -> str:
     return ladder(km, ((2000, "LEO"), (35000, "MEO")), "GEO")
 
 
+#: Upper ends of the viewing zones in metres.
+VIEW_ZONES = ((500_000, "earth"), (5_000_000, "low-orbit"), (50_000_000, "high-orbit"))
+
+
+def view_zone(metres: str) -> str:
+    """Zone of an altitude; below the ground and from 50,000 km on it is deep space."""
+    return f"CASE WHEN {metres} < 0 THEN 'deep-space' ELSE {ladder(metres, VIEW_ZONES, 'deep-space')} END"
+
+
+def terminator_lat(declination: str, lon: str) -> str:
+    """Latitude at which the border of day and night crosses a meridian, the sun standing over longitude 0. At an equinox the
+    border runs over the poles, by the side of the sun's meridian."""
+    tangent = f"tan(radians({declination}))"
+    return f"CASE WHEN abs({declination}) >= 89.5e0 THEN 0e0 WHEN {declination} = 0 THEN -90e0 * sign(round(cos(radians({lon})), 12)) ELSE degrees(atan(-cos(radians({lon})) / {tangent})) END"
+
+
+def cell_id(lat: str, lon: str, level: int, prefix: str = "cell") -> str:
+    """Name of the cell of 1 / 2**level degrees around a place; halves go up."""
+    num = lambda v: f"CAST(CAST(floor({v} * {1 << level} + 0.5e0) AS BIGINT) AS VARCHAR(12))"
+    return f"concat('{prefix}-{level}-', {num(lat)}, '-', {num(lon)})"
+
+
+def hexagon_corner(lat: str, lon: str, k: str, edge_m: float) -> dict[str, str]:
+    """Corner k (0 to 5, 6 closes) of a hexagon around a place, the first 30 degrees before north."""
+    turn = f"({math.pi / 3!r}e0 * ({k} % 6) - {math.pi / 6!r}e0)"
+    reach = f"{math.degrees(edge_m / EARTH_M)!r}e0"
+    return {"corner_lat": f"{lat} + {reach} * cos{turn}", "corner_lon": f"{lon} + {reach} / cos(radians({lat})) * sin{turn}"}
+
+
+def sphere_offsets(lat: str, angle: str, radius: float) -> dict[str, str]:
+    """Steps in degrees from a place to the one at a distance (radians) and angle (degrees, from north)."""
+    d, place, turn = f"{radius!r}e0", f"radians({lat})", f"radians({angle})"
+    to = f"asin(sin({place}) * cos({d}) + cos({place}) * sin({d}) * cos({turn}))"
+    return {"d_lat": f"degrees({to}) - {lat}", "d_lon": f"degrees(atan2(sin({turn}) * sin({d}) * cos({place}), cos({d}) - sin({place}) * sin({to})))"}
+
+
 def units(v: str, unit: str) -> str:
     """Metres in another unit."""
     return f"({v} * {dict(m=1.0, ft=3.28084, km=0.001, mi=0.000621371)[unit]!r}e0)"

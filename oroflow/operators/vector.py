@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -113,35 +113,77 @@ def cluster_points(points: DataFrame, zoom: int, box: tuple[float, float, float,
     return inside.withColumns(cell).groupBy("gx", "gy").agg(F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"), F.count(F.lit(1)).alias("n"), F.max("weight").alias("top")).drop("gx", "gy")
 
 
-def nearest(points: DataFrame, stations: DataFrame, degrees: float = 2.8125) -> DataFrame:
+#: Tables of at most so many rows (of a few numbers each) are sent whole to each executor; larger ones are joined by shuffle.
+SENT = 200_000
+_BLOCK_LEVEL = 6
+
+
+def _sized(table: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(table) if n <= SENT else table
+
+
+def _on_sphere(lat: str, lon: str) -> dict:
+    return {"x": F.expr(f"cos(radians({lat})) * cos(radians({lon}))"), "y": F.expr(f"cos(radians({lat})) * sin(radians({lon}))"), "z": F.expr(f"sin(radians({lat}))")}
+
+
+def _cube(level: int) -> Column:
+    """Number of the cube of side 2 / 2**level that holds a place of the unit sphere: level bits for each axis."""
+    i = [F.least(F.floor((F.col(v) + 1.0) * (1 << level) / 2).cast("long"), F.lit((1 << level) - 1).cast("long")) for v in "xyz"]
+    return F.shiftleft(i[0], 2 * level).bitwiseOR(F.shiftleft(i[1], level)).bitwiseOR(i[2])
+
+
+def _descend(asked: DataFrame, tree: DataFrame, sizes: dict[int, int], start: int, end: int) -> DataFrame:
+    """asked: q, x, y, z, reach, cubes (of level start) -> the same with those cubes of level end that may hold the nearest
+    place of some point within reach: none whose least distance is above the least of all greatest distances."""
+    for level in range(start, end):
+        side, mask = 2.0 / (1 << (level + 1)), (1 << (level + 1)) - 1
+        kids = tree.filter(F.col("level") == level).select(F.col("cube").alias("up"), "kids")
+        met = asked.withColumn("up", F.explode("cubes")).join(_sized(kids, sizes[level]), "up").withColumn("cube", F.explode("kids"))
+        near, far = F.lit(0.0), F.lit(0.0)
+        for axis, shift in (("x", 2 * (level + 1)), ("y", level + 1), ("z", 0)):
+            low = F.shiftright("cube", shift).bitwiseAND(F.lit(mask).cast("long")) * F.lit(side) - 1.0
+            over, under = F.col(axis) - low, low + side - F.col(axis)
+            near, far = near + F.pow(F.greatest(-over, -under, F.lit(0.0)), 2), far + F.pow(F.greatest(over, under), 2)
+        met = met.select("q", "x", "y", "z", "reach", "cube", (F.sqrt(near) - F.col("reach")).alias("near"), (F.sqrt(far) + F.col("reach")).alias("far"))
+        held = met.groupBy("q", "x", "y", "z", "reach").agg(F.min("far").alias("far"), F.collect_list(F.struct("near", "cube")).alias("c"))
+        asked = held.select("q", "x", "y", "z", "reach", F.transform(F.filter("c", lambda c: c.near <= F.col("far") + 1e-9), lambda c: c.cube).alias("cubes"))
+    return asked
+
+
+def nearest(points: DataFrame, stations: DataFrame) -> DataFrame:
     """points: pid, lat, lon; stations: sid, slat, slon. One row a point: the nearest station in nautical miles, the
-    smallest id of equally near ones; null for a point without a place. Points first look into their own block of degrees
-    and the eight around it; those whose best find may lie beyond look on in blocks four times as wide, up to the globe's."""
-    block = lambda lat, lon: {"by": F.floor(F.col(lat) / degrees), "bx": F.floor(F.col(lon) / degrees)}
-    known = stations.filter("slat is not null and slon is not null")
-    asked = written(points.withColumn("__q", F.monotonically_increasing_id()), "nearest-points")
-    left = asked.filter("lat is not null and lon is not null").select("__q", "lat", "lon")
+    smallest id of equally near ones; null for a point without a place, or without any station.
+
+    Stations lie in a tree of cubes around the unit sphere, so poles and the date line are like any other place. Cubes of
+    points (some 40,000 on the sphere at most) go down the tree first, points then go on from what their cube kept. A step
+    keeps the cubes that may hold the nearest station, a few for each point; stations at one place count once."""
+    here = stations.filter("slat is not null and slon is not null").groupBy("slat", "slon").agg(F.min("sid").alias("sid"))
+    here = written(here.withColumns(_on_sphere("slat", "slon")), "stations")
+    asked = written(points.withColumn("q", F.monotonically_increasing_id()), "nearest-points")
+    n = here.count()
+    if n == 0:
+        return asked.select("pid", F.lit(None).cast(stations.schema["sid"].dataType).alias("sid"), F.lit(None).cast("double").alias("distance_nm"))
+    depth = min(14, max(1, math.ceil(math.log2(n) / 2) + 1))
+    middle = min(_BLOCK_LEVEL, depth)
+    up = [F.struct(F.lit(k).alias("level"), _cube(k).alias("cube"), _cube(k + 1).alias("kid")) for k in range(depth)]
+    tree = written(here.select(F.explode(F.array(*up)).alias("s")).groupBy("s.level", "s.cube").agg(F.collect_set("s.kid").alias("kids")), "station-tree")
+    sizes = {r["level"]: r["count"] for r in tree.groupBy("level").count().collect()}
+    placed = asked.filter("lat is not null and lon is not null").select("q", "lat", "lon").withColumns(_on_sphere("lat", "lon")).withColumn("block", _cube(middle))
+    root = F.array(F.lit(0).cast("long")).alias("cubes")
+    side = 2.0 / (1 << middle)
+    centre = [((F.shiftright("block", s).bitwiseAND(F.lit((1 << middle) - 1).cast("long")) + 0.5) * side - 1.0).alias(v) for v, s in (("x", 2 * middle), ("y", middle), ("z", 0))]
+    blocks = placed.select("block").distinct().select(F.col("block").alias("q"), *centre, F.lit(side * math.sqrt(3) / 2).alias("reach"), root)
+    kept = written(_descend(blocks, tree, sizes, 0, middle).select(F.col("q").alias("block"), "cubes"), "nearest-blocks")
+    rows = kept.agg(F.sum(F.size("cubes"))).first()[0] or 0
+    begun = placed.join(_sized(kept, rows), "block").select("q", "x", "y", "z", F.lit(0.0).alias("reach"), "cubes")
+    ended = _descend(begun, tree, sizes, middle, depth).select("q", F.explode("cubes").alias("cube"))
+    if depth > middle:
+        ended = written(ended, "nearest-cubes")
+    leaves = here.select(_cube(depth).alias("cube"), "sid", "slat", "slon")
     dist = F.expr(geo.haversine("lat", "lon", "slat", "slon", geo.EARTH_NM))
-    step = F.sequence(F.lit(-1), F.lit(1))
-    found: DataFrame | None = None
-    while True:
-        cols = F.lit(max(1, int(360 / degrees)))
-        spread = known.withColumns(block("slat", "slon")).withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step))
-        spread = spread.select("sid", "slat", "slon", (F.col("by") + F.col("dy")).alias("by"), F.pmod(F.col("bx") + F.col("dx"), cols).alias("bx")).distinct()
-        at = left.withColumns(block("lat", "lon")).withColumn("bx", F.pmod("bx", cols))
-        best = at.join(spread, ["by", "bx"]).groupBy("__q", "lat").agg(F.min(F.struct(dist.alias("d"), "sid")).alias("x"))
-        whole = degrees >= 180
-        # no place outside the nine blocks is nearer than a step of one block along the parallel nearest to the pole
-        reach = F.expr(f"2 * {geo.EARTH_NM!r}e0 * asin(cos(radians(least(abs(lat) + {degrees}, 90e0))) * {math.sin(math.radians(min(degrees, 180.0)) / 2)!r}e0)")
-        sure = written((best if whole else best.filter(F.col("x.d") <= reach)).select("__q", "x.sid", "x.d"), "nearest")
-        found = sure if found is None else found.unionByName(sure)
-        if whole:
-            break
-        left = written(left.join(sure.select("__q"), "__q", "left_anti"), "nearest-left")
-        if left.isEmpty():
-            break
-        degrees = min(180.0, degrees * 4)
-    return asked.join(found, "__q", "left").select("pid", "sid", F.round("d", 1).alias("distance_nm"))
+    met = ended.join(placed.select("q", "lat", "lon"), "q").join(_sized(leaves, n), "cube")
+    found = met.groupBy("q").agg(F.min(F.struct(dist.alias("d"), "sid")).alias("best"))
+    return asked.join(found, "q", "left").select("pid", "best.sid", F.round("best.d", 1).alias("distance_nm"))
 
 
 def densified_path(points: DataFrame, step_m: float = 90.0) -> DataFrame:

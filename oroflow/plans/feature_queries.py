@@ -48,14 +48,18 @@ _SCALARS = {
 _LADDERS = {"storm": geo.storm_class("value"), "air": geo.air_class("value * 3"), "quake": geo.quake_class("value / 15"), "depth": geo.quake_depth_class("value"), "orbit": geo.orbit_class("value * 500")}
 
 
-def _segments(spark: SparkSession) -> DataFrame:
-    return spark.range(0, 60).selectExpr("id AS line", "CAST(id * 7 AS INT) AS r1", "CAST(id % 11 AS INT) AS c1", "CAST(id * 5 + id % 13 AS INT) AS r2", "CAST(40 + id % 23 AS INT) AS c2")
+_SEGMENT = "c_custkey AS line, CAST(c_custkey * 7 % 3000 AS INT) AS r1, CAST(c_custkey % 11 AS INT) AS c1, CAST(c_custkey * 7 % 3000 + c_custkey % 83 - 40 AS INT) AS r2, CAST(40 + c_custkey % 23 AS INT) AS c2"
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each customer."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(*_SEGMENT.split(", "))
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> dict:
     z = dem(spark, sf_dir, True)
     key = F.concat_ws("/", "r", "c")
-    points = spark.range(0, 3000).select(F.col("id").alias("pid"), F.concat_ws("/", F.col("id") % 520, F.col("id") % 70).alias("key"))
+    points = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("pid"), F.concat_ws("/", F.col("event_id") % 520, F.col("event_id") % 70).alias("key"))
     land = z.filter("z > 550").select(key.alias("key"), "z")
     sea = z.filter("z is not null").select(key.alias("key"), (-F.col("z")).alias("z"))
     return feeds.with_fallback(points, ("land", land), ("ocean", sea))
@@ -67,7 +71,7 @@ def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = spark.range(0, 2000).select(F.col("id").alias("pid"), (F.col("id") * 0.2475).alias("y"), (F.col("id") % 63 + 0.3713).alias("x"))
+    pts = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS pid", "event_id % 2000 * 0.2475e0 AS y", "event_id % 63 + 0.3713e0 AS x")
     return vector.bilinear(pts, dem(spark, sf_dir))
 
 
@@ -145,9 +149,9 @@ def build() -> dict[str, tuple]:
         lambda s, d: vector.extract_at_points(places(s, d).select("pid", F.expr("CAST(rint(lat * 5 + 0.1e0) AS INT)").alias("r"), F.expr("CAST(rint(abs(lon) / 3) AS INT)").alias("c")), dem(s, d, True)),
         f"WITH {HOLES}, {PLACES}, p AS (SELECT pid, CAST(round_even(lat * 5 + 0.1e0, 0) AS INT) AS r, CAST(round_even(abs(lon) / 3, 0) AS INT) AS c FROM places) SELECT pid, p.r, p.c, z FROM p LEFT JOIN dem USING (r, c)",
     )
-    q["bilinear_sample"] = (_sampled, f"WITH {DEM}, p AS (SELECT i AS pid, i * 0.2475e0 AS y, i % 63 + 0.3713e0 AS x FROM range(0, 2000) t(i)) SELECT pid, round(a.z * (1 - (y - floor(y))) * (1 - (x - floor(x))) + b.z * (1 - (y - floor(y))) * (x - floor(x)) + g.z * (y - floor(y)) * (1 - (x - floor(x))) + h.z * (y - floor(y)) * (x - floor(x)), 1) AS z FROM p JOIN dem a ON a.r = CAST(floor(y) AS INT) AND a.c = CAST(floor(x) AS INT) JOIN dem b ON b.r = a.r AND b.c = a.c + 1 JOIN dem g ON g.r = a.r + 1 AND g.c = a.c JOIN dem h ON h.r = a.r + 1 AND h.c = a.c + 1")
+    q["bilinear_sample"] = (_sampled, f"WITH {DEM}, p AS (SELECT event_id AS pid, event_id % 2000 * 0.2475e0 AS y, event_id % 63 + 0.3713e0 AS x FROM events) SELECT pid, round(a.z * (1 - (y - floor(y))) * (1 - (x - floor(x))) + b.z * (1 - (y - floor(y))) * (x - floor(x)) + g.z * (y - floor(y)) * (1 - (x - floor(x))) + h.z * (y - floor(y)) * (x - floor(x)), 1) AS z FROM p JOIN dem a ON a.r = CAST(floor(y) AS INT) AND a.c = CAST(floor(x) AS INT) JOIN dem b ON b.r = a.r AND b.c = a.c + 1 JOIN dem g ON g.r = a.r + 1 AND g.c = a.c JOIN dem h ON h.r = a.r + 1 AND h.c = a.c + 1")
     q["points_in_polygons"] = (lambda s, d: vector.points_in_polygons(places(s, d).selectExpr("pid", "abs(lon) / 3 AS x", "lat * 2 + 170 AS y"), zone_edges(s)), f"WITH {PLACES}, {EDGES} SELECT pid, zone FROM (SELECT pid, abs(lon) / 3 AS x, lat * 2 + 170 AS y FROM places) p JOIN edges ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY pid, zone HAVING count(*) % 2 = 1")
-    q["rasterize_lines"] = (lambda s, d: vector.rasterize_lines(_segments(s)), "WITH seg AS (SELECT i AS line, i * 7 AS r1, i % 11 AS c1, i * 5 + i % 13 AS r2, 40 + i % 23 AS c2 FROM range(0, 60) t(i)), n AS (SELECT *, greatest(abs(r2 - r1), abs(c2 - c1), 1) AS n FROM seg), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n) SELECT DISTINCT line, CAST(round_even(r1 + CAST((r2 - r1) * k AS DOUBLE) / n, 0) AS INT) AS r, CAST(round_even(c1 + CAST((c2 - c1) * k AS DOUBLE) / n, 0) AS INT) AS c FROM k")
+    q["rasterize_lines"] = (lambda s, d: vector.rasterize_lines(_segments(s, d)), f"WITH seg AS (SELECT {_SEGMENT} FROM customer), n AS (SELECT *, greatest(abs(r2 - r1), abs(c2 - c1), 1) AS n FROM seg), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n) SELECT DISTINCT line, CAST(round_even(r1 + CAST((r2 - r1) * k AS DOUBLE) / n, 0) AS INT) AS r, CAST(round_even(c1 + CAST((c2 - c1) * k AS DOUBLE) / n, 0) AS INT) AS c FROM k")
     gx, gy = 360.0 / 8 * 60 / 256, 180.0 / 8 * 60 / 256
     q["cluster_points"] = (lambda s, d: vector.cluster_points(places(s, d), 3, (-120.0, -60.0, 120.0, 60.0)), f"WITH {PLACES} SELECT round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, count(*) AS n, max(weight) AS top FROM places WHERE lon BETWEEN -120 AND 120 AND lat BETWEEN -60 AND 60 GROUP BY floor((lon + 120) / {gx!r}), floor((lat + 60) / {gy!r})")
     dist = geo.haversine("lat", "lon", "slat", "slon", geo.EARTH_NM)
@@ -163,7 +167,7 @@ def build() -> dict[str, tuple]:
     q["feature_page"] = (_page, f"WITH {PLACES}, f AS (SELECT pid AS fid, lon, lat, weight FROM places WHERE lon BETWEEN -100 AND 100 AND lat BETWEEN -40 AND 60 AND segment = 'BUILDING' AND weight > 1000) SELECT *, (SELECT count(*) FROM f) AS number_matched FROM f ORDER BY fid LIMIT 20 OFFSET 10")
     near = geo.haversine("40e0", "10e0", "lat", "lon", geo.EARTH_NM)
     q["within_radius"] = (lambda s, d: feeds.within_radius(places(s, d), 40.0, 10.0, 900.0).select("pid", "distance_nm"), f"WITH {PLACES} SELECT pid, round({near}, 3) AS distance_nm FROM places WHERE round({near}, 3) <= 900")
-    q["elevation_fallback"] = (_chain, f"WITH {HOLES}, p AS (SELECT i AS pid, i % 520 AS r, i % 70 AS c FROM range(0, 3000) t(i)) SELECT pid, CASE WHEN z > 550 THEN z ELSE -z END AS z, CASE WHEN z IS NULL THEN 'none' WHEN z > 550 THEN 'land' ELSE 'ocean' END AS source FROM p LEFT JOIN dem ON dem.r = p.r AND dem.c = p.c")
+    q["elevation_fallback"] = (_chain, f"WITH {HOLES}, p AS (SELECT event_id AS pid, event_id % 520 AS r, event_id % 70 AS c FROM events) SELECT pid, CASE WHEN z > 550 THEN z ELSE -z END AS z, CASE WHEN z IS NULL THEN 'none' WHEN z > 550 THEN 'land' ELSE 'ocean' END AS source FROM p LEFT JOIN dem ON dem.r = p.r AND dem.c = p.c")
     q["tile_roundtrip"] = (_rebuilt, f"WITH {HOLES} SELECT r, c, z FROM dem WHERE z IS NOT NULL")
     q["tile_quantised_error"] = (_quantised_error, None)
     q["tile_manifest"] = (lambda s, d: tiles.manifest(tiles.encode_tiles(dem(s, d, True))).select("tr", "n_tiles", "n_cells"), f"WITH {HOLES} SELECT CAST(r // 64 AS INT) AS tr, count(DISTINCT c // 64) AS n_tiles, count(z) AS n_cells FROM dem GROUP BY 1")

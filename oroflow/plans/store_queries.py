@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources import chunk_store, pyramid
-from .scratch import scratch_dir
+from .scratch import scratch_dir, written
 from .terrain_queries import HOLES, dem
 
 REF = (10.0, 20.0, 0.01, 0.01)
@@ -98,8 +98,29 @@ k AS (SELECT {geo.degree_tile('la', 'lo')} AS name, r - (9 - la) * 100 AS py, c
 SELECT name, CAST(max(py // 16) + 1 AS INT) AS rows, CAST(max(px // 16) + 1 AS INT) AS cols, count(DISTINCT (py // 16) * 1000 + px // 16) AS n_chunks, (max(py // 16) + 1) * (max(px // 16) + 1) - count(DISTINCT (py // 16) * 1000 + px // 16) AS n_empty, CAST(0 AS BIGINT) AS n_bad, count(*) AS n_valid FROM k GROUP BY name"""
 
 
+_RADIUS = 20
+
+
+def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS pid", "10.013e0 - (s_suppkey * 7919 % 50500) / 10000e0 AS lat", "19.987e0 + (s_suppkey * 104729 % 6800) / 10000e0 AS lon")
+
+
+def _mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares around the suppliers' places, from the high ground where it has data and from all of it elsewhere."""
+    z = dem(spark, sf_dir, True)
+    levels = [written(pyramid.resample(part, REF, FINEST, SIDE), "mosaic-store") for part in (z.filter("z > 690"), z)]
+    return pyramid.mosaic(centres(spark, sf_dir), _RADIUS, FINEST, *levels, side=SIDE)
+
+
+_DOWN = f"(1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * {1 << FINEST}"
+MOSAIC = f"""WITH {HOLES}, {_FIRST}, s AS (SELECT s_suppkey AS pid, 10.013e0 - (s_suppkey * 7919 % 50500) / 10000e0 AS lat, 19.987e0 + (s_suppkey * 104729 % 6800) / 10000e0 AS lon FROM supplier),
+w AS (SELECT pid, CAST(floor((lon + 180) / 360 * {1 << FINEST} * {SIDE}) AS BIGINT) - {_RADIUS} AS px, CAST(floor({_DOWN} * {SIDE}) AS BIGINT) - {_RADIUS} AS py FROM s)
+SELECT pid, CAST(gy - py AS INT) AS row, CAST(gx - px AS INT) AS col, z, CASE WHEN z > 690 THEN 0 ELSE 1 END AS source FROM w JOIN p{FINEST} ON gy BETWEEN py AND py + {2 * _RADIUS} AND gx BETWEEN px AND px + {2 * _RADIUS}"""
+
+
 def build() -> dict[str, tuple]:
     q: dict[str, tuple] = {}
+    q["elevation_mosaic"] = (_mosaic, MOSAIC)
     q["chunk_points"] = (_chunk_points, CHUNK_POINTS)
     q["chunk_audit"] = (lambda s, d: chunk_store.audit(s, chunk_folder(s, d), _CHUNK).drop("error"), CHUNK_AUDIT)
     per_tile = f"SELECT CAST(zoom AS INT) AS zoom, CAST(gx // {SIDE} AS INT) AS x, CAST(gy // {SIDE} AS INT) AS y, count(*) AS n_valid, sum(z) AS z_sum, min(z) AS z_min, max(z) AS z_max FROM pix GROUP BY ALL"

@@ -170,6 +170,51 @@ def elevation_at(points: DataFrame, store: DataFrame, zooms: tuple[int, ...] = (
     return out
 
 
+def mosaic(requests: DataFrame, radius: int, zoom: int, *stores: DataFrame, side: int = 256, tile_windows: int = 2_000) -> DataFrame:
+    """requests: pid, lat, lon. The square of 2 radius + 1 pixels around each, put together from the tiles of one zoom: pid,
+    row, col (from the north-west), z, and source, the place in the list of the first store that has data there. Pixels
+    without data have no row; squares end at the borders of the map.
+
+    A request goes to the tiles that its square touches, a tile with more than tile_windows of them to several tasks; the
+    payloads of a tile are read once for requests that follow each other, and one square at a time is unfolded."""
+    n = float(1 << zoom)
+    pixel = requests.withColumns({"x": F.expr(geo.tile_x("lon", zoom)), "y": F.expr(geo.tile_y("lat", zoom))})
+    down = f"(1e0 - ln(tan(radians(lat)) + 1e0 / cos(radians(lat))) / {np.pi!r}e0) / 2e0 * {n!r}e0"
+    pixel = pixel.selectExpr("pid", f"x * {side} + CAST(floor(((lon + 180e0) / 360e0 * {n!r}e0 - x) * {side}) AS INT) - {radius} AS px", f"y * {side} + CAST(floor(({down} - y) * {side}) AS INT) - {radius} AS py")
+    reach = lambda v: F.explode(F.sequence(F.floor(F.col(v) / side), F.floor((F.col(v) + 2 * radius) / side)))
+    asked = pixel.withColumn("x", reach("px")).withColumn("y", reach("py"))
+    ranked = [s.filter(F.col("zoom") == zoom).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.struct(F.lit(k).alias("k"), "payload").alias("s")) for k, s in enumerate(stores)]
+    tiles_of = ranked[0]
+    for more in ranked[1:]:
+        tiles_of = tiles_of.unionByName(more)
+    tiles_of = tiles_of.groupBy("x", "y").agg(F.array_sort(F.collect_list("s")).alias("held"))
+    loads = written(asked.groupBy("x", "y").agg(F.ceil(F.count(F.lit(1)) / tile_windows).cast("int").alias("salts")), "mosaic-loads")
+    salted = asked.join(loads, ["x", "y"]).withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("salts").cast("long")).cast("int"))
+    copies = tiles_of.join(loads, ["x", "y"]).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).select("x", "y", "salt", "held")
+    met = salted.join(copies.hint("merge"), ["x", "y", "salt"]).select("pid", "px", "py", "x", "y", "held")
+
+    def unfold(batches):
+        last, z, source = None, None, None
+        for pdf in batches:
+            for pid, px, py, x, y, held in pdf.itertuples(index=False):
+                if (x, y) != last:
+                    last, z, source = (x, y), np.full((side, side), np.nan), np.full((side, side), -1)
+                    for part in held:
+                        grid = _grid(part["payload"])
+                        if grid is not None and grid.shape == z.shape:
+                            new = np.isnan(z) & ~np.isnan(grid)
+                            z[new], source[new] = grid[new], part["k"]
+                top, left = py - y * side, px - x * side
+                rows, columns = slice(max(0, top), max(0, min(side, top + 2 * radius + 1))), slice(max(0, left), max(0, min(side, left + 2 * radius + 1)))
+                r, c = np.nonzero(~np.isnan(z[rows, columns]))
+                if len(r):
+                    r, c = r + rows.start, c + columns.start
+                    yield pd.DataFrame({"pid": pid, "row": r - top, "col": c - left, "z": z[r, c], "source": source[r, c]})
+
+    kind = requests.schema["pid"].dataType.simpleString()
+    return met.mapInPandas(unfold, f"pid {kind}, row int, col int, z double, source int")
+
+
 def least_bits(cells: DataFrame, max_rmse: float = 1.0, side: int = 64) -> DataFrame:
     """Tiles at the least depth (8 to 16 bits) whose root mean square error is max_rmse or less: tr, tc, bits, rmse,
     payload. Quantisation alone decides, so only the depth that is taken is compressed."""
