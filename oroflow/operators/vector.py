@@ -132,15 +132,15 @@ def _cube(level: int) -> Column:
     return F.shiftleft(i[0], 2 * level).bitwiseOR(F.shiftleft(i[1], level)).bitwiseOR(i[2])
 
 
-def _descend(asked: DataFrame, tree: DataFrame, sizes: dict[int, int], start: int, end: int) -> DataFrame:
-    """asked: q, x, y, z, reach, cubes (of level start) -> the same with those cubes of level end that may hold the nearest
-    place of some point within reach: none whose least distance is above the least of all greatest distances."""
-    for level in range(start, end):
-        side, mask = 2.0 / (1 << (level + 1)), (1 << (level + 1)) - 1
+def _descend(asked: DataFrame, tree: DataFrame, sizes: dict[int, int], hops: list[tuple[int, int]]) -> DataFrame:
+    """asked: q, x, y, z, reach, cubes (of the first hop's level) -> the same with those cubes of the last hop's that may hold
+    the nearest place of some point within reach: none whose least distance is above the least of all greatest distances."""
+    for level, to in hops:
+        side, mask = 2.0 / (1 << to), (1 << to) - 1
         kids = tree.filter(F.col("level") == level).select(F.col("cube").alias("up"), "kids")
         met = asked.withColumn("up", F.explode("cubes")).join(_sized(kids, sizes[level]), "up").withColumn("cube", F.explode("kids"))
         near, far = F.lit(0.0), F.lit(0.0)
-        for axis, shift in (("x", 2 * (level + 1)), ("y", level + 1), ("z", 0)):
+        for axis, shift in (("x", 2 * to), ("y", to), ("z", 0)):
             low = F.shiftright("cube", shift).bitwiseAND(F.lit(mask).cast("long")) * F.lit(side) - 1.0
             over, under = F.col(axis) - low, low + side - F.col(axis)
             near, far = near + F.pow(F.greatest(-over, -under, F.lit(0.0)), 2), far + F.pow(F.greatest(over, under), 2)
@@ -165,7 +165,8 @@ def nearest(points: DataFrame, stations: DataFrame) -> DataFrame:
         return asked.select("pid", F.lit(None).cast(stations.schema["sid"].dataType).alias("sid"), F.lit(None).cast("double").alias("distance_nm"))
     depth = min(14, max(1, math.ceil(math.log2(n) / 2) + 1))
     middle = min(_BLOCK_LEVEL, depth)
-    up = [F.struct(F.lit(k).alias("level"), _cube(k).alias("cube"), _cube(k + 1).alias("kid")) for k in range(depth)]
+    above, below = [(k, min(k + 2, middle)) for k in range(0, middle, 2)], [(k, k + 1) for k in range(middle, depth)]
+    up = [F.struct(F.lit(k).alias("level"), _cube(k).alias("cube"), _cube(to).alias("kid")) for k, to in above + below]
     tree = written(here.select(F.explode(F.array(*up)).alias("s")).groupBy("s.level", "s.cube").agg(F.collect_set("s.kid").alias("kids")), "station-tree")
     sizes = {r["level"]: r["count"] for r in tree.groupBy("level").count().collect()}
     placed = asked.filter("lat is not null and lon is not null").select("q", "lat", "lon").withColumns(_on_sphere("lat", "lon")).withColumn("block", _cube(middle))
@@ -173,10 +174,10 @@ def nearest(points: DataFrame, stations: DataFrame) -> DataFrame:
     side = 2.0 / (1 << middle)
     centre = [((F.shiftright("block", s).bitwiseAND(F.lit((1 << middle) - 1).cast("long")) + 0.5) * side - 1.0).alias(v) for v, s in (("x", 2 * middle), ("y", middle), ("z", 0))]
     blocks = placed.select("block").distinct().select(F.col("block").alias("q"), *centre, F.lit(side * math.sqrt(3) / 2).alias("reach"), root)
-    kept = written(_descend(blocks, tree, sizes, 0, middle).select(F.col("q").alias("block"), "cubes"), "nearest-blocks")
+    kept = written(_descend(blocks, tree, sizes, above).select(F.col("q").alias("block"), "cubes"), "nearest-blocks")
     rows = kept.agg(F.sum(F.size("cubes"))).first()[0] or 0
     begun = placed.join(_sized(kept, rows), "block").select("q", "x", "y", "z", F.lit(0.0).alias("reach"), "cubes")
-    ended = _descend(begun, tree, sizes, middle, depth).select("q", F.explode("cubes").alias("cube"))
+    ended = _descend(begun, tree, sizes, below).select("q", F.explode("cubes").alias("cube"))
     if depth > middle:
         ended = written(ended, "nearest-cubes")
     leaves = here.select(_cube(depth).alias("cube"), "sid", "slat", "slon")

@@ -46,6 +46,7 @@ def test_nearest_joins_by_shuffle_beyond_the_bound(spark, monkeypatch):
     points = [(k, rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(60)]
     before = asked(spark, points, stations)
     monkeypatch.setattr(vector, "SENT", 0)
+    monkeypatch.setattr(vector, "_BLOCK_LEVEL", 3)  # so that points go down by themselves too
     assert asked(spark, points, stations) == before
 
 
