@@ -701,3 +701,18 @@ def test_components(spark):
 
 def test_remainder_of_null(spark):
     assert spark.range(1).select(id_remainder("id", 7).alias("x"), id_remainder("id", 2)).first()["x"] == __import__("zlib").crc32(b"0") % 7
+
+
+def test_line_dedup_words_and_hashes_of_windows(spark):
+    """Words counted by spaces equal split words; a passage is the same in plain texts and in texts with odd spaces, and
+    only there where every unit but the space at its end is."""
+    passage = "one two three four five six. seven eight nine ten eleven twelve. "
+    texts = {1: "first here. " + passage + "tail one.", 2: "odd  spaces\there. " + passage + "x", 3: passage.rstrip() + "\n", 4: passage.replace("six", "sex"), 5: " lead\n \n" + passage, 6: "é ü. " + passage.strip()}
+    units = ["", "\n", "a", "a b. ", "a b\n", "é ü ñ. ", "word"]
+    plain = spark.createDataFrame([(x,) for x in units], "u string")
+    found = plain.select("u", line_dedup.unit_words(plain["u"], F.lit(True)).alias("a"), line_dedup.unit_words(plain["u"], F.lit(False)).alias("b")).collect()
+    assert all(r["a"] == r["b"] == len(r["u"].split()) for r in found)
+    out = {r["row_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows(list(texts.items())), SCHEMA)).collect()}
+    assert {i for i, r in out.items() if r["n_removed"]} == {2, 3, 5, 6}
+    assert out[1]["text"] == texts[1] and out[4]["text"] == texts[4]
+    assert out[2]["text"] == "odd  spaces\there. x" and out[5]["text"] == " lead\n \n" and out[6]["text"] == "é ü. " and out[3]["text"] == ""
