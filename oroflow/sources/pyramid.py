@@ -58,7 +58,8 @@ def resample(cells: DataFrame, ref: tuple[float, float, float, float], zoom: int
         z[pdf["py"], pdf["px"]] = pdf["z"]
         return pd.DataFrame(_packed(zoom, *key, z))
 
-    return pixels.join(known, ["r", "c"]).select("x", "y", "py", "px", "z").groupBy("x", "y").applyInPandas(pack, SCHEMA)
+    # merged: a tile is one row to Spark's size check until its pixels are made
+    return pixels.join(known.hint("merge"), ["r", "c"]).select("x", "y", "py", "px", "z").groupBy("x", "y").applyInPandas(pack, SCHEMA)
 
 
 def halve(level: DataFrame, side: int = 256) -> DataFrame:
@@ -94,7 +95,7 @@ def choose(first: DataFrame, second: DataFrame, side: int = 256, share: float =
     of the tile's cells. source: 'first' or 'second'."""
     key = ["zoom", "x", "y"]
     other = second.select(*key, F.col("payload").alias("payload2"), F.col("n_valid").alias("n2"))
-    both = first.join(other, key, "full_outer")
+    both = first.join(other.hint("merge"), key, "full_outer")
     kept = F.coalesce(F.col("n_valid") >= F.lit(share * side * side), F.lit(False)) | F.col("n2").isNull()
     pick = lambda a, b: F.when(kept, F.col(a)).otherwise(F.col(b)).alias(a)
     return both.select(*key, pick("payload", "payload2"), pick("n_valid", "n2"), F.when(kept, "first").otherwise("second").alias("source"))

@@ -123,3 +123,11 @@ def test_png_filters(n):
     chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
     data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 10, 8, 2 if n == 3 else 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
     assert np.array_equal(tiles.png_decode(data), pixels)
+
+
+def test_pixels_are_not_broadcast(spark):
+    """Before its pixels are made a tile is one row, and Spark's size check takes it for one."""
+    ground = spark.createDataFrame([(r, c, 1.0) for r in range(3) for c in range(3)], "r int, c int, z double")
+    tiles_ = pyramid.resample(ground, (10.0, 20.0, 0.01, 0.01), 10, 32)
+    tiles_.collect()
+    assert "BroadcastHashJoin" not in tiles_._jdf.queryExecution().executedPlan().toString()
