@@ -125,11 +125,11 @@ def breach_depressions(cells: DataFrame, max_depth: float = 100.0) -> DataFrame:
     exits = written(down.join(beside, ["r", "c", "level"], "left_semi").select("r", "c", "level"), "breach-exits")
     ground = flat.unionByName(exits)
     steps = hydro.cost_distance(ground.withColumnRenamed("level", "z"), exits, level=True)
-    steps = written(ground.join(steps, ["r", "c"]).select("r", "c", "level", F.col("cost").cast("long").alias("steps")), "breach-steps")
+    steps = written(ground.join(steps.hint("merge"), ["r", "c"]).select("r", "c", "level", F.col("cost").cast("long").alias("steps")), "breach-steps")
     sent = steps.filter("steps > 0").withColumn("w", ways).select(F.col("r").alias("fr"), F.col("c").alias("fc"), *to, (F.col("steps") - 1).alias("steps"), F.col("w.d8").alias("d8"))
     first = sent.join(steps, ["r", "c", "level", "steps"], "left_semi").groupBy(F.col("fr").alias("r"), F.col("fc").alias("c")).agg(F.min("d8").alias("d8"))
     known = hydro.flow_edges(down).unionByName(hydro.flow_edges(flat.join(first, ["r", "c"], "left").select("r", "c", F.coalesce("d8", F.lit(-1)).alias("d8"))))
-    z = cells.select(hydro.cell_id().alias("id"), "z")
+    z = cells.select(hydro.cell_id().alias("id"), "z").hint("merge")
     low = graph.accumulate(known.join(z, "id").withColumn("w", -F.col("z")), combine="max").select("id", (-F.col("acc")).alias("low"))
     carved: Column = F.greatest(F.col("low"), F.col("z") - max_depth)
     return z.join(low, "id").select(*[v.alias(k) for k, v in hydro.place().items()], carved.alias("z"))
