@@ -24,11 +24,11 @@ NEIGHBOURS = {"e": (0, 1), "se": (1, 1), "s": (1, 0), "sw": (1, -1), "w": (0, -1
 
 def terrain_model(spark: SparkSession, sf_dir: str, holes: bool = False) -> DataFrame:
     """The terrain that the test tables hold: vec_id is the row, the place in the vector the column, z the value in
-    metres; with holes, cells without data on a fixed pattern."""
+    metres; with holes, cells without data on a fixed pattern. Joins sort and merge: the files' size is not that of the cells."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     cells = vectors.select(F.col("vec_id").cast("int").alias("r"), F.posexplode("embedding").alias("c", "e"))
     z = F.round(F.lit(500.0) + F.col("e").cast("double") * 1000.0)
-    return cells.select("r", "c", (F.when((F.col("r") * 31 + F.col("c") * 17) % 97 != 0, z) if holes else z).alias("z"))
+    return cells.select("r", "c", (F.when((F.col("r") * 31 + F.col("c") * 17) % 97 != 0, z) if holes else z).alias("z")).hint("merge")
 
 
 def _blocks(axis: str, halo: int) -> Column:

@@ -475,7 +475,7 @@ INDICES: dict[str, str] = {
 
 def index(cells: DataFrame, accumulated: DataFrame, *names: str) -> DataFrame:
     """Named indices of every cell; slope and accumulation are made once for all of them."""
-    base = terrain.derive(cells, "slope", digits=9).join(accumulated.select("r", "c", F.col("accumulation").cast("double").alias("a")), ["r", "c"])
+    base = terrain.derive(cells, "slope", digits=9).join(accumulated.select("r", "c", F.col("accumulation").cast("double").alias("a")).hint("merge"), ["r", "c"])
     return base.select("r", "c", *[F.expr(f"round({INDICES[x]}, 4)").alias(x) for x in names])
 
 

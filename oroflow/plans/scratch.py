@@ -19,7 +19,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/oroflow-plans"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The table, read from a folder of its own. Files of cells are a small part of what they hold, so joins with it sort
+    and merge: by the files' size Spark would send whole rasters to every task. With `by`, a folder for each value of that
+    column."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")

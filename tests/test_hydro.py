@@ -7,6 +7,7 @@ import pytest
 from test_terrain import cells, grid_of
 
 from oroflow.operators import channels, graph, grid, hydro
+from oroflow.plans.scratch import written
 
 
 def flood(z):
@@ -198,3 +199,21 @@ def test_section_and_burnt_stream(spark):
     streams = channels.stream_cells(cells(spark, z), hydro.flow_accumulation(directed), 5)
     burnt = grid_of(channels.burn_streams(cells(spark, z), streams), "z", z.shape)
     assert burnt[:, 2].min() == z[:, 2].min() and (burnt <= z).all()
+
+
+def broadcasts(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rasters_are_not_broadcast(spark):
+    """Files of cells are small beside what they hold; an index joins two whole rasters."""
+    z = np.random.default_rng(8).integers(0, 50, (9, 9)).astype(float)
+    ground = cells(spark, z)
+    acc = written(hydro.flow_accumulation(hydro.d8(ground)), "acc")
+    assert not any(broadcasts(hydro.index(ground, acc, name)) for name in hydro.INDICES)
+    assert not broadcasts(acc.join(ground, ["r", "c"]))
+
+
+def test_breached_terrain_is_not_broadcast(spark):
+    z = np.random.default_rng(9).integers(0, 5, (6, 6)).astype(float)
+    assert not broadcasts(channels.breach_depressions(cells(spark, z)))
