@@ -406,49 +406,64 @@ def _spread(z: np.ndarray, own: np.ndarray, known: np.ndarray, by_slope: bool, l
 
 def cost_distance(cells: DataFrame, outlets: DataFrame, by_slope: bool = True, level: bool = False) -> DataFrame:
     """Least cost from any outlet (r, c) over eight-neighbour steps; a step costs |dz| times its length, or its length; with
-    `level` only steps between cells of equal height are taken, and each costs 1. A
-    block of cells is solved in one group from what is known on it and around it; only costs on blocks' edges go to the
-    next round, and only blocks beside an improved one take part in it. Cells that no way reaches have no row."""
+    `level` only steps between cells of equal height are taken, and each costs 1. A block of cells (some million, as wide
+    as the raster where that is narrow) is packed once and solved in one group from what is known on it and around it;
+    only costs on blocks' edges go to the next round, in which the blocks beside those that another block improved take
+    part, and only the files of their rows of blocks are read. Cells that no way reaches have no row."""
+    ground = cells.filter("z is not null").select("r", "c", F.col("z").cast("double").alias("z"))
+    e = grid.extent(ground).first()  # one row
+    if e["r0"] is None:
+        return ground.select("r", "c", F.col("z").alias("cost"))
     bits = graph.BLOCK_BITS
-    size, last = 1 << bits, (1 << bits) - 1
+    wide = min(e["c1"] - e["c0"] + 1, 4 << bits)
+    axes = {"r": (e["r0"], e["r1"], (16 << 2 * bits) // wide, "br"), "c": (e["c0"], e["c1"], wide, "bc")}
 
     def dealt(rows: DataFrame) -> DataFrame:
         """Rows for each block that they lie in or beside."""
-        span = lambda axis: F.explode(F.sequence(F.floor((F.col(axis) - 1) / size), F.floor((F.col(axis) + 1) / size)))
-        return rows.withColumn("br", span("r")).withColumn("bc", span("c"))
+        for axis, (first, last, size, name) in axes.items():
+            low, high = F.floor((F.col(axis) - first - 1) / size), F.floor((F.col(axis) - first + 1) / size)
+            rows = rows.withColumn(name, F.explode(F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit((last - first) // size)).cast("int"))))
+        return rows
 
-    ground = written(dealt(cells.filter("z is not null").select("r", "c", F.col("z").cast("double").alias("z"))), "cost-blocks")
-    best = written(outlets.select("r", "c", F.lit(0.0).alias("d")).join(cells.filter("z is not null").select("r", "c"), ["r", "c"]).distinct(), "cost")
-    schema = "r int, c int, d double"
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0, (z,) = _grid_of(pdf, "z")
+        return pd.DataFrame({"br": [key[0]], "bc": [key[1]], "r0": [r0], "c0": [c0], "width": [z.shape[1]], "z": [z.tobytes()]})
+
+    packed = dealt(ground).groupBy("br", "bc").applyInPandas(pack, "br int, bc int, r0 int, c0 int, width int, z binary")
+    packed = written(packed, "cost-blocks", "br")
+    best = written(outlets.select("r", "c", F.lit(0.0).alias("d")).join(ground.select("r", "c").hint("merge"), ["r", "c"]).distinct(), "cost")
 
     def run(left: pd.DataFrame, right: pd.DataFrame, whole: bool) -> pd.DataFrame:
-        empty = pd.DataFrame({"r": [], "c": [], "d": []})
+        empty = pd.DataFrame({"r": [], "c": [], "d": [], "br": [], "bc": []})
         if not len(left) or not len(right):
             return empty
-        br, bc = int(left["br"].iloc[0]), int(left["bc"].iloc[0])
-        r0, c0, (z,) = _grid_of(left, "z")
+        br, bc, r0, c0, width, z = left[["br", "bc", "r0", "c0", "width", "z"]].iloc[0]
+        z = np.frombuffer(z).reshape(-1, width)
         known = np.full(z.shape, np.nan)
         known[right["r"].to_numpy(int) - r0, right["c"].to_numpy(int) - c0] = right["d"].to_numpy(float)
-        rows, cols = np.arange(z.shape[0]) + r0, np.arange(z.shape[1]) + c0
-        own = (rows >> bits == br)[:, None] & (cols >> bits == bc)[None, :]
+        own, edge = [], []
+        for at, k, (first, last, size, _) in ((np.arange(z.shape[0]) + r0, br, axes["r"]), (np.arange(z.shape[1]) + c0, bc, axes["c"])):
+            low, high = first + k * size, first + (k + 1) * size - 1
+            own.append((at >= low) & (at <= high))
+            edge.append(((at == low) & (k > 0)) | ((at == high) & (high < last)))
+        own = own[0][:, None] & own[1][None, :]
         d = _spread(z, own, known, by_slope and not level, level)
-        edge = np.isin(rows & last, (0, last))[:, None] | np.isin(cols & last, (0, last))[None, :]
-        r, c = np.nonzero(own & np.isfinite(d) & (True if whole else edge))
-        return pd.DataFrame({"r": (r + r0).astype(np.int32), "c": (c + c0).astype(np.int32), "d": d[r, c]}) if len(r) else empty
+        r, c = np.nonzero(own & np.isfinite(d) & (True if whole else edge[0][:, None] | edge[1][None, :]))
+        return pd.DataFrame({"r": (r + r0).astype(np.int32), "c": (c + c0).astype(np.int32), "d": d[r, c], "br": br, "bc": bc}) if len(r) else empty
 
-    def solved(active: DataFrame | None, whole: bool) -> DataFrame:
-        here, costs = ground, dealt(best)
-        if active is not None:
-            here, costs = here.join(active, ["br", "bc"], "left_semi"), costs.join(active, ["br", "bc"], "left_semi")
-        return here.groupBy("br", "bc").cogroup(costs.groupBy("br", "bc")).applyInPandas(lambda a, b: run(a, b, whole), schema)
+    def solved(here: DataFrame, costs: DataFrame, whole: bool) -> DataFrame:
+        return here.groupBy("br", "bc").cogroup(costs.groupBy("br", "bc")).applyInPandas(lambda a, b: run(a, b, whole), "r int, c int, d double, br int, bc int")
 
     active = written(dealt(best).select("br", "bc").distinct(), "cost-active")
-    while not active.isEmpty():
-        found = solved(active, False).groupBy("r", "c").agg(F.min("d").alias("nd"))
-        step = written(best.join(found, ["r", "c"], "full_outer").select("r", "c", F.least("d", "nd").alias("d"), (F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d") - 1e-9))).alias("new")), "cost")
+    while rows := [x["br"] for x in active.select("br").distinct().collect()]:  # rows of blocks: few numbers
+        here = packed.filter(F.col("br").isin(rows)).join(active, ["br", "bc"], "left_semi")
+        found = solved(here, dealt(best).join(active, ["br", "bc"], "left_semi"), False).select("r", "c", F.col("d").alias("nd"), F.col("br").alias("by_r"), F.col("bc").alias("by_c"))
+        step = best.join(found, ["r", "c"], "full_outer").withColumn("new", F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d") - 1e-9)))
+        step = written(step.select("r", "c", F.least("d", "nd").alias("d"), "new", "by_r", "by_c"), "cost")
         best = step.select("r", "c", "d")
-        active = written(dealt(step.filter("new")).select("br", "bc").distinct(), "cost-active")
-    return solved(None, True).select("r", "c", F.round("d", 4).alias("cost"))
+        # a block knows what it has found itself
+        active = written(dealt(step.filter("new")).filter("br <> by_r or bc <> by_c").select("br", "bc").distinct(), "cost-active")
+    return solved(packed, dealt(best), True).select("r", "c", F.round("d", 4).alias("cost"))
 
 
 def flow_truncation(directed: DataFrame, max_slope: float = 45.0) -> DataFrame:

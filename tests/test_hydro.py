@@ -217,3 +217,12 @@ def test_rasters_are_not_broadcast(spark):
 def test_breached_terrain_is_not_broadcast(spark):
     z = np.random.default_rng(9).integers(0, 5, (6, 6)).astype(float)
     assert not broadcasts(channels.breach_depressions(cells(spark, z)))
+
+
+def test_costs_down_a_strip_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "BLOCK_BITS", 2)
+    monkeypatch.setattr(hydro, "written", lambda df, name, *by: rounds.append(name) or written(df, name, *by))
+    z = np.repeat(np.arange(160.0)[:, None], 4, axis=1)
+    got = grid_of(hydro.cost_distance(cells(spark, z), spark.createDataFrame([(0, 1)], "r int, c int")), "cost", z.shape)
+    assert np.array_equal(got, z) and rounds.count("cost") <= 6
