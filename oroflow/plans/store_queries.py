@@ -74,13 +74,14 @@ _PIXELS, _CHUNK = 100, 16
 
 
 def chunk_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The terrain as chunk files by degree; pixels on a tile's edge are in both tiles."""
+    """The terrain as chunk files by degree; pixels on a tile's edge are in both tiles. Of tiles that share a name (S10 is
+    100 to 109 degrees south, too) the one nearest to the equator comes first."""
     folder = f"{scratch_dir(spark)}/chunk-store-{uuid.uuid4().hex}"
     z = dem(spark, sf_dir, True).filter("z is not null")
     south = F.array(F.struct((F.lit(10) - F.ceil(F.col("r") / 100)).alias("d"), (F.col("r") - (F.ceil(F.col("r") / 100) - 1) * 100).alias("p")), F.when(F.col("r") % 100 == 0, F.struct((F.lit(9) - F.ceil(F.col("r") / 100)).alias("d"), F.lit(0).cast("long").alias("p"))))
     west = F.array(F.struct((F.lit(20) + F.floor(F.col("c") / 100)).alias("d"), (F.col("c") % 100).cast("long").alias("p")), F.when(F.col("c") % 100 == 0, F.struct((F.lit(19) + F.floor(F.col("c") / 100)).alias("d"), F.lit(100).cast("long").alias("p"))))
     at = z.select("z", F.explode(F.array_compact(south)).alias("y"), F.array_compact(west).alias("xs")).select("z", "y", F.explode("xs").alias("x"))
-    named = at.select(F.expr(geo.degree_tile("y.d", "x.d")).alias("name"), F.col("y.p").cast("int").alias("py"), F.col("x.p").cast("int").alias("px"), "z")
+    named = at.select(F.expr(geo.degree_tile("y.d", "x.d")).alias("name"), F.col("y.p").cast("int").alias("py"), F.col("x.p").cast("int").alias("px"), "z", F.abs("y.d").alias("rank"))
     chunk_store.write_store(named, folder, _CHUNK).count()
     return folder
 
