@@ -17,6 +17,7 @@ from ..plans.scratch import written
 from . import grid, terrain
 
 GEO = (0.0, 0.0, 0.001, 0.001)
+_PIECE = 65_536  # cells of a segment that are laid out at once
 
 
 def to_cell(lat: str, lon: str, ref: tuple[float, float, float, float] = GEO) -> dict[str, str]:
@@ -74,11 +75,27 @@ def zonal_stats(cells: DataFrame, edges: DataFrame, block: int = 512) -> DataFra
 
 
 def rasterize_lines(segments: DataFrame) -> DataFrame:
-    """segments: line, r1, c1, r2, c2. Cells a digital line passes, each once for a line."""
-    n = F.greatest(F.abs(F.col("r2") - F.col("r1")), F.abs(F.col("c2") - F.col("c1")), F.lit(1))
-    at = segments.withColumn("n", n).withColumn("k", F.explode(F.expr("sequence(0, n)")))
-    step = lambda a, b: F.rint(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")).cast("int")
-    return at.select("line", step("r1", "r2").alias("r"), step("c1", "c2").alias("c")).distinct()
+    """segments: line, r1, c1, r2, c2. Cells a digital line passes, each once for a line. A segment's own cells differ, so
+    only cells of lines with several segments are held against each other, dealt by line and cell; a task
+    lays out or compares some million. Long segments are laid out piece by piece."""
+    n = F.coalesce(F.greatest(F.abs(F.col("r2") - F.col("r1")), F.abs(F.col("c2") - F.col("c1"))), F.lit(0))
+    parts = segments.select("line", "r1", "c1", "r2", "c2", n.alias("n"))
+    lines = parts.groupBy("line").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n").cast("long") + 1).alias("cells"))
+    several = lines.filter("m > 1").select(F.col("line").alias("of"))
+    n_one, n_met = lines.agg(F.sum(F.when(F.col("m") == 1, F.col("cells"))), F.sum(F.when(F.col("m") > 1, F.col("cells")))).first()  # one row
+
+    def laid(rows: DataFrame) -> DataFrame:
+        at = rows.withColumn("k0", F.explode(F.expr(f"sequence(0, n, {_PIECE})"))).withColumn("k", F.explode(F.expr(f"sequence(k0, least(n, k0 + {_PIECE - 1}))")))
+        step = lambda a, b: F.rint(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.greatest("n", F.lit(1))).cast("int")
+        return at.select("line", step("r1", "r2").alias("r"), step("c1", "c2").alias("c"))
+
+    same = F.col("line").eqNullSafe(F.col("of"))
+    tasks = lambda cells: max(1, math.ceil((cells or 0) / 1e6))
+    ones = laid(parts.join(several.hint("merge"), same, "left_anti").repartition(tasks(n_one)))
+    if not n_met:
+        return ones
+    met = laid(parts.join(several.hint("merge"), same, "left_semi")).repartition(tasks(n_met), "line", "r", "c")
+    return ones.unionByName(met.distinct())
 
 
 def contour_segments(cells: DataFrame, interval: float) -> DataFrame:

@@ -89,6 +89,17 @@ def test_zones_and_lines(spark):
     assert got == {(1, i, i) for i in range(5)} | {(2, 1, c) for c in range(4)}
 
 
+def test_cells_of_one_segment_are_not_held_against_each_other(spark, monkeypatch):
+    monkeypatch.setattr(vector, "_PIECE", 3)
+    schema = "line int, r1 int, c1 int, r2 int, c2 int"
+    lone = vector.rasterize_lines(spark.createDataFrame([(1, 0, 0, 7, 7), (2, 1, 4, 1, 4)], schema))
+    assert sorted(map(tuple, lone.collect())) == [(1, i, i) for i in range(8)] + [(2, 1, 4)]
+    assert "Aggregate" not in lone._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # none over the cells
+    rows = [(1, 0, 0, 0, 4), (1, 0, 4, 0, 2), (None, 3, 3, 3, 5), (None, 3, 5, 3, 3), (5, 9, 9, 9, 9)]
+    got = [tuple(x) for x in vector.rasterize_lines(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(1, 0, c) for c in range(5)} | {(None, 3, c) for c in range(3, 6)} | {(5, 9, 9)}
+
+
 def test_contours_of_a_plane(spark):
     z = np.repeat(np.arange(6)[None, :] * 10.0, 6, axis=0)
     got = vector.contour_segments(cells(spark, z), 25.0).collect()
