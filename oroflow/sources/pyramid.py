@@ -171,13 +171,14 @@ def elevation_at(points: DataFrame, store: DataFrame, zooms: tuple[int, ...] = (
     return out
 
 
-def mosaic(requests: DataFrame, radius: int, zoom: int, *stores: DataFrame, side: int = 256, tile_windows: int = 2_000) -> DataFrame:
+def mosaic(requests: DataFrame, radius: int, zoom: int, *stores: DataFrame, side: int = 256, tile_windows: int = 2_000, batch_cells: int = 100_000) -> DataFrame:
     """requests: pid, lat, lon. The square of 2 radius + 1 pixels around each, put together from the tiles of one zoom: pid,
     row, col (from the north-west), z, and source, the place in the list of the first store that has data there. Pixels
     without data have no row; squares end at the borders of the map.
 
     A request goes to the tiles that its square touches, a tile with more than tile_windows of them to several tasks; the
-    payloads of a tile are read once for requests that follow each other, and one square at a time is unfolded."""
+    payloads of a tile are read once for requests that follow each other, and squares leave together, some batch_cells at
+    a time."""
     n = float(1 << zoom)
     pixel = requests.withColumns({"x": F.expr(geo.tile_x("lon", zoom)), "y": F.expr(geo.tile_y("lat", zoom))})
     down = f"(1e0 - ln(tan(radians(lat)) + 1e0 / cos(radians(lat))) / {np.pi!r}e0) / 2e0 * {n!r}e0"
@@ -196,6 +197,13 @@ def mosaic(requests: DataFrame, radius: int, zoom: int, *stores: DataFrame, side
 
     def unfold(batches):
         last, z, source = None, None, None
+        parts, held_cells = [], 0
+
+        def together():
+            pids = [x[0] for x in parts]
+            sizes = [len(x[1]) for x in parts]
+            return pd.DataFrame({"pid": pd.Series(pids).repeat(sizes).reset_index(drop=True), **{k: np.concatenate([x[i] for x in parts]) for i, k in enumerate(("row", "col", "z", "source"), 1)}})
+
         for pdf in batches:
             for pid, px, py, x, y, held in pdf.itertuples(index=False):
                 if (x, y) != last:
@@ -210,7 +218,13 @@ def mosaic(requests: DataFrame, radius: int, zoom: int, *stores: DataFrame, side
                 r, c = np.nonzero(~np.isnan(z[rows, columns]))
                 if len(r):
                     r, c = r + rows.start, c + columns.start
-                    yield pd.DataFrame({"pid": pid, "row": r - top, "col": c - left, "z": z[r, c], "source": source[r, c]})
+                    parts.append((pid, r - top, c - left, z[r, c], source[r, c]))
+                    held_cells += len(r)
+                    if held_cells >= batch_cells:
+                        yield together()
+                        parts, held_cells = [], 0
+        if parts:
+            yield together()
 
     kind = requests.schema["pid"].dataType.simpleString()
     return met.mapInPandas(unfold, f"pid {kind}, row int, col int, z double, source int")

@@ -42,6 +42,14 @@ def test_mosaic(spark):
     assert got == expected and {k for _, k in got.values()} == {0, 1}
 
 
+def test_squares_of_a_mosaic_leave_together(spark):
+    """Whatever a batch holds, each square keeps its own cells."""
+    level = stored(spark, {(x, y): np.full((SIDE, SIDE), 10.0 * x + y) for x in range(14, 18) for y in range(14, 18)})
+    asked = spark.createDataFrame([(k, k - 6.0, k - 5.0) for k in range(12)], "pid long, lat double, lon double")
+    rows = [sorted(map(tuple, pyramid.mosaic(asked, RADIUS, ZOOM, level, side=SIDE, batch_cells=n).collect())) for n in (1, 200, 100_000)]
+    assert rows[0] == rows[1] == rows[2] and len({r[0] for r in rows[0]}) == 12
+
+
 def test_slope_deviation(spark):
     rng = np.random.default_rng(1)
     a, b = rng.uniform(0, 90, (12, 12)), rng.uniform(0, 90, (12, 12))
