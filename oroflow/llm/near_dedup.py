@@ -63,7 +63,9 @@ class Sampler:
         rng = np.random.Generator(np.random.PCG64(seed))
         n, pool = bands * rows, 1 << POOL_BITS
         r, c, beta = rng.gamma(2, 1, (n, 1, pool)), rng.gamma(2, 1, (n, 1, pool)), rng.random((n, 1, pool))
-        picks = ordered_picks(r, c, beta, np.arange(LEVELS)[None, :, None])
+        picks = np.empty((n, LEVELS, pool), np.uint32)
+        for i in range(n):  # the driver draws: all at once would take seven times the table
+            picks[i] = ordered_picks(r[i], c[i], beta[i], np.arange(LEVELS)[:, None])
         return cls(picks.reshape(n, LEVELS * pool), np.stack([r[:, 0], c[:, 0], beta[:, 0]]), rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), bands, rows)
 
     def band_keys(self, shingles: np.ndarray, levels: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -354,4 +356,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = classed.groupBy("comp").agg(least.alias("x"), F.sum("n").alias("class_size")).select("comp", F.col("x.rep_id").alias("class_id"), F.col("x.rep_mark").alias("class_mark"), "class_size")
     by_digest = spread_join(classed.select("digest", "comp"), classes, "comp").drop("comp")
     at = spread_join(signed.select("row_id", "mark", "digest"), by_digest, "digest", counts=classed.select("digest", "n"))
+    shared.destroy()  # what is left to do reads written tables only; else the driver keeps the table until it collects its garbage
     return at.select("row_id", "class_id", "class_size", (F.col("row_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("class_mark"))).alias("kept"), "mark")

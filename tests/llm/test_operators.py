@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -596,6 +597,14 @@ def test_picks_follow_weighted_similarity():
         assert abs((ka == kb).mean() - exact) < 0.09
 
 
+def test_driver_draws_the_table_of_picks_in_little_more_than_its_size():
+    tracemalloc.start()
+    table = near_dedup.Sampler.draw(24, 5).picks
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * table.nbytes
+
+
 def test_near_dedup_in_a_template_family(spark):
     """Texts that share much of one template, most under the threshold to each other and to the centre, with true near
     copies among them: every pair at the threshold that shares a band is a link, against brute force."""
