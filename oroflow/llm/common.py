@@ -41,6 +41,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that materialise wrote; only for when all that is made from it is written down."""
+    spark, path = df.sparkSession, df.select("_metadata.file_path").first()
+    if path:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
+        if f"/{_SCRATCH}/" in folder.toString():
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def hot_keys(counts: DataFrame, key: str, rows: int, share: float, floor: int, most: int, row_bytes: int) -> dict[int, list]:
     """Keys to be dealt out by the bits of their number of salts; see spread_join for the bounds."""
     if row_bytes:

@@ -4,9 +4,10 @@ A text's units are its lines, and the sentences of its lines. A run is two or mo
 do not count) with min_words words or more, or one unit of long_unit words or more. A unit is removed where it lies in a
 run that stands at an earlier (id, place) too, wherever the run begins or ends and however unlike its neighbours are: all
 shortest runs, from each unit onwards and from each unit backwards, are windows; each longer common run is the union of
-the windows in it. Units are hashed once, twice 64 bits with seeds of their own, and windows by a rolling hash over the
-hashes of their units; hashes are counted first (small rows, combined on the map side), and runs are the same where all
-128 bits are. The white space that ends a window is not compared.
+the windows in it. Units are hashed once, and windows by a rolling hash over the hashes of their units; hashes are
+counted first (small rows, combined on the map side). Windows whose hash repeats are cut out of their texts again and
+compared byte by byte: a hash only finds them, runs are the same where their bytes are. The white space that ends a window
+is not compared.
 
 Defined results: a null text stays null; one unit of fewer than long_unit words or a run of fewer than min_words words
 alone is never removed; each removed unit stays at its first place; rows that repeat id and text are one row to the
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, split_words, spread_join
+from .common import discard, let, materialise, split_words, spread_join
 
 _MARK = "\x01"
 _BLANK = " \n\r\t\x0b\x0c"
@@ -43,9 +44,13 @@ def unit_words(unit: Column, plain: Column) -> Column:
     return F.when(plain, spaces + last).otherwise(F.size(split_words(unit)))
 
 
+def bare(x: Column) -> Column:
+    return F.rtrim(x, F.lit(_BLANK))
+
+
 def windows(text: Column, min_words: int, long_unit: int) -> Column:
-    """Array of (place, upto, h, g): first and last unit of each window and two hashes over the hashes of its units, of
-    the last one without its white space; null for a null text."""
+    """Array of (place, upto, h): first and last unit of each window and a hash over the hashes of its units, of the last
+    one without its white space; null for a null text."""
     most = max(2, min_words)  # units in a window: each has a word
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("len"))
     full = lambda a: (a["n"] >= min_words) & (a["len"] >= 2)
@@ -62,18 +67,34 @@ def windows(text: Column, min_words: int, long_unit: int) -> Column:
     backwards = lambda p: F.transform(few(p), lambda k: range_(F.get(p["i"], begins(p, k)), F.get(p["i"], k)))
     alone = lambda p: F.transform(F.filter(F.arrays_zip(p["i"].alias("i"), p["n"].alias("n")), lambda x: x["n"] >= long_unit), lambda x: range_(x["i"], x["i"]))
     worded = lambda u, plain: let(F.transform(u, lambda x: unit_words(x, plain)), lambda n: F.struct(F.filter(F.transform(n, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull()).alias("i"), F.filter(n, lambda x: x > 0).alias("n")))
-    bare = lambda x: F.rtrim(x, F.lit(_BLANK))
-    # the seed comes first, so that what one hash takes for the same the other need not
-    seeded = lambda u, seed, part: F.transform(u, lambda x: F.xxhash64(F.lit(seed), part(x)))
-    hashes = lambda u: F.struct(*[seeded(u, seed, part).alias(k + end) for k, seed in (("h", 42), ("g", 2891)) for end, part in (("", lambda x: x), ("_bare", bare))])
+    hashes = lambda u: F.struct(F.transform(u, lambda x: F.xxhash64(x)).alias("h"), F.transform(u, lambda x: F.xxhash64(bare(x))).alias("bare"))
     ranges = lambda u, plain: let(worded(u, plain), lambda p: F.filter(F.concat(onwards(p), backwards(p), alone(p)), lambda w: w["place"].isNotNull() & w["upto"].isNotNull()))
     # the hash of an array is the chained hash of its elements, so that both forms of two units agree
-    rolled = lambda h, w, k: F.when(w["upto"] == w["place"] + 1, F.xxhash64(F.get(h[k], w["place"]), F.get(h[k + "_bare"], w["upto"]))).otherwise(F.xxhash64(F.slice(h[k], w["place"] + 1, w["upto"] - w["place"]), F.get(h[k + "_bare"], w["upto"]))).alias(k)
+    rolled = lambda h, w: F.when(w["upto"] == w["place"] + 1, F.xxhash64(F.get(h["h"], w["place"]), F.get(h["bare"], w["upto"]))).otherwise(F.xxhash64(F.slice(h["h"], w["place"] + 1, w["upto"] - w["place"]), F.get(h["bare"], w["upto"]))).alias("h")
     plain = ~reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c", "\n ", " \n"))) & ~text.startswith(" ")
-    hashed = lambda u: let(hashes(u), lambda h: F.transform(let(plain, lambda x: ranges(u, x)), lambda w: F.struct(w["place"].alias("place"), w["upto"].alias("upto"), rolled(h, w, "h"), rolled(h, w, "g"))))
+    hashed = lambda u: let(hashes(u), lambda h: F.transform(let(plain, lambda x: ranges(u, x)), lambda w: F.struct(w["place"].alias("place"), w["upto"].alias("upto"), rolled(h, w))))
     return F.when(text.isNotNull(), let(units(text), hashed))
 
 
+def _runs(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """row_id, doc_key, place, upto, h and run, the text of each window in met, cut out of its row again."""
+    wanted = met.groupBy("doc_key").agg(F.collect_set(F.struct("place", "upto", "h")).alias("w")).select(F.col("doc_key").alias("__k"), "w")
+    at = rows.join(wanted.hint("merge"), F.col("doc_key") == F.col("__k"))
+    run = lambda u, w: bare(F.array_join(F.slice(u, w["place"] + 1, w["upto"] - w["place"] + 1), ""))
+    cut = let(units(F.col("text")), lambda u: F.transform("w", lambda w: F.struct(w["place"].alias("place"), w["upto"].alias("upto"), w["h"].alias("h"), run(u, w).alias("run"))))
+    # outer: of a plain explode Spark infers a filter that would cut every text twice
+    return at.select("row_id", "doc_key", F.explode_outer(cut).alias("x")).select("row_id", "doc_key", "x.*")
+
+
+def _first(at: DataFrame, *keys: str) -> DataFrame:
+    """keys, first: where each stands first, by id (null first), key of the row and place."""
+    return at.groupBy(*keys).agg(F.min(F.struct(F.col("row_id").isNotNull().alias("known"), "row_id", "doc_key", "place")).alias("first"))
+
+
+def _elsewhere() -> Column:
+    return (F.col("doc_key") != F.col("first.doc_key")) | (F.col("place") != F.col("first.place"))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, long_unit: int = 50) -> DataFrame:
     """One row for each row of docs: row_id, text (what is left), n_removed (runs), removed_chars."""
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
@@ -81,18 +102,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("doc_key", F.struct(F.xxhash64("row_id", "text").alias("a"), F.xxhash64("text", F.lit(7), "row_id").alias("b")))
     found = materialise(rows.select("row_id", "doc_key", windows(F.col("text"), min_words, long_unit).alias("w")), "line-windows")
     parts = found.select("row_id", "doc_key", F.explode("w").alias("w")).select("row_id", "doc_key", "w.*")
-    # what repeats, and its first id (small sums, combined on the map side)
-    seen = parts.groupBy("h", "g").agg(F.min("row_id").alias("id_1"), F.max(F.col("row_id").isNull()).alias("none"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    seen = materialise(seen.select("h", F.col("g").alias("same"), F.when(~F.col("none"), F.col("id_1")).alias("first_id"), "n"), "line-repeated")
+    seen = materialise(parts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-repeated")
     n_rows = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = spread_join(parts, seen.drop("n").hint("shuffle_hash"), "h", counts=seen, rows=n_rows).filter(F.col("g") == F.col("same"))
-    met = materialise(met.select("doc_key", "place", "upto", "h", "g", F.col("row_id").eqNullSafe(F.col("first_id")).alias("is_first")), "line-met")
-    # all but the first id's are gone; of that one's (rows that share it too) all but the least key's first place
-    near = met.filter("is_first")
-    firsts = near.groupBy("h", "g").agg(F.min(F.struct("doc_key", "place")).alias("first"))
-    other = near.join(firsts, ["h", "g"]).filter(F.struct("doc_key", "place") != F.col("first"))
-    ranges = met.filter("not is_first").select("doc_key", "place", "upto").unionAll(other.select("doc_key", "place", "upto"))
-    gone = ranges.groupBy("doc_key").agg(F.collect_set(F.struct("place", "upto")).alias("w"))
+    met = materialise(spread_join(parts, seen.select("h").hint("shuffle_hash"), "h", counts=seen, rows=n_rows).select("row_id", "doc_key", "place", "upto", "h"), "line-met")
+    discard(found)  # the largest table; nothing reads it any more
+    # the texts of a hash, byte by byte: nearly always one, and then the first of the hash is the first of the text
+    texts = _runs(rows, met).select("h", "run").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    classes = materialise(_first(met, "h").join(texts, "h"), "line-classes")
+    one = spread_join(met, classes.filter("k = 1").select("h", "first").hint("shuffle_hash"), "h", counts=seen, rows=n_rows)
+    other = one.filter(_elsewhere()).select("doc_key", "place", "upto")
+    clash = classes.filter("k > 1").select("h")
+    if not clash.isEmpty():  # a hash of several texts: each is a run of its own
+        runs = materialise(_runs(rows, met.join(clash, "h", "left_semi")), "line-clashes")
+        several = runs.join(_first(runs, "h", "run"), ["h", "run"]).filter(_elsewhere())
+        other = other.unionAll(several.select("doc_key", "place", "upto"))
+    gone = other.groupBy("doc_key").agg(F.collect_set(F.struct("place", "upto")).alias("w"))
     covered = F.array_distinct(F.flatten(F.transform("w", lambda w: F.sequence(w["place"], w["upto"]))))
     gone = materialise(gone.select(F.col("doc_key").alias("__k"), covered.alias("gone")), "line-gone")
     # the same plan at every size: as a broadcast, the list of what goes would grow with the corpus
