@@ -741,3 +741,32 @@ def test_line_dedup_words_and_hashes_of_windows(spark):
     assert {i for i, r in out.items() if r["n_removed"]} == {2, 3, 5, 6}
     assert out[1]["text"] == texts[1] and out[4]["text"] == texts[4]
     assert out[2]["text"] == "odd  spaces\there. x" and out[5]["text"] == " lead\n \n" and out[6]["text"] == "é ü. " and out[3]["text"] == ""
+
+
+@pytest.mark.parametrize("min_words, long_unit", [(8, 50), (1, 3), (20, 9)])
+def test_line_dedup_windows(spark, min_words, long_unit):
+    """Shortest windows onwards and backwards, and long units, by the definition; each once, equal hashes for equal texts only."""
+    rng = random.Random(47)
+    texts = ["", "\n", " ", *("".join(prose(rng, rng.choice((0, 1, 1, 2, 3, 4, 9, 55)), 9) + rng.choice((". ", "! ", ".\n", "\n", "  \n", "\t", "? ")) for _ in range(rng.randrange(1, 20))) for _ in range(150))]
+    want, same = [], {}
+    for t, text in enumerate(texts):
+        u = re.findall(r".*?(?:\n|[.!?] )|.+", text)
+        at = [i for i, x in enumerate(u) if x.split()]
+        enough = lambda a, b: b > a and sum(len(u[i].split()) for i in at[a : b + 1]) >= min_words  # noqa: B023, E731
+        pairs = [(a, b) for a in range(len(at)) for b in range(a, min(a + 1 + max(2, min_words), len(at))) if (enough(a, b) and not (enough(a, b - 1) and enough(a + 1, b))) or (a == b and len(u[at[a]].split()) >= long_unit)]
+        want += [(t, at[a], at[b]) for a, b in pairs]
+        same |= {(t, at[a], at[b]): "".join(u[at[a] : at[b] + 1]).rstrip(" \t\n") for a, b in pairs}
+    docs = spark.createDataFrame([(t, t, x) for t, x in enumerate(texts)], "row_id long, doc_key long, text string")
+    found = line_dedup._parts(docs, min_words, long_unit).collect()
+    got = {tuple(r[1:4]): r["h"] for r in found}
+    assert sorted(tuple(r[1:4]) for r in found) == sorted(want)
+    assert len({(h, same[k]) for k, h in got.items()}) == len(set(got.values())) == len(set(same.values()))
+
+
+def test_line_dedup_counts_a_window_once(spark, monkeypatch):
+    """A window that is the shortest both from its first unit onwards and from its last backwards does not repeat by that."""
+    written = {}
+    keep = line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: written.setdefault(name, keep(df, name)))
+    docs = spark.createDataFrame(rows([(i, "".join(f"a{i} b{i}{k} c. " for k in range(9))) for i in range(20)]), SCHEMA)
+    assert all(r["n_removed"] == 0 for r in line_dedup.line_dedup(docs).collect()) and written["line-repeated"].count() == 0
